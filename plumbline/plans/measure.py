@@ -82,11 +82,8 @@ def describe(col: Column) -> str:
 
 def long_rows(one_row: DataFrame, seqs: Sequence[int]) -> DataFrame:
     """One wide row with a column m<seq> for each measure -> rows (seq, metric_value)."""
-    entries = [
-        F.struct(F.lit(seq).alias("seq"), F.col(f"m{seq}").cast("double").alias("metric_value"))
-        for seq in seqs
-    ]
-    return one_row.select(F.inline(F.array(*entries)))
+    entries = ", ".join(f"struct({seq} AS seq, CAST(m{seq} AS DOUBLE) AS metric_value)" for seq in seqs)
+    return one_row.selectExpr(f"inline(array({entries}))")
 
 
 def aggregate_measures(df: DataFrame, measures: Sequence[Measure]) -> DataFrame:

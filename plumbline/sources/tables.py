@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-Source = DataFrame | str | Mapping[str, Any]
+Source = DataFrame | str | Mapping[str, Any] | Callable[[], DataFrame]
 
 
 def path_format(path: str) -> str:
@@ -29,7 +29,8 @@ def path_source(path: str, **options: Any) -> dict[str, Any]:
 class Tables:
     """Resolves table names.
 
-    A source is a DataFrame, a path, or a mapping.  A mapping names a ``path``
+    A source is a DataFrame, a function that returns one when the table is first
+    needed, a path, or a mapping.  A mapping names a ``path``
     with optional ``format``, ``schema``, ``sep``/``delim``, ``header`` and
     ``options``, a catalog ``table``, or ``format: jdbc`` with the ``options`` of
     Spark's JDBC reader (give partitionColumn, lowerBound, upperBound and
@@ -80,6 +81,8 @@ class Tables:
             return self.spark.table(name)
         if isinstance(source, DataFrame):
             return source
+        if callable(source):
+            return source()
         if isinstance(source, str):
             source = path_source(source)
         if "table" in source:
