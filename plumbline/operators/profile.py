@@ -51,10 +51,10 @@ def profile(df: DataFrame, table: str = "table", distinct: str = "exact") -> Dat
         "category": ([type_category(f.dataType) for f in fields], pa.string()),
         "nested": ([is_nested(f.dataType) for f in fields], pa.bool_()),
     })
-    # Both sides below are one row per column of the table.
+    # A local list of one row per column.
     out = facts.join(F.broadcast(listed), "ordinal")
     if plain:
-        out = out.join(F.broadcast(_values(df, fields, plain, estimates)), "ordinal", "left")
+        out = out.join(_values(df, fields, plain, estimates), "ordinal", "left")
     else:
         out = out.select("*", F.lit(None).cast("bigint").alias("unique_count"),
                          F.lit(None).cast("array<struct<n:bigint,v:string>>").alias("top"),
@@ -109,16 +109,17 @@ def schema_listing(df: DataFrame, table: str = "table") -> DataFrame:
 
 
 def sample_rows(df: DataFrame, share: float = 0.20, max_rows: int = 50, seed: int = 42) -> DataFrame:
-    """Some rows in a pseudo-random order: the share asked for, at most max_rows, at least one.
+    """Random rows: the share asked for, at most max_rows, at least one.
 
-    The order is a hash of the whole row, so the sample does not depend on how
-    the table is split.  Each task keeps only its first max_rows rows.
+    About 20 * max_rows rows (at least 1000) pass a filter first, so that the task
+    that picks among them gets few rows however many tasks read the table.
     """
-    enough = math.ceil(max_rows / share)
-    seen = df.limit(enough).count()     # reads no more rows than decide the size
+    seen = df.limit(math.ceil(max_rows / share)).count()     # no more rows than decide the size
     size = max(1, min(max_rows, int(seen * share)))
-    order = F.xxhash64(F.lit(seed), F.to_json(F.struct(*[F.col(quoted(c)) for c in df.columns])))
-    return df.orderBy(order).limit(size)
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    enough = F.lit(float(max(20 * max_rows, 1000))) / rows
+    picked = df.withColumn("__order", F.rand(seed)).where(F.col("__order") < enough)
+    return picked.orderBy("__order").limit(size).drop("__order")
 
 
 # -- first pass ---------------------------------------------------------------

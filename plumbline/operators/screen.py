@@ -93,11 +93,26 @@ def matches(text: Column, name: str) -> Column:
     return text.rlike(f"(?{'i' if ignore_case else ''}dU)" + pattern)
 
 
-def _sampled(df: DataFrame, column: str, size: int, seed: int) -> DataFrame:
-    """Some non-NULL values.  Each task keeps only the first ``size`` of its own."""
+def _present(df: DataFrame, columns: Iterable[str]) -> dict[str, Column]:
+    """Number of non-NULL values by column, as one scalar subquery for all columns."""
+    columns = list(columns)
+    counts = [F.count(F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(columns)]
+    known = df.agg(F.struct(*counts).alias("present")).scalar()
+    return {c: known.getField(f"c{i}") for i, c in enumerate(columns)}
+
+
+def _sampled(df: DataFrame, column: str, size: int, seed: int, present: Column) -> DataFrame:
+    """``size`` random non-NULL values.
+
+    About 20 * size values (at least 1000) pass a filter first, so that thousands
+    of tasks do not send size values each to the task that picks among them.
+    """
     value = F.col(quoted(column)).cast("string")
-    order = F.rand(seed)
-    return df.select(value.alias("value")).where("value IS NOT NULL").withColumn("order", order).orderBy("order").limit(size)
+    enough = F.lit(float(max(20 * size, 1000))) / present
+    return (
+        df.select(value.alias("value")).where("value IS NOT NULL").withColumn("order", F.rand(seed))
+        .where(F.col("order") < enough).orderBy("order").limit(size)
+    )
 
 
 def _hits(text: Column) -> list[Column]:
@@ -106,8 +121,10 @@ def _hits(text: Column) -> list[Column]:
 
 def sample_hits(df: DataFrame, table: str, columns: Iterable[str], size: int, seed: int) -> DataFrame:
     """Pattern hits among sampled values: table, column, sample_count, hits by pattern, samples."""
+    columns = list(columns)
+    present = _present(df, columns)
     samples = [
-        _sampled(df, c, size, seed).select(F.lit(c).alias("column"), "order", "value") for c in columns
+        _sampled(df, c, size, seed, present[c]).select(F.lit(c).alias("column"), "order", "value") for c in columns
     ]
     # At most ``size`` values per column.
     drawn = F.array_sort(F.collect_list(F.struct("order", "value"))).alias("drawn")
@@ -146,8 +163,10 @@ def full_hits(df: DataFrame, table: str, columns: Iterable[str]) -> DataFrame:
 
 def masked_samples(df: DataFrame, table: str, columns: Iterable[str], seed: int) -> DataFrame:
     """Three values per column, still to be masked by their category."""
+    columns = list(columns)
+    present = _present(df, columns)
     frames = [
-        _sampled(df, c, MASKED_SAMPLES, seed).agg(F.array_sort(F.collect_list(F.struct("order", "value"))).alias("s"))
+        _sampled(df, c, MASKED_SAMPLES, seed, present[c]).agg(F.array_sort(F.collect_list(F.struct("order", "value"))).alias("s"))
         .select(F.lit(table).alias("table"), F.lit(c).alias("column"),
                 F.transform("s", lambda x: x["value"]).alias("samples"))
         for c in columns

@@ -1,13 +1,15 @@
 """Order of timestamps.
 
 Comparing each row with the one before it needs sorted rows.  One entity may
-hold a third of them, or there may be no entity at all, so the order is cut into
-buckets by quantiles of the order column.  Rows are compared inside a bucket of
-an entity, and the buckets' first and last timestamps are compared afterwards.
+hold a third of them, or there may be no entity at all, and many rows may share
+one position.  Rows of one position are therefore combined first, and the
+positions are cut into buckets of about equal size.  Positions are compared
+inside a bucket of an entity, and the buckets' ends are compared afterwards.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,10 @@ from plumbline.operators.registry import over_table, plans_check
 from plumbline.plans.measure import Measure, ScanContext, long_rows
 from plumbline.spec import CheckSpec, SpecError
 
+ORDER_BUCKETS = 4096             # at most; a power of two
+ROWS_PER_BUCKET = 20_000_000
+_SAMPLED_POSITIONS = 10_000_000
+
 
 def _order_number(col: Column, kind: T.DataType, moment: Column) -> Column:
     """The order column as a number of the same order."""
@@ -27,46 +33,79 @@ def _order_number(col: Column, kind: T.DataType, moment: Column) -> Column:
     raise SpecError("order_column must be a number, a date or a timestamp")
 
 
-def sequence_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
-    """``order_buckets`` is a power of two; each bucket of a hot entity is one task's sort."""
-    table, ts_name, entity, order_name = key
-    kind = ctx.type_of(table, order_name)
-    moment = ctx.time(table, order_name) if not isinstance(kind, T.NumericType) else F.lit(None)
-    df = ctx.frame(table).select(
-        (ctx.col(table, entity) if entity else F.lit(0)).alias("entity"),
-        ctx.col(table, ts_name).alias("ts"),
-        ctx.col(table, order_name).alias("pos"),
-        _order_number(ctx.col(table, order_name), kind, moment).alias("pos_number"),
-    )
-    steps = [i / ctx.order_buckets for i in range(1, ctx.order_buckets)]
-    bounds = df.agg(F.percentile_approx("pos_number", steps, 10 * ctx.order_buckets)).scalar()
-    placed = df.withColumn("bounds", bounds).withColumn("bucket", F.lit(0))
-    jump = ctx.order_buckets // 2
+def _bounds(positions: DataFrame, rows: Column) -> Column:
+    """Estimated quantiles of the positions, as one scalar subquery.
+
+    They only balance the buckets, so a sample of the rows is enough; it keeps
+    the sketches that meet in one task small.
+    """
+    steps = F.lit(np.arange(1, ORDER_BUCKETS) / ORDER_BUCKETS)
+    sampled = positions.where(F.rand(7) < F.lit(float(_SAMPLED_POSITIONS)) / rows)
+    return sampled.agg(F.percentile_approx("pos_number", steps, 10 * ORDER_BUCKETS).alias("bounds")).scalar()
+
+
+def _place(df: DataFrame, rows: Column, rows_per_bucket: int) -> DataFrame:
+    """Add the bucket of each position: as few buckets as the row count needs."""
+    out = df.withColumn("bounds", _bounds(df.select("pos_number"), rows)).withColumn("place", F.lit(0))
+    jump = ORDER_BUCKETS // 2
     while jump:  # binary search for the number of bounds <= pos_number
-        reached = F.get("bounds", F.col("bucket") + F.lit(jump - 1)) <= F.col("pos_number")
-        placed = placed.withColumn("bucket", F.when(reached, F.col("bucket") + F.lit(jump)).otherwise(F.col("bucket")))
+        reached = F.get("bounds", F.col("place") + F.lit(jump - 1)) <= F.col("pos_number")
+        out = out.withColumn("place", F.when(reached, F.col("place") + F.lit(jump)).otherwise(F.col("place")))
         jump //= 2
+    joined = F.greatest(F.lit(1.0), F.floor(F.lit(float(ORDER_BUCKETS) * rows_per_bucket) / rows))
     # Rows without a position come first, in a bucket of their own.
-    first = F.when(F.col("pos_number").isNull(), F.lit(-1)).otherwise(F.col("bucket"))
-    placed = placed.select("entity", "ts", "pos", first.alias("bucket"))
+    bucket = F.when(F.col("pos_number").isNull(), F.lit(-1)).otherwise(F.floor(F.col("place") / joined).cast("int"))
+    return out.withColumn("bucket", bucket).drop("bounds", "place")
+
 
-    inside = Window.partitionBy("entity", "bucket").orderBy("pos", "ts")
+def backward_steps(
+    df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Count rows whose ts lies before that of the row before them.
+
+    ``df`` has the columns entity, ts, pos and pos_number (pos as a double).
+    Rows are ordered by pos and then by ts.  Gives one row with n and backward.
+    """
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar().cast("double")
+    # Rows of one position are in order of ts among themselves.  Those without a
+    # ts come first, and nothing is compared with them.
+    per_position = df.groupBy("entity", "pos", "pos_number").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.when(F.count("ts") == F.count(F.lit(1)), F.min("ts")).alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+    )
+    inside = Window.partitionBy("entity", "bucket").orderBy("pos")
     per_bucket = (
-        placed.withColumn("before", F.lag("ts").over(inside))
+        _place(per_position, rows, rows_per_bucket)
+        .withColumn("before", F.lag("last_ts").over(inside))
         .groupBy("entity", "bucket")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("ts") < F.col("before")).alias("backward"),
-            F.min_by(F.struct("ts"), F.struct("pos", "ts")).alias("first"),
-            F.max_by(F.struct("ts"), F.struct("pos", "ts")).alias("last"),
+            F.sum("n").alias("n"),
+            F.count_if(F.col("first_ts") < F.col("before")).alias("backward"),
+            F.min_by(F.struct("first_ts"), F.struct("pos")).alias("first"),
+            F.max_by(F.struct("last_ts"), F.struct("pos")).alias("last"),
         )
     )
-    # At most order_buckets + 1 rows per entity from here on.
+    # At most ORDER_BUCKETS + 1 rows per entity from here on.
     across = Window.partitionBy("entity").orderBy("bucket")
-    joined = per_bucket.withColumn("before", F.lag("last.ts").over(across))
-    backward = F.sum(F.col("backward") + F.when(F.col("first.ts") < F.col("before"), 1).otherwise(0))
-    wide = joined.agg(share(backward, F.sum("n")).alias("backward"))
-    return long_rows(wide.select(*[F.col("backward").alias(f"m{m.seq}") for m in measures]), [m.seq for m in measures])
+    joined = per_bucket.withColumn("before", F.lag("last.last_ts").over(across))
+    crossing = F.when(F.col("first.first_ts") < F.col("before"), 1).otherwise(0)
+    return joined.agg(F.sum("n").alias("n"), F.sum(F.col("backward") + crossing).alias("backward"))
+
+
+def sequence_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
+    table, ts_name, entity, order_name = key
+    kind = ctx.type_of(table, order_name)
+    moment = ctx.time(table, order_name) if not isinstance(kind, T.NumericType) else F.lit(None)
+    df = ctx.frame(table).select(
+        (ctx.col(table, entity) if entity else F.lit(0)).alias("entity"),
+        ctx.col(table, ts_name).alias("ts"),
+        ctx.col(table, order_name).alias("pos"),
+        _order_number(ctx.col(table, order_name), kind, moment).alias("pos_number"),
+    )
+    counted = backward_steps(df, ctx.rows_per_bucket)
+    metric = share(F.col("backward"), F.col("n"))
+    return long_rows(counted.select(*[metric.alias(f"m{m.seq}") for m in measures]), [m.seq for m in measures])
 
 
 @plans_check(33)

@@ -18,6 +18,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators import BUILDERS
+from plumbline.operators.sequence import ROWS_PER_BUCKET
 from plumbline.functions.timing import utc_moment
 from plumbline.plans import score
 from plumbline.plans.measure import Measure, ScanContext, chunks, local_frame
@@ -221,11 +222,15 @@ def scan(
     dimensions: Iterable[str] = (),
     excluded: Iterable[tuple[str, str]] = (),
     strict_pii: bool = False,
-    order_buckets: int = 256,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> ScanResult:
-    """Plan a scan.  Nothing is read before an action on one of the result's frames."""
-    if order_buckets < 1 or order_buckets & (order_buckets - 1):
-        raise ValueError("order_buckets must be a power of two")
-    ctx = ScanContext(spark, Tables.of(spark, tables), utc_moment(as_of), order_buckets)
+    """Plan a scan.  Nothing is read before an action on one of the result's frames.
+
+    ``as_of`` stands for the present in checks of freshness.  ``excluded`` are
+    (table, column) pairs to leave alone; ``strict_pii`` applies them to every
+    column a check names.  ``rows_per_bucket`` bounds the rows that one task sorts
+    for the check of timestamp order.
+    """
+    ctx = ScanContext(spark, Tables.of(spark, tables), utc_moment(as_of), rows_per_bucket)
     plan = plan_scan(ctx, select_specs(specs, mvp_only, dimensions), excluded, strict_pii)
     return ScanResult(plan, scan_name, mode, source, plan.metrics())
