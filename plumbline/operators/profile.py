@@ -156,7 +156,11 @@ def _column_facts(f: T.StructField) -> dict[str, Column]:
     nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
     facts = {"present": F.count(col), "min_value": no_text, "max_value": no_text, "mean": nothing, "stddev": nothing}
     if kind in ("int", "float", "datetime"):
-        facts |= {"min_value": F.min(col).cast("string"), "max_value": F.max(col).cast("string")}
+        low, high = F.min(col), F.max(col)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            zero = F.lit(0.0).cast(f.dataType)
+            low, high = low + zero, high + zero      # -0.0 and 0.0 are one value
+        facts |= {"min_value": low.cast("string"), "max_value": high.cast("string")}
     if kind in ("int", "float"):
         value = col.cast("double")
         facts |= {"mean": F.avg(value), "stddev": F.stddev_samp(value)}
