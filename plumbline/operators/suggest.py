@@ -76,10 +76,13 @@ def column_roles(profiled: DataFrame) -> DataFrame:
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     currency = F.first(F.when(_contains_any(name, _CURRENCY_WORDS), F.col("column")), ignorenulls=True).over(of_table)
+    most_frequent = F.transform(
+        F.map_entries("top_values"), lambda v: F.struct((-v["value"]).alias("order"), v["key"].alias("key"))
+    )
     return profiled.select(
         "table", "ordinal", "column",
         F.array_compact(names).alias("roles"),
-        F.slice(F.map_keys("top_values"), 1, _DOMAIN_VALUES).alias("valid_values"),
+        F.transform(F.slice(F.array_sort(most_frequent), 1, _DOMAIN_VALUES), lambda v: v["key"]).alias("valid_values"),
         number("min_value").alias("min"), number("max_value").alias("max"),
         currency.alias("currency_column"),
     )
