@@ -8,9 +8,10 @@ value samples.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from functools import reduce
 
-import math
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,7 @@ _HASH_RANGE = float(2**64)
 # Of d distinct values about 200 fall below the limit; fewer than 20 would do so
 # once in 10**60 tables.
 _SAMPLE_POOL = 200.0
+_COLUMN_GROUPS = 8
 
 
 def profile(df: DataFrame, table: str = "table", distinct: str = "exact") -> DataFrame:
@@ -191,10 +193,21 @@ def _cell(i: int, f: T.StructField) -> Column:
     return F.struct(F.lit(i).alias("ordinal"), whole.alias("whole"), real.alias("real"), text.alias("text"))
 
 
+def _cells(df: DataFrame, fields: list[T.StructField], plain: list[int]) -> DataFrame:
+    """All non-NULL values, one row each.
+
+    A few reads of some columns each, together one read of the table: a task then
+    combines the values of few columns, which keeps its hash table small.
+    """
+    size = -(-len(plain) // _COLUMN_GROUPS)
+    groups = [plain[i:i + size] for i in range(0, len(plain), size)]
+    frames = [df.select(F.inline(F.array(*[_cell(i, fields[i]) for i in g]))) for g in groups]
+    return reduce(DataFrame.unionByName, frames).where("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL")
+
+
 def _values(df: DataFrame, fields: list[T.StructField], plain: list[int], estimates: Column | None) -> DataFrame:
     """Per column: distinct count, up to 50 top values, 20 sampled values."""
-    cells = df.select(F.inline(F.array(*[_cell(i, fields[i]) for i in plain])))
-    cells = cells.where("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL")
+    cells = _cells(df, fields, plain)
     low_hash = F.xxhash64("whole", "real", "text")
     pool = lambda many: low_hash.cast("double") + F.lit(_HASH_RANGE / 2) <= F.lit(_SAMPLE_POOL * _HASH_RANGE) / many
     if estimates is not None:

@@ -42,18 +42,22 @@ def synthesize(
     """
     columns = profiled.orderBy("ordinal").collect()      # one row per column
     partitions = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    numbered = spark.range(0, rows, 1, partitions).withColumnRenamed("id", "__row")
+    # The random numbers come first, as columns, so that a choice among many
+    # values does not draw its number again for each of them.
     row_id = F.col("__row")
+    draws = {f"__u{c['ordinal']}": uniform(row_id, c["column"], seed) for c in columns}
+    draws |= {f"__n{c['ordinal']}": uniform(row_id, c["column"] + ":null", seed) for c in columns}
     drawn = []
     for c in columns:
-        value = _value(c, row_id, seed, allow_sample_values).cast(c["dtype"])
-        missing = uniform(row_id, c["column"] + ":null", seed) < F.lit(float(c["null_rate"]))
+        value = _value(c, row_id, F.col(f"__u{c['ordinal']}"), seed, allow_sample_values).cast(c["dtype"])
+        missing = F.col(f"__n{c['ordinal']}") < F.lit(float(c["null_rate"]))
         drawn.append(F.when(~missing, value).alias(c["column"]))
-    return spark.range(0, rows, 1, partitions).withColumnRenamed("id", "__row").select(*drawn)
+    return numbered.withColumns(draws).select(*drawn)
 
 
-def _value(c: Mapping[str, Any], row_id: Column, seed: int, allow_samples: bool) -> Column:
+def _value(c: Mapping[str, Any], row_id: Column, u: Column, seed: int, allow_samples: bool) -> Column:
     name, category = c["column"], c["category"]
-    u = uniform(row_id, name, seed)
     if c["top_values"]:
         return _weighted(u, c["top_values"])
     if category in ("int", "float"):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import reduce
@@ -27,6 +28,8 @@ from plumbline.spec import CheckSpec, SpecError, select_specs
 
 _PLANNING_ERRORS = (SpecError, PySparkException, ValueError, TypeError, KeyError)
 
+_PLANNERS = 8
+
 METRICS_SCHEMA = "seq INT, metric_value DOUBLE, error STRING"
 
 
@@ -56,24 +59,23 @@ class ScanPlan:
         for row in rows:
             if row.measure is not None:
                 groups[row.measure.compute, row.measure.key].append(row.measure)
-        self.passes: list[tuple[DataFrame, list[Measure]]] = []
-        for measures in groups.values():
-            for part in chunks(measures):
-                self._add_pass(part)
+        parts = [part for measures in groups.values() for part in chunks(measures)]
+        # Building a frame is analysis inside the JVM, so several are built at a time.
+        with ThreadPoolExecutor(_PLANNERS) as pool:
+            self.passes: list[tuple[DataFrame, list[Measure]]] = [p for p in pool.map(self._pass, parts) if p]
 
     def _build(self, measures: list[Measure]) -> DataFrame:
         first = measures[0]
         return first.compute(self.ctx, first.key, measures)
 
-    def _add_pass(self, measures: list[Measure]) -> None:
+    def _pass(self, measures: list[Measure]) -> tuple[DataFrame, list[Measure]] | None:
         """Keep the measures that Spark can analyse; the others become errors."""
         try:
-            self.passes.append((self._build(measures), measures))
-            return
+            return self._build(measures), measures
         except _PLANNING_ERRORS as exc:
             if len(measures) == 1:
                 self.rows[measures[0].seq].error = _message(exc)
-                return
+                return None
         good = []
         for m in measures:
             try:
@@ -81,8 +83,7 @@ class ScanPlan:
                 good.append(m)
             except _PLANNING_ERRORS as exc:
                 self.rows[m.seq].error = _message(exc)
-        if good:
-            self._add_pass(good)
+        return self._pass(good) if good else None
 
     def metrics(self) -> DataFrame:
         """Rows (seq, metric_value, error) of all passes, as one lazy frame."""
