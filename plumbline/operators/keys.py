@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.predicates import label, share
+from plumbline.functions.predicates import count_where, label, share
 from plumbline.operators.registry import plans_check
 from plumbline.plans.measure import Measure, ScanContext, aggregate_measures
 from plumbline.spec import CheckSpec
@@ -52,4 +52,4 @@ def near_duplicate_count(spec: CheckSpec, ctx: ScanContext) -> Measure:
     """Groups of rows that are equal but for case and outer blanks."""
     names = spec.need("columns", "column")
     names = (names,) if isinstance(names, str) else tuple(names)
-    return _over_key(ctx, spec.need("table"), names, True, F.count_if(F.col("n") > 1), "near-duplicate groups")
+    return _over_key(ctx, spec.need("table"), names, True, count_where(F.col("n") > 1), "near-duplicate groups")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import is_nested, quoted, type_category
+from plumbline.functions.predicates import count_where
 from plumbline.plans.measure import MAX_SLOTS, local_frame
 
 # Limits of the profile.
@@ -219,7 +220,7 @@ def _values(df: DataFrame, fields: list[T.StructField], plain: list[int], estima
             .where((many <= 2 * TOP_CUTOFF) | pool(many))
         )
         groups = cells.groupBy("ordinal", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
-        counted = groups.groupBy("ordinal").agg(F.count_if(F.col("n") > 0).alias("counted"))
+        counted = groups.groupBy("ordinal").agg(count_where(F.col("n") > 0).alias("counted"))
         estimate = F.element_at(F.col("estimates"), F.col("ordinal"))
         unique = counted.withColumn("estimates", estimates).select(
             "ordinal", F.when(estimate <= 2 * TOP_CUTOFF, F.col("counted")).otherwise(estimate).alias("unique_count")
@@ -227,7 +228,7 @@ def _values(df: DataFrame, fields: list[T.StructField], plain: list[int], estima
     else:
         groups = cells.groupBy("ordinal", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
         # Reading n here too makes both uses of the groups share one shuffle.
-        unique = groups.groupBy("ordinal").agg(F.count_if(F.col("n") > 0).alias("unique_count"))
+        unique = groups.groupBy("ordinal").agg(count_where(F.col("n") > 0).alias("unique_count"))
 
     # One row per column of the table, so its size is known.
     known = groups.join(F.broadcast(unique), "ordinal")

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, functions as F
 
 from plumbline.functions.columns import is_text, typed_literal
-from plumbline.functions.predicates import as_number, fails_cast, label, ratio, rows, share
+from plumbline.functions.predicates import as_number, count_where, fails_cast, label, ratio, rows, share
 from plumbline.functions.timing import hours_between, wall_time
 from plumbline.operators.registry import over_table, plans_check
 from plumbline.plans.measure import Measure, ScanContext
@@ -41,7 +41,7 @@ def critical_null_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
 def empty_row_count(spec: CheckSpec, ctx: ScanContext) -> Measure:
     table, names = spec.need("table"), _columns(spec)
     empty = reduce(and_, [ctx.col(table, c).isNull() for c in names])
-    return over_table(table, F.count_if(empty), names[0])
+    return over_table(table, count_where(empty), names[0])
 
 
 @plans_check(4)
@@ -172,7 +172,7 @@ def volume_change_pct(spec: CheckSpec, ctx: ScanContext) -> Measure:
     if spec.prior_table:
         return against_table(today, spec.prior_table, None, None, _relative_count_change)
     condition = spec.need("condition", "prior_table")
-    meets, fails = F.count_if(F.expr(condition)), F.count_if(~F.expr(condition))
+    meets, fails = count_where(F.expr(condition)), count_where(~F.expr(condition))
     return over_table(today, share(F.abs(meets - fails), fails), condition, slots=2)
 
 

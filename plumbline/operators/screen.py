@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from plumbline.functions.columns import is_nested, is_text, quoted, type_category
 from plumbline.functions.masking import mask_value
 from plumbline.functions.pii_values import EXACT_NAMES, NAME_PARTS, VALUE_PATTERNS
+from plumbline.functions.predicates import count_where
 from plumbline.plans.measure import MAX_SLOTS, local_frame
 from plumbline.sources.tables import Source, Tables
 from plumbline.spec import as_specs
@@ -116,7 +117,7 @@ def _sampled(df: DataFrame, column: str, size: int, seed: int, present: Column)
 
 
 def _hits(text: Column) -> list[Column]:
-    return [F.count_if(matches(text, p)).alias(p) for p in VALUE_PATTERNS]
+    return [count_where(matches(text, p)).alias(p) for p in VALUE_PATTERNS]
 
 
 def sample_hits(df: DataFrame, table: str, columns: Iterable[str], size: int, seed: int) -> DataFrame:
@@ -302,7 +303,7 @@ def gate_reason(on_pii_detected: str) -> Column:
 
 def manifests(findings: DataFrame, on_pii_detected: str = "exclude", row_counts: DataFrame | None = None) -> DataFrame:
     """One row per table: counts by status, gate, and the findings of its columns."""
-    counts = {f"{s.lower()}_count": F.count_if(F.col("status") == s) for s in ("HIGH", "MEDIUM", "REVIEW", "CLEAR")}
+    counts = {f"{s.lower()}_count": count_where(F.col("status") == s) for s in ("HIGH", "MEDIUM", "REVIEW", "CLEAR")}
     fields = [c for c in findings.columns if c not in ("table", "ordinal")]
     tested = F.max(F.col("detected_via") != "none")
     per_table = findings.groupBy("table").agg(
@@ -399,7 +400,7 @@ def extra_rule_scan(df: DataFrame, table: str) -> DataFrame:
             rule = "date_before_2006"
         else:
             continue
-        aggregates += [F.count(col).alias(f"n{i}"), F.count_if(hit).alias(f"hits{i}")]
+        aggregates += [F.count(col).alias(f"n{i}"), count_where(hit).alias(f"hits{i}")]
         rows.append(F.struct(
             F.lit(table).alias("table"), F.lit(f.name).alias("column"), F.lit(rule).alias("rule"),
             F.col(f"n{i}").alias("values"), F.col(f"hits{i}").alias("hits"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.predicates import ratio, share
+from plumbline.functions.predicates import count_where, ratio, share
 from plumbline.operators.registry import over_table, plans_check
 from plumbline.plans.measure import Measure, ScanContext, long_rows
 from plumbline.spec import CheckSpec, SpecError
@@ -81,7 +81,7 @@ def backward_steps(
         .groupBy("entity", "bucket")
         .agg(
             F.sum("n").alias("n"),
-            F.count_if(F.col("first_ts") < F.col("before")).alias("backward"),
+            count_where(F.col("first_ts") < F.col("before")).alias("backward"),
             F.min_by(F.struct("first_ts"), F.struct("pos")).alias("first"),
             F.max_by(F.struct("last_ts"), F.struct("pos")).alias("last"),
         )

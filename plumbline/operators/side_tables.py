@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.predicates import share, spark_type_name
+from plumbline.functions.predicates import count_where, share, spark_type_name
 from plumbline.operators.registry import over_table, plans_check
 from plumbline.plans.measure import Measure, ScanContext, aggregate_measures
 from plumbline.spec import CheckSpec
@@ -44,8 +44,8 @@ def schema_drift_events(spec: CheckSpec, ctx: ScanContext) -> Measure:
     )
     known = F.count_distinct(F.when(now.isNotNull(), name))
     added = F.lit(len(current)) - known
-    removed = F.count_if(now.isNull())
-    changed = F.count_if(now != spelled)
+    removed = count_where(now.isNull())
+    changed = count_where(now != spelled)
     return Measure(
         drift_pass, (table, baseline), added + removed + changed,
         f"added, removed and changed columns of {table} against {baseline}",
@@ -68,7 +68,7 @@ def metadata_gap_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
     mine = F.lit(True)
     if spec.table:
         mine = F.lower(ctx.col(catalog, "table_name")) == _last_part(spec.table).lower()
-    return over_table(catalog, share(F.count_if(mine & gap), F.count_if(mine)), slots=2)
+    return over_table(catalog, share(count_where(mine & gap), count_where(mine)), slots=2)
 
 
 @plans_check(32)
@@ -82,4 +82,4 @@ def pipeline_failure_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
     if spec.extra.get("since"):
         mine = mine & (ctx.time(runs, "run_ts") >= F.lit(str(spec.extra["since"])).cast("timestamp_ntz"))
     failed = F.lower(ctx.col(runs, "run_status")) == "failed"
-    return over_table(runs, share(F.count_if(mine & failed), F.count_if(mine)), slots=2)
+    return over_table(runs, share(count_where(mine & failed), count_where(mine)), slots=2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.predicates import share
+from plumbline.functions.predicates import count_where, share
 from plumbline.operators.registry import plans_check
 from plumbline.plans.measure import Measure, ScanContext, long_rows
 from plumbline.spec import CheckSpec
@@ -27,7 +27,7 @@ def outlier_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
     def outliers(name: str, z: float):
         i = at[name]
         distance = F.abs(values[name] - known.getField(f"mean{i}")) / known.getField(f"deviation{i}")
-        return share(F.count_if(distance > F.lit(z)), F.count(values[name]))
+        return share(count_where(distance > F.lit(z)), F.count(values[name]))
 
     wide = df.agg(*[outliers(*m.payload).alias(f"m{m.seq}") for m in measures])
     return long_rows(wide, [m.seq for m in measures])

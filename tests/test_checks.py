@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import CheckSpec, Tables, scan
 
@@ -179,3 +180,17 @@ def test_plan_reads_each_table_once_for_row_checks(spark, tmp_path):
     plan = checks._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
     assert "ReadSchema: struct<a:bigint,b:bigint>" in plan
+
+
+def test_a_full_pass_stays_in_generated_code(spark, tmp_path):
+    path = str(tmp_path / "wide.parquet")
+    spark.range(10).select(*[F.col("id").alias(f"c{i}") for i in range(45)]).write.parquet(path)
+    specs = [C(i, table="t", column=f"c{n}", min_value=1) for n in range(45) for i in (1, 11, 12)]
+    result = scan(spark, specs, {"t": path})
+    assert len(result.plan.passes) == 2
+    for frame, measures in result.plan.passes:
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        partial = [line for line in plan.split("== Initial Plan")[0].splitlines() if "partial_count" in line]
+        assert len(measures) > 40 and partial and all("*(" in line for line in partial)
+        assert plan.split("== Initial Plan")[0].count("FileScan") == 1
