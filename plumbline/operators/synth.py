@@ -59,7 +59,7 @@ def synthesize(
 def _value(c: Mapping[str, Any], row_id: Column, u: Column, seed: int, allow_samples: bool) -> Column:
     name, category = c["column"], c["category"]
     if c["top_values"]:
-        return _weighted(u, c["top_values"])
+        return _weighted(u, c["top_values"], c["dtype"])
     if category in ("int", "float"):
         return _number(c, u, normal(row_id, name, seed))
     if category == "bool":
@@ -69,7 +69,7 @@ def _value(c: Mapping[str, Any], row_id: Column, u: Column, seed: int, allow_sam
         last = _moment(c["max_value"]) or datetime.now()
         start = F.to_timestamp_ntz(F.lit(str(first)))
         span = max((last - first).total_seconds(), 1.0)
-        return start + F.make_dt_interval(secs=(u * F.lit(span)).cast("decimal(18,6)"))
+        return F.timestamp_add("MICROSECOND", (u * F.lit(span * 1e6)).cast("bigint"), start)
     if _is_nested_name(c["dtype"]):
         return F.lit(None)
     if allow_samples and c["sample_values"]:
@@ -83,16 +83,18 @@ def _is_nested_name(dtype: str) -> bool:
     return dtype.startswith(("array", "map", "struct", "variant"))
 
 
-def _weighted(u: Column, frequencies: Mapping[str, float]) -> Column:
+def _weighted(u: Column, frequencies: Mapping[str, float], dtype: str) -> Column:
     """One of the values, each as often as in the original."""
     total, reached = sum(frequencies.values()), 0.0
     ordered = sorted(frequencies.items(), key=lambda item: (-item[1], item[0]))
+    # The literals have the type of the column, so that no row parses text.
+    literal = {value: F.lit(value).cast(dtype) for value in frequencies}
     choice = None
     for value, weight in ordered[:-1]:
         reached += weight / total
         hit = u < F.lit(reached)
-        choice = F.when(hit, F.lit(value)) if choice is None else choice.when(hit, F.lit(value))
-    last = F.lit(ordered[-1][0])
+        choice = F.when(hit, literal[value]) if choice is None else choice.when(hit, literal[value])
+    last = literal[ordered[-1][0]]
     return last if choice is None else choice.otherwise(last)
 
 

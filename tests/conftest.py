@@ -10,12 +10,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
+    from plumbline.settings import SESSION_SETTINGS
+
     session = (
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        .config(map=SESSION_SETTINGS)
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
