@@ -20,6 +20,7 @@ from plumbline.sources.tables import Source, Tables
 from plumbline.spec import as_specs
 
 MASKED_SAMPLES = 3
+_KEPT_SAMPLE = 1000      # samples up to this size give the masked values themselves
 
 
 class PIIBlocked(RuntimeError):
@@ -241,11 +242,15 @@ def screen_columns(
             if not is_nested(f.dataType)
             and ((table, f.name) in flagged or (config.scan_all_text and is_text(f.dataType)))
         ]
-        if chosen and config.sample_size is None:
-            samples = masked_samples(df, table, chosen, config.seed)
-            tested.append(full_hits(df, table, chosen).join(samples, ["table", "column"]))
-        elif chosen:
-            tested.append(sample_hits(df, table, chosen, config.sample_size, config.seed))
+        if not chosen:
+            continue
+        size = config.sample_size
+        if size is not None and size <= _KEPT_SAMPLE:
+            tested.append(sample_hits(df, table, chosen, size, config.seed))
+            continue
+        hits = full_hits(df, table, chosen) if size is None else \
+            sample_hits(df, table, chosen, size, config.seed).drop("samples")
+        tested.append(hits.join(masked_samples(df, table, chosen, config.seed), ["table", "column"]))
     if tested:
         # One row per tested column on the right.
         named = named.join(reduce(DataFrame.unionByName, tested), ["table", "column"], "left")

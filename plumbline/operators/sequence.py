@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.predicates import count_where, ratio, share
+from plumbline.functions.timing import wall_time
 from plumbline.operators.registry import over_table, plans_check
 from plumbline.plans.measure import Measure, ScanContext, long_rows
 from plumbline.spec import CheckSpec, SpecError
@@ -22,13 +23,13 @@ ROWS_PER_BUCKET = 20_000_000
 _SAMPLED_POSITIONS = 10_000_000
 
 
-def _order_number(col: Column, kind: T.DataType, moment: Column) -> Column:
+def _order_number(pos: Column, kind: T.DataType) -> Column:
     """The order column as a number of the same order."""
     if isinstance(kind, T.NumericType):
-        return col.cast("double")
+        return pos.cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
-        return F.timestamp_diff("MICROSECOND", epoch, moment).cast("double")
+        return F.timestamp_diff("MICROSECOND", epoch, wall_time(pos, kind)).cast("double")
     raise SpecError("order_column must be a number, a date or a timestamp")
 
 
@@ -44,9 +45,9 @@ def _bounds(positions: DataFrame, rows: Column) -> Column:
     return sampled.agg(F.percentile_approx("pos_number", steps, 10 * ORDER_BUCKETS).alias("bounds")).scalar()
 
 
-def _place(df: DataFrame, rows: Column, rows_per_bucket: int) -> DataFrame:
+def _place(df: DataFrame, bounds: Column, rows: Column, rows_per_bucket: int) -> DataFrame:
     """Add the bucket of each position: as few buckets as the row count needs."""
-    out = df.withColumn("bounds", _bounds(df.select("pos_number"), rows)).withColumn("place", F.lit(0))
+    out = df.withColumn("bounds", bounds).withColumn("place", F.lit(0))
     jump = ORDER_BUCKETS // 2
     while jump:  # binary search for the number of bounds <= pos_number
         reached = F.get("bounds", F.col("place") + F.lit(jump - 1)) <= F.col("pos_number")
@@ -58,25 +59,25 @@ def _place(df: DataFrame, rows: Column, rows_per_bucket: int) -> DataFrame:
     return out.withColumn("bucket", bucket).drop("bounds", "place")
 
 
-def backward_steps(
-    df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
+def backward_steps(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Count rows whose ts lies before that of the row before them.
 
-    ``df`` has the columns entity, ts, pos and pos_number (pos as a double).
-    Rows are ordered by pos and then by ts.  Gives one row with n and backward.
+    ``df`` has the columns entity, ts and pos.  Rows are ordered by pos and then
+    by ts.  Gives one row with n and backward.
     """
+    number = _order_number(F.col("pos"), df.schema["pos"].dataType).alias("pos_number")
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar().cast("double")
+    bounds = _bounds(df.select(number), rows)
     # Rows of one position are in order of ts among themselves.  Those without a
     # ts come first, and nothing is compared with them.
-    per_position = df.groupBy("entity", "pos", "pos_number").agg(
+    per_position = df.groupBy("entity", "pos").agg(
         F.count(F.lit(1)).alias("n"),
         F.when(F.count("ts") == F.count(F.lit(1)), F.min("ts")).alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
     inside = Window.partitionBy("entity", "bucket").orderBy("pos")
     per_bucket = (
-        _place(per_position, rows, rows_per_bucket)
+        _place(per_position.select("*", number), bounds, rows, rows_per_bucket)
         .withColumn("before", F.lag("last_ts").over(inside))
         .groupBy("entity", "bucket")
         .agg(
@@ -95,13 +96,10 @@ def backward_steps(
 
 def sequence_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
     table, ts_name, entity, order_name = key
-    kind = ctx.type_of(table, order_name)
-    moment = ctx.time(table, order_name) if not isinstance(kind, T.NumericType) else F.lit(None)
     df = ctx.frame(table).select(
         (ctx.col(table, entity) if entity else F.lit(0)).alias("entity"),
         ctx.col(table, ts_name).alias("ts"),
         ctx.col(table, order_name).alias("pos"),
-        _order_number(ctx.col(table, order_name), kind, moment).alias("pos_number"),
     )
     counted = backward_steps(df, ctx.rows_per_bucket)
     metric = share(F.col("backward"), F.col("n"))
@@ -123,7 +121,7 @@ def time_integrity_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
     if not order:
         ts = ctx.col(table, name)
         return over_table(table, ratio(ts < ts), name)
-    _order_number(F.lit(None), ctx.type_of(table, order), F.lit(None))
+    _order_number(F.lit(None), ctx.type_of(table, order))
     ctx.type_of(table, name)
     return Measure(
         sequence_pass, (table, name, spec.entity_column, order), None,

@@ -84,7 +84,8 @@ class CheckSpec:
         given = {k: v for k, v in raw.items() if k in known and v is not None}
         for name in ("columns", "business_key_columns", "allowed_values"):
             if name in given:
-                given[name] = tuple(given[name])
+                value = given[name]
+                given[name] = (value,) if isinstance(value, str) else tuple(value)
         return cls(**given)
 
     def with_column(self, column: str) -> "CheckSpec":

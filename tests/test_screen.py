@@ -86,6 +86,12 @@ def test_values_revise_the_names(spark, people, size):
         assert rows["location"]["detected_via"] == "name_match+regex"
 
 
+def test_large_samples(spark, monkeypatch, people):
+    monkeypatch.setattr(s, "_KEPT_SAMPLE", 10)
+    row = s.screen_columns(spark, {"t": people}, ScreenConfig(sample_size=100)).where("column = 'email'").first()
+    assert (row["status"], row["sample_count"], len(row["masked_samples"])) == ("HIGH", 100, 3)
+
+
 def test_equal_hits_keep_the_earlier_pattern(spark):
     t = spark.createDataFrame([("4111111111111",)], "card string")       # phone_e164 and credit_card
     row = s.screen_columns(spark, {"t": t}).first()

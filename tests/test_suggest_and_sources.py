@@ -111,6 +111,7 @@ def test_specs_as_rows_and_back(spark):
     specs = [CheckSpec(9, table="t", column="c", allowed_values=(1, "a")), CheckSpec(6, table="t", business_key_columns=("a", "b"))]
     rows = specs_frame(spark, specs).orderBy("seq").collect()
     assert [CheckSpec.from_dict(json.loads(r["parameters"])) for r in rows] == specs
+    assert CheckSpec.from_dict({"check_id": 7, "columns": "name"}).columns == ("name",)
     assert CheckSpec.from_dict({"check_id": 1, "made_up": 5, "table": None}) == CheckSpec(1)
 
 
