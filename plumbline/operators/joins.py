@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import quoted
+from plumbline.functions.columns import quoted, type_category
 from plumbline.functions.predicates import share
 from plumbline.operators.registry import plans_check
 from plumbline.operators.rows import drift_without_baseline
@@ -23,8 +23,10 @@ from plumbline.spec import CheckSpec
 
 
 def _comparable(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> tuple[Column, Column]:
-    """Two keys in one type.  Numbers widen by themselves; mixed kinds meet as text."""
-    if a_type == b_type or (isinstance(a_type, T.NumericType) and isinstance(b_type, T.NumericType)):
+    """Two keys in one type.  Numbers widen by themselves, and so do dates and
+    timestamps; other mixed kinds meet as text."""
+    kinds = {type_category(t) for t in (a_type, b_type)}
+    if a_type == b_type or kinds <= {"int", "float"} or kinds == {"datetime"}:
         return a, b
     return a.cast("string"), b.cast("string")
 

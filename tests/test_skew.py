@@ -60,3 +60,13 @@ def test_no_pass_joins_or_ranks_raw_rows(spark, sides):
     for frame, _ in scan(spark, specs, sides).plan.passes:
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "CartesianProduct" not in plan and "Window" not in plan
+
+
+def test_keys_of_different_types(spark):
+    tables = {
+        "days": spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-04')) AS d, '2' AS t, 2 AS i, 1.50BD AS c"),
+        "times": spark.sql("SELECT TIMESTAMP_NTZ'2024-01-02 00:00:00' AS d, 2L AS t, 2.0D AS i, 1.5D AS c"),
+    }
+    specs = [CheckSpec(18, table="days", column=c, parent_table="times", parent_column=c) for c in ("d", "t", "i", "c")]
+    got = scan(spark, specs, tables).checks.orderBy("seq").collect()
+    assert [(r["metric_value"], r["error"]) for r in got] == [(0.75, None), (0.0, None), (0.0, None), (0.0, None)]
