@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, simhash
+from plumbline.llm import bpe, lm, quality, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -24,14 +24,47 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    teaches = ~toxicity.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.Model.fit(docs, table(spark, sf_dir, "labels"), teaches=teaches)
+    return model.score(docs).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id"), 5, 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, the base rules' verdict, and the trees' on what passes these."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.Rules.fit(docs, table(spark, sf_dir, "labels"))
+    scored = rules.score(quality.statistics(docs)).select("doc_id", "counts.*", "quality")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return scored.select(*base, failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by models of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = toxicity.held_out(F.col("doc_id"), 7, 2)
+    model = lm.Model.fit(docs.filter(~apart))
+    return model.score(docs).select(
+        "doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
