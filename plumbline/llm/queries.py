@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, lm, quality, simhash, toxicity
+from plumbline.llm import bpe, line_dedup, lm, quality, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that match earlier ones, and how many these are."""
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "text", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by a model of the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,7 +70,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
