@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, line_dedup, lm, quality, simhash, toxicity
+from plumbline.llm import bpe, line_dedup, lm, mixing, quality, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -30,6 +30,42 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "text", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix of the sources takes of each document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    taken = F.col("size") * F.col("epochs") + F.col("part")
+    return mixed.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[^\p{L}\x20\x09-\x0D]')) AS odd FROM documents),
+keyed AS (
+  SELECT doc_id, source, size, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || t), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+    / CASE WHEN length(t) > 0 THEN greatest(0.25::DOUBLE, (length(t) - odd)::DOUBLE * (length(t) - odd)::DOUBLE / (length(t)::DOUBLE * length(t)::DOUBLE)) ELSE 1::DOUBLE END AS key
+  FROM docs),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighed AS (
+  SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS weight, source_size * 2::DOUBLE AS most FROM sizes),
+levels AS (
+  SELECT *, most / weight AS ratio, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS place,
+    (sum(source_size::DOUBLE) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size, least(most, coalesce(weight * (SELECT arg_min(level, place) FROM levels WHERE level <= ratio), most)) AS target FROM levels),
+summed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM keyed),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, s.ahead, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs
+  FROM summed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * epochs + greatest(0, least(size, round(target - epochs * source_size)::BIGINT - ahead)))::BIGINT AS taken
+FROM placed
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by a model of the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,8 +106,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": OP5_SQL}

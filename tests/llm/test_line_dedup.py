@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from plumbline.llm import line_dedup, line_tokens, queries
@@ -54,7 +55,7 @@ def test_random_lines_against_all_pairs(make_docs, monkeypatch, heads):
 
 def test_texts_beyond_one_stretch(make_docs, monkeypatch):
     monkeypatch.setattr(line_tokens, "_STRETCH", 50)
-    parts = [lines.text.tolist() for lines in line_tokens.lines_of([b"a b c " * 10, b"d\ne f", b"", b"g " * 60, b"h"], line_tokens.levels_of([1] * (1 << line_tokens.COUNT_BITS)))]
+    parts = [lines.text.tolist() for lines in line_tokens.lines_of([b"a b c " * 10, b"d\ne f", b"", b"g " * 60, b"h"], line_tokens.levels_of(np.ones(1 << line_tokens.COUNT_BITS)))]
     assert parts == [[0, 1, 1, 3], [4]]
 
 
