@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, line_dedup, lm, mixing, quality, simhash, toxicity
+from plumbline.llm import bpe, fingerprints, line_dedup, lm, mixing, quality, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -95,6 +95,20 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how like they and the next document's are."""
+    found = fingerprints.versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.shown(F.col("own")).alias("fingerprint"),
+        fingerprints.shown(F.col("changed")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        fingerprints.likeness(F.col("own"), F.col("next")).alias("near_next"),
+    )
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by models of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,7 +120,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
