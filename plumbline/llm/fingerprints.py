@@ -5,7 +5,7 @@ so that short texts have several. Each paragraph's digest (XXH64) is added to on
 sketch. A cell holds a count, the XOR of its digests and the XOR of their checks. Subtracting the cells of two sketches
 leaves those of the digests that only one text has. Peeling recovers them: a cell of count 1 or -1 whose check fits its
 digest holds exactly that digest, which is then taken out of its other cells, until all cells are empty. A sketch starts
-with cells for differences of about half the paragraphs; if peeling fails, the same texts are sketched with four times
+with cells for differences of about a quarter of the digests; if peeling fails, the same texts are sketched with four times
 the cells, up to TRIES times. Sets of more than BLOCK digests are split by hash into blocks that are sketched apart, so
 the work grows with the length of a text. What still fails, which two digests in the same three cells can cause, is
 compared set against set.
@@ -30,7 +30,7 @@ OPENING, FINE, WINDOW = 32, 4, 32
 PARTS = 3
 #: Cells in a part of the fixed sketch that a fingerprint's text shows.
 SHOWN = 4
-BLOCK = 256
+BLOCK = 128
 TRIES = 4
 ROUNDS = 12
 _SPACE, _SPACE_IN_LINE = r"[\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]"
@@ -59,24 +59,26 @@ def _check(digest: Column) -> Column:
 
 
 def _at(digest: Column, part: int, cells: Column) -> Column:
-    """Place of a digest in one part of a sketch with so many cells a part."""
-    return F.pmod(F.xxhash64(digest, F.lit(part)), cells).cast("int") + part * cells
+    """Place of a digest within one part of a sketch with so many cells a part."""
+    return F.pmod(F.xxhash64(digest, F.lit(part)), cells).cast("int")
 
 
-def _items(found: Column, cells: Column, sign: int) -> Column:
-    return F.transform(found, lambda d: F.struct(F.lit(sign).alias("n"), d.alias("k"), _check(d).alias("h"), *(_at(d, p, cells).alias(f"c{p}") for p in range(PARTS))))
+def _item(sign: Column, digest: Column, check: Column, cells: Column) -> Column:
+    return F.struct(sign.alias("n"), digest.alias("k"), check.alias("h"), *(_at(digest, p, cells).alias(f"c{p}") for p in range(PARTS)))
 
 
-def _plus(cell: Column, items: Column, at: Column, sign: int) -> Column:
+def _with(cell: Column, items: Column, part: int, at: Column, sign: int) -> Column:
     """A cell with the items that fall into its place added or taken out."""
-    own = F.filter(items, lambda i: (i["c0"] == at) | (i["c1"] == at) | (i["c2"] == at))
-    return F.aggregate(own, cell, lambda c, i: F.struct(
+    return F.aggregate(F.filter(items, lambda i: i[f"c{part}"] == at), cell, lambda c, i: F.struct(
         (c["n"] + sign * i["n"]).alias("n"), c["k"].bitwiseXOR(i["k"]).alias("k"), c["h"].bitwiseXOR(i["h"]).alias("h")))
 
 
-def sketch(items: Column, cells: Column) -> Column:
-    places = F.sequence(F.lit(0), cells * PARTS - 1)
-    return _bound(items, lambda made: F.transform(places, lambda at: _plus(F.expr(_ZERO), made, at, 1)))
+def sketch(found: Column, cells: Column) -> Column:
+    """The cells of a set of digests, part after part."""
+    items = F.transform(found, lambda d: _item(F.lit(1), d, _check(d), cells))
+    places = F.sequence(F.lit(0), cells - 1)
+    part = lambda made, p: F.transform(places, lambda at: _with(F.expr(_ZERO), made, p, at, 1))
+    return _bound(items, lambda made: F.concat(*(part(made, p) for p in range(PARTS))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -88,9 +90,10 @@ def peel(difference: Column, cells: Column) -> Column:
 
     def round_(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
-        items = F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"), *(_at(c["k"], p, cells).alias(f"c{p}") for p in range(PARTS)))))
+        items = F.array_distinct(F.transform(pure, lambda c: _item(c["n"], c["k"], c["h"], cells)))
+        part = lambda found, p: F.transform(F.slice(state["cells"], cells * p + 1, cells), lambda c, at: _with(c, found, p, at, -1))
         return _bound(items, lambda found: F.when(F.size(found) == 0, state).otherwise(F.struct(
-            F.transform(state["cells"], lambda c, at: _plus(c, found, at, -1)).alias("cells"),
+            F.concat(*(part(found, p) for p in range(PARTS))).alias("cells"),
             F.concat(state["found"], F.transform(found, lambda i: i["k"])).alias("found"))))
 
     start = F.struct(difference.alias("cells"), F.array().cast("array<bigint>").alias("found"))
@@ -104,8 +107,8 @@ def differing(a: Column, b: Column) -> Column:
     """Digests that only one of two sets has, recovered from the difference of their sketches."""
 
     def tried(x: Column, y: Column, more: int) -> Column:
-        cells = F.greatest(F.lit(4), F.ceil((F.size(x) + F.size(y)) / F.lit(4 * PARTS))).cast("int") * (4**more)
-        return _bound(cells, lambda n: _bound(subtract(sketch(_items(x, n, 1), n), sketch(_items(y, n, 1), n)), lambda cut: peel(cut, n)))
+        cells = F.greatest(F.lit(4), F.ceil((F.size(x) + F.size(y)) / F.lit(8))).cast("int") * (4**more)
+        return _bound(cells, lambda n: _bound(subtract(sketch(x, n), sketch(y, n)), lambda cut: peel(cut, n)))
 
     def block(x: Column, y: Column) -> Column:
         return F.coalesce(*(tried(x, y, more) for more in range(TRIES)), F.concat(F.array_except(x, y), F.array_except(y, x)))
@@ -123,7 +126,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def shown(found: Column) -> Column:
     """A fingerprint as text: the number of digests and the cells of a sketch of fixed size."""
-    cells = F.transform(sketch(_items(found, F.lit(SHOWN), 1), F.lit(SHOWN)), lambda c: F.concat(c["n"].cast("string"), F.lit("."), F.lower(F.hex(c["k"]))))
+    cells = F.transform(sketch(found, F.lit(SHOWN)), lambda c: F.concat(c["n"].cast("string"), F.lit("."), F.lower(F.hex(c["k"]))))
     return F.concat(F.size(found).cast("string"), F.lit(":"), F.array_join(cells, ","))
 
 
