@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, fingerprints, line_dedup, lm, mixing, quality, simhash, toxicity
+from plumbline.llm import bpe, fingerprints, line_dedup, lm, mixing, quality, secrets, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -30,6 +30,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "text", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.Model.fit(docs).find(docs)
+    of = lambda name: F.filter("secrets", lambda s: s["kind"] == name)
+    base = F.filter("secrets", lambda s: s["number"] < len(secrets.PATTERNS))
+    return found.select(
+        "doc_id",
+        *(F.size(of(name)).cast("long").alias(f"n_{name}") for name, _, _ in secrets.PATTERNS),
+        F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
+        secrets.as_text(F.col("secrets")).alias("spans"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words a mix of the sources takes of each document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -120,7 +134,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op4_secret_scan, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
