@@ -7,16 +7,18 @@ one document: they lose the same lines, and a line does not match itself in the
 
 How: equal sets are one row, so a line with any number of copies is met once. The words of a set are ordered from the
 rarest on, by counts over all texts. Two sets can only match if they share a word among the first |x| - ceil(0.8 |x|) + 1
-of each, so these words are the join keys. Pairs must then pass the length filter, the positional filter (words left
-after the shared one) and a parity filter (each word that only one set has flips at most one of 32 bits). Survivors are
-verified on the sets themselves. It is enough to find one earlier match. So in a word's list a set first meets HEADS
-early members, and only if none passes the filters the whole list; sets whose heads pass but fail verification meet
-whole lists afterwards. No pairs within a large group of near copies are formed, and no match is lost.
+of each, so these words are the join keys: Spark brings the entries of a word together, sorted by document, and a task
+compares them in numpy. Pairs must pass the length filter, the positional filter (words left after the shared one) and a
+parity filter (each word that only one set has flips at most one of 32 bits). Survivors are verified on the sets.
+It is enough to find one earlier match, so the first round verifies for each set only the partner with the fewest
+flips, found among its LAGS predecessors in a word's list or, if none passes, in the whole list. Sets whose partner
+fails are verified against all that pass, in a second round. No pairs within a large group of near copies are formed
+for members whose first partner holds, and no match is lost.
 
 Words are compared by 64-bit hashes. The only broadcasts are the table of word counts (2**COUNT_BITS numbers) and a
-bitmap of 2**BITMAP_BITS bits that spares most lines the verification; its false positives only cost rows.
+bitmaps of 2**BITMAP_BITS bits that spare most texts and lines the verification; false positives only cost rows.
 
-Null texts stay null and have no lines. A text that loses all lines becomes empty; its row stays. Repeated rows keep
+doc_id is a whole number. Null texts stay null and have no lines. A text that loses all lines becomes empty; its row stays. Repeated rows keep
 equal results, an empty table gives an empty one, other columns stay.
 """
 
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import stored
 from plumbline.llm.line_tokens import COUNT_BITS, count_words, levels_of, lines_of
 
-HEADS = 8
+LAGS = 8
+#: Pairs that are compared at once in a long list.
+_MATRIX = 1 << 21
 BITMAP_BITS = 24
 #: Sets with fewer words match none but equal sets.
 LEAST = 4
@@ -97,78 +101,127 @@ def line_sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     return texts.mapInArrow(found, f"doc {kind}, dh long, line int, key binary, id long, size int, prefix array<long>")
 
 
-def _passes(x_size: Column, x_pos: Column, x_id: Column, y_size: Column, y_pos: Column, y_id: Column) -> Column:
-    """Length, positional and parity filters. Jaccard of at least 0.8 is an overlap of at least 4/9 of both sizes."""
-    both = x_size + y_size
-    overlap = F.least(x_pos, y_pos) + 1 + F.least(x_size - x_pos, y_size - y_pos) - 1
-    flips = F.bit_count(F.shiftrightunsigned(x_id.bitwiseXOR(y_id), 32))
-    return (5 * x_size >= 4 * y_size) & (5 * y_size >= 4 * x_size) & (9 * overlap >= 4 * both) & (9 * (both - flips) >= 8 * both)
-
-
-def candidates(lines: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (x, y) of ids that pass the filters, x not in a later document than y. For each y and word: the
-    heads of the word's list that pass, or if none does, all of the list that pass. only: whole lists for these y (id)."""
-    entries = lines.filter(F.size("prefix") > 0).select("doc", "id", "size", F.posexplode("prefix").alias("pos", "word"))
-    rank = F.struct("doc", "id", "size", "pos")
-    postings = entries.repartition("word").groupBy("word", "id").agg(F.min(rank).alias("p")).select("word", "p.*")
-    early = F.col("x.doc").isNull() | (F.col("x.doc") <= F.col("y.doc"))
-    meets = (F.col("x.word") == F.col("y.word")) & (F.col("x.id") != F.col("y.id")) & early
-    meets &= _passes(*(F.col(f"{s}.{c}") for s in "xy" for c in ("size", "pos", "id")))
-    if only is not None:
-        open_ = postings.join(only, "id", "left_semi")
-        return open_.alias("y").join(postings.alias("x"), meets).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
-    heads = postings.groupBy("word", F.pmod("id", F.lit(HEADS)).alias("salt")).agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("n"))
-    heads = heads.groupBy("word").agg(F.collect_list("head").alias("heads"), F.sum("n").alias("n")).filter("n > 1")  # HEADS at most
-    probes = postings.join(heads.select("word", "heads"), "word")
-    doc, own = F.col("doc"), [F.col(c) for c in ("size", "pos", "id")]
-    fits = lambda h: (h["id"] != own[2]) & (h["doc"].isNull() | (h["doc"] <= doc)) & _passes(h["size"], h["pos"], h["id"], *own)
-    probes = probes.withColumn("near", F.filter("heads", fits)).drop("heads")
-    first = probes.filter(F.size("near") > 0).select(F.explode("near.id").alias("x"), F.col("id").alias("y"))
-    rest = probes.filter(F.size("near") == 0).alias("y").join(postings.alias("x"), meets).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
-    return first.union(rest).distinct()
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids' hashes."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+class _List:
+    """Entries of words, sorted by word and document: columns word, doc, id, size, pos, open."""
+
+    def __init__(self, columns: list[np.ndarray]) -> None:
+        self.columns = columns
+        self.word, self.doc, self.id, self.size, self.pos, self.open = columns
+
+    def flips(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Differing parity bits of pairs of entries that pass all filters; 255 for the others. Jaccard of at least 0.8
+        is an overlap of at least 4/9 of both sizes. Entries of one document pass in either order."""
+        n, m, i, j = self.size[x], self.size[y], self.pos[x], self.pos[y]
+        both, overlap = n + m, np.minimum(i, j) + np.minimum(n - i, m - j)
+        flips = np.bitwise_count((self.id[x] ^ self.id[y]).view(np.uint64) >> np.uint64(32)).astype(np.int64)
+        good = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * overlap >= 4 * both) & (both >= 9 * flips) & (self.id[x] != self.id[y])
+        return np.where(good, flips, 255)
+
+    def pairs(self, done: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(x, y, flips) of places, for y from done on: the best earlier x, or with every all that pass for open y."""
+        n = len(self.word)
+        first = np.zeros(n, np.int64)
+        starts = np.flatnonzero(np.r_[True, self.word[1:] != self.word[:-1]])
+        first[starts] = starts
+        first = np.maximum.accumulate(first)
+        same = np.r_[True, (self.word[1:] != self.word[:-1]) | (self.doc[1:] != self.doc[:-1])]
+        run = np.searchsorted(np.flatnonzero(same), np.arange(n), "right")
+        last = np.r_[np.flatnonzero(same)[1:], n][run - 1]  # the end of the entries of y's word and document
+        todo = np.arange(done, n)[self.open[done:]]
+        if not every:
+            best, near = np.full(n, -1), np.full(n, 255)
+            for lag in range(1, LAGS + 1):
+                y = todo[todo - lag >= first[todo]]
+                flips = self.flips(y - lag, y)
+                y, flips = y[(better := flips < near[y])], flips[better]
+                best[y], near[y] = y - lag, flips
+            y = np.flatnonzero(best >= 0)
+            yield best[y], y, near[y]
+            todo = todo[(best[todo] < 0) & ((todo - first[todo] > LAGS) | (last[todo] - todo > 1))]
+        width = last[todo] - first[todo]
+        at = 0
+        while at < len(todo):  # the whole list, in blocks; later lines of y's own document are in it
+            more = max(1, int(np.searchsorted(np.cumsum(width[at:]), _MATRIX)))
+            y = np.repeat(todo[at : at + more], width[at : at + more])
+            x = np.arange(len(y)) - np.repeat(np.cumsum(width[at : at + more]) - width[at : at + more], width[at : at + more]) + first[y]
+            flips = self.flips(x, y)
+            yield x[flips < 255], y[flips < 255], flips[flips < 255]
+            at += more
+
+
+def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Pairs (x, y, flips) of ids that pass the filters, x not in a later document than y: for each y and word the best
+    partner or all; with failed (id) all, and for these y only."""
+    entries = lines.select("doc", "id", "size", F.posexplode("prefix").alias("pos", "word"))
+    entries = entries.withColumn("open", F.lit(True)) if failed is None else entries.join(failed.withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    ranked = entries.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63))))
+    together = ranked.select("word", "doc", "id", "size", "pos", "open").repartition("word").sortWithinPartitions("word", "doc", "id")
+    every = failed is not None
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False).astype(bool if k == 5 else np.int64) for k, c in enumerate(batch.columns)]
+            done = 0
+            if held is not None:
+                # Lines of one document may be cut by the batch: its entries are compared again with what follows.
+                done = int(np.searchsorted(held[1], held[1][-1])) if held[0][-1] == columns[0][0] else len(held[0])
+                columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+            entries = _List(columns)
+            for x, y, flips in entries.pairs(done, every):
+                yield pa.RecordBatch.from_arrays([pa.array(entries.id[x]), pa.array(entries.id[y]), pa.array(flips)], ["x", "y", "flips"])
+            at = int(np.searchsorted(entries.word, entries.word[-1]))
+            held = [c[at:] for c in columns]
+
+    return together.mapInArrow(compared, "x long, y long, flips long")
+
+
+def _bitmap(numbers: DataFrame) -> np.ndarray:
+    """Bits of the numbers (one column)."""
+    bit = F.pmod(F.col(numbers.columns[0]), F.lit(1 << BITMAP_BITS))
+    words = numbers.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     found, out = words.toArrow(), np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def _sets(texts: DataFrame, levels: np.ndarray, ids: DataFrame) -> DataFrame:
-    """(id, key, words) of the lines whose id is among ids, and of few others."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((levels, _bitmap(ids)))
+def _held(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    bits = numbers.view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bitmap[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _sets(texts: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """(id, key, first, words) of wanted sets (id, key, first); their words are read again where they first occur."""
+    spark, kind = texts.sparkSession, texts.schema["doc"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((levels, _bitmap(wanted.select("first.dh")), _bitmap(wanted.select("id"))))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, bitmap = shared.value
-        mask = np.uint64((1 << BITMAP_BITS) - 1)
+        levels, texts_held, ids_held = shared.value
         for batch in batches:
+            batch = batch.filter(pa.array(_held(texts_held, batch.column("dh").to_numpy())))
             for lines in lines_of(_texts(batch), levels):
                 keys, ids = _keys(lines)
-                raw = ids.tobytes()
-                bits = np.fromiter((_spark_hash(raw[8 * i : 8 * i + 8]) for i in range(len(ids))), np.uint64, len(ids)) & mask
-                take = (bitmap[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) > 0
-                words = lines.hashes[np.repeat(take, lines.size)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[take]), _binary(keys[take]), _lists(words, lines.size[take])], ["id", "key", "words"])
-
-    return texts.select("text").mapInArrow(found, "id long, key binary, words array<long>").groupBy("key").agg(F.first("id").alias("id"), F.first("words").alias("words"))
-
+                take = _held(ids_held, ids)
+                at = pa.array(lines.text[take])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").take(at), batch.column("dh").take(at), pa.array(lines.line[take].astype(np.int32)), _binary(keys[take]),
+                     _lists(lines.hashes[np.repeat(take, lines.size)], lines.size[take])],
+                    ["doc", "dh", "line", "key", "words"])
 
-def _spark_hash(eight: bytes) -> int:
-    """Spark's xxhash64 of a long."""
-    return xxhash.xxh64_intdigest(eight, 42)
+    read = texts.mapInArrow(found, f"doc {kind}, dh long, line int, key binary, words array<long>")
+    here = F.struct("doc", "dh", "line").eqNullSafe(F.col("first"))
+    return read.join(wanted, "key").filter(here).dropDuplicates(["key"]).select("id", "key", "first", "words")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Keys (with y's id) of sets that match an earlier one."""
+    """(key, id) of sets that match an earlier one."""
     x, y = (sets.select(F.col("id").alias(s), F.col("key").alias(f"{s}_key"), F.col("words").alias(f"{s}_words"), F.col("first").alias(f"{s}_first")) for s in "xy")
-    both = pairs.join(x, "x").join(y, "y").filter(F.col("x_key") != F.col("y_key"))
+    both = pairs.select("x", "y").join(x, "x").join(y, "y").filter((F.col("x_key") != F.col("y_key")) & (F.col("x_first") < F.col("y_first")))
     shared = F.size(F.array_intersect("x_words", "y_words"))
     close = both.filter(9 * shared >= 4 * (F.size("x_words") + F.size("y_words")))
-    return close.filter(F.col("x_first") < F.col("y_first")).select(F.col("y_key").alias("key"), "y").distinct()
+    return close.select(F.col("y_key").alias("key"), F.col("y").alias("id")).distinct()
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,21 +230,19 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     levels = word_levels(texts)
     lines = stored(line_sets(texts, levels))
     place = F.struct("doc", "dh", "line")
-    firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    pairs = stored(candidates(lines))
+    firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("size").alias("size")))
+    indexed = lines.filter(F.col("size") >= LEAST).join(firsts.select("key", "first"), "key").filter(place.eqNullSafe(F.col("first"))).dropDuplicates(["key"])
+    best = F.min_by("x", F.struct("flips", "x")).alias("x")
+    pairs = stored(candidates(indexed).groupBy("y").agg(best))
     flagged = None
-    while True:
+    for last in (False, True):
         ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-        sets = _sets(texts, levels, ids).join(firsts.select("key", "first"), "key")
-        now = stored(_verified(pairs, sets))
-        if flagged is not None:
-            flagged = flagged.union(now)
-            break
-        flagged = now
-        failed = stored(pairs.select(F.col("y").alias("id")).distinct().join(now.select(F.col("y").alias("id")), "id", "left_anti"))
-        if failed.isEmpty():
+        now = stored(_verified(pairs, stored(_sets(texts, levels, stored(firsts.join(ids, "id").select("id", "key", "first"))))))
+        flagged = now if flagged is None else flagged.union(now)
+        if last:
             break
-        pairs = stored(candidates(lines, failed).join(pairs, ["x", "y"], "left_anti"))
+        failed = stored(pairs.select(F.col("y").alias("id")).join(now.select("id"), "id", "left_anti"))
+        pairs = stored(candidates(indexed, failed).select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti"))
         if pairs.isEmpty():
             break
     marked = firsts.join(flagged.select("key", F.lit(True).alias("near")).distinct(), "key", "left").filter("n > 1 OR near")

@@ -11,9 +11,10 @@ import xxhash
 #: Words are counted by this many bits of their hash; the order of rarity comes from these counts.
 COUNT_BITS = 17
 #: Bits of a word's hash beside its rarity in the order of words.
-ORDER_BITS = 46
+ORDER_BITS = 38
 KEPT_WORDS = 1 << 19
 _STRETCH = 1 << 18
+_LINE_BITS = 64 - 8 - ORDER_BITS
 
 
 class _WordHashes(dict):
@@ -57,8 +58,11 @@ class Lines:
         rarity = levels[(hashed >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
         ordered = rarity << np.uint64(ORDER_BITS) | hashed & np.uint64((1 << ORDER_BITS) - 1)
         of = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.lexsort((ordered, of))
-        ordered, of, hashed = ordered[at], of[at], hashed[at]
+        for a in range(0, len(sizes), 1 << _LINE_BITS):  # rarely more than once: line, rarity and hash share 64 bits
+            cut = slice(int(np.searchsorted(of, a)), int(np.searchsorted(of, a + (1 << _LINE_BITS))))
+            packed = (of[cut] - a).astype(np.uint64) << np.uint64(64 - _LINE_BITS) | ordered[cut]
+            at = np.argsort(packed)
+            ordered[cut], hashed[cut] = ordered[cut][at], hashed[cut][at]
         new = np.ones(len(at), bool)
         new[1:] = (hashed[1:] != hashed[:-1]) | (of[1:] != of[:-1])
         self.order, self.hashes, of = ordered[new], hashed[new], of[new]

@@ -47,10 +47,10 @@ def made(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("heads", [1, 8])
-def test_random_lines_against_all_pairs(make_docs, monkeypatch, heads):
-    monkeypatch.setattr(line_dedup, "HEADS", heads)
-    check(make_docs(made(heads)))
+@pytest.mark.parametrize("lags", [1, 8])
+def test_random_lines_against_all_pairs(make_docs, monkeypatch, lags):
+    monkeypatch.setattr(line_dedup, "LAGS", lags)
+    check(make_docs(made(lags)))
 
 
 def test_texts_beyond_one_stretch(make_docs, monkeypatch):
