@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, fingerprints, line_dedup, lm, mixing, quality, secrets, simhash, toxicity
+from plumbline.llm import bpe, fingerprints, licenses, line_dedup, lm, mixing, quality, secrets, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -30,6 +30,33 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "text", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, paragraph or line that is a known licence text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.catalogue(spark)).select("row.doc_id", "unit", "place", "license", "family")
+
+
+def _canonical_sql(text: str) -> str:
+    lines = licenses.COPYRIGHT_LINE.replace("(?md)", "(?m)")
+    words = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '{lines}', '', 'g'), '{licenses.SEPARATOR}', ' ', 'g'), ' ') || ' '"
+    for spelling, one in licenses.SPELLINGS:
+        words = f"replace({words}, ' {spelling} ', ' {one} ')"
+    return f"sha256({words})"
+
+
+def _op3_sql() -> str:
+    known = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in licenses.KNOWN)
+    parts = ("document", "[t]"), ("paragraph", f"string_split_regex(t, '{licenses.EMPTY_LINE}')"), ("line", "string_split(t, chr(10))")
+    units = " UNION ALL ".join(f"SELECT doc_id, '{unit}' AS unit, unnest(range(len(p)))::INT AS place, unnest(p) AS part FROM (SELECT doc_id, {split} AS p FROM docs)" for unit, split in parts)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+known AS (SELECT {_canonical_sql("known")} AS digest, min(license) AS license, arg_min(family, license) AS family
+  FROM (VALUES {known}) v(license, family, known) GROUP BY 1),
+units AS ({units})
+SELECT doc_id, unit, place, license, family FROM units JOIN known ON {_canonical_sql("part")} = digest
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -134,8 +161,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op4_secret_scan, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL}
+    return {"op3_license_scan": _op3_sql(), "op5_mixing": OP5_SQL}
