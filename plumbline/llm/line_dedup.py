@@ -9,10 +9,10 @@ How: equal sets are one row, so a line with any number of copies is met once. Th
 rarest on, by counts over all texts. Two sets can only match if they share a word among the first |x| - ceil(0.8 |x|) + 1
 of each, so these words are the join keys: Spark brings the entries of a word together, sorted by document, and a task
 compares them in numpy. Pairs must pass the length filter, the positional filter (words left after the shared one) and a
-parity filter (each word that only one set has flips at most one of 32 bits). Survivors are verified on the sets.
+parity filter (each word that only one set has flips at most one of 128 bits). Survivors are verified on the sets.
 It is enough to find one earlier match, so the first round verifies for each set only the partner with the fewest
 flips, found among its LAGS predecessors in a word's list or, if none passes, in the whole list. Sets whose partner
-fails are verified against all that pass, in a second round. No pairs within a large group of near copies are formed
+fails are verified against all that pass, in a second round over the lists of their words only. No pairs within a large group of near copies are formed
 for members whose first partner holds, and no match is lost.
 
 Words are compared by 64-bit hashes. The only broadcasts are the table of word counts (2**COUNT_BITS numbers) and a
@@ -38,6 +38,8 @@ from plumbline.llm.line_tokens import COUNT_BITS, count_words, levels_of, lines_
 LAGS = 8
 #: Pairs that are compared at once in a long list.
 _MATRIX = 1 << 21
+#: Sets that a task remembers to have met.
+_MET = 1 << 20
 BITMAP_BITS = 24
 #: Sets with fewer words match none but equal sets.
 LEAST = 4
@@ -63,13 +65,13 @@ def word_levels(texts: DataFrame) -> np.ndarray:
     return levels_of(counts)
 
 
-def _keys(lines) -> tuple[np.ndarray, np.ndarray]:
-    """Per line: a 128-bit digest of its set, and a number of 32 parity bits and 32 bits of the digest."""
+def _keys(lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per line: a 128-bit digest of its set, and 128 parity bits in two numbers."""
     data, at, size = lines.hashes.tobytes(), lines.start, lines.size
     digests = b"".join(xxhash.xxh3_128_digest(data[8 * a : 8 * (a + n)]) for a, n in zip(at.tolist(), size.tolist(), strict=True))
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (lines.hashes & np.uint64(31)), at)
-    keys = np.frombuffer(digests, "S16")
-    return keys, (parity << np.uint64(32) | np.frombuffer(digests, ">u4")[::4].astype(np.uint64)).view(np.int64)
+    bit, low = np.uint64(1) << (lines.hashes & np.uint64(63)), (lines.hashes >> np.uint64(6)) & np.uint64(1) > 0
+    odd = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), at).view(np.int64) for side in (low, ~low))
+    return np.frombuffer(digests, "S16"), *odd
 
 
 def _binary(keys: np.ndarray) -> pa.Array:
@@ -82,39 +84,47 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def line_sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(doc, dh, line, key, id, size, prefix) for each line with words; texts has doc, dh and text (binary)."""
+    """(doc, dh, line, key, odd1, odd2, size, prefix) for each line with words; texts has doc, dh and text (binary).
+    The prefix is empty where the task has met the set before, in no later document."""
     shared, kind = texts.sparkSession.sparkContext.broadcast(levels), texts.schema["doc"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, int] = {}
         for batch in batches:
+            docs = batch.column("doc").cast(pa.int64()).fill_null(-(1 << 63)).to_pylist()
             for lines in lines_of(_texts(batch), shared.value):
-                keys, ids = _keys(lines)
-                size = lines.size
-                reach = np.where(size < LEAST, 0, size + 1 + (-4 * size) // 5)
+                keys, odd1, odd2 = _keys(lines)
+                size, new = lines.size, np.zeros(len(keys), bool)
+                if len(met) > _MET:
+                    met.clear()
+                for k, (key, text, n) in enumerate(zip(keys.tolist(), lines.text.tolist(), size.tolist(), strict=True)):
+                    if n >= LEAST and docs[text] < met.get(key, 1 << 63):
+                        met[key], new[k] = docs[text], True
+                reach = np.where(new, size + 1 + (-4 * size) // 5, 0)
                 inside = np.arange(len(lines.order)) - np.repeat(lines.start, size) < np.repeat(reach, size)
                 at = pa.array(lines.text)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(at), batch.column("dh").take(at), pa.array(lines.line.astype(np.int32)), _binary(keys), pa.array(ids),
+                    [batch.column("doc").take(at), batch.column("dh").take(at), pa.array(lines.line.astype(np.int32)), _binary(keys), pa.array(odd1), pa.array(odd2),
                      pa.array(size.astype(np.int32)), _lists(lines.order[inside], reach)],
-                    ["doc", "dh", "line", "key", "id", "size", "prefix"])
+                    ["doc", "dh", "line", "key", "odd1", "odd2", "size", "prefix"])
 
-    return texts.mapInArrow(found, f"doc {kind}, dh long, line int, key binary, id long, size int, prefix array<long>")
+    return texts.mapInArrow(found, f"doc {kind}, dh long, line int, key binary, odd1 long, odd2 long, size int, prefix array<long>")
 
 
 class _List:
-    """Entries of words, sorted by word and document: columns word, doc, id, size, pos, open."""
+    """Entries of words, sorted by word and document: columns word, doc, odd1, odd2, size, pos, open."""
 
     def __init__(self, columns: list[np.ndarray]) -> None:
         self.columns = columns
-        self.word, self.doc, self.id, self.size, self.pos, self.open = columns
+        self.word, self.doc, self.odd1, self.odd2, self.size, self.pos, self.open = columns
 
     def flips(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Differing parity bits of pairs of entries that pass all filters; 255 for the others. Jaccard of at least 0.8
         is an overlap of at least 4/9 of both sizes. Entries of one document pass in either order."""
         n, m, i, j = self.size[x], self.size[y], self.pos[x], self.pos[y]
         both, overlap = n + m, np.minimum(i, j) + np.minimum(n - i, m - j)
-        flips = np.bitwise_count((self.id[x] ^ self.id[y]).view(np.uint64) >> np.uint64(32)).astype(np.int64)
-        good = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * overlap >= 4 * both) & (both >= 9 * flips) & (self.id[x] != self.id[y])
+        flips = sum(np.bitwise_count((odd[x] ^ odd[y]).view(np.uint64)).astype(np.int64) for odd in (self.odd1, self.odd2))
+        good = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * overlap >= 4 * both) & (both >= 9 * flips)
         return np.where(good, flips, 255)
 
     def pairs(self, done: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -149,13 +159,18 @@ class _List:
             at += more
 
 
+_BOTH = ("odd1", "odd2")
+
+
 def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Pairs (x, y, flips) of ids that pass the filters, x not in a later document than y: for each y and word the best
-    partner or all; with failed (id) all, and for these y only."""
-    entries = lines.select("doc", "id", "size", F.posexplode("prefix").alias("pos", "word"))
-    entries = entries.withColumn("open", F.lit(True)) if failed is None else entries.join(failed.withColumn("open", F.lit(True)), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    ranked = entries.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63))))
-    together = ranked.select("word", "doc", "id", "size", "pos", "open").repartition("word").sortWithinPartitions("word", "doc", "id")
+    """Pairs (x1, x2, y1, y2, flips) of parities of sets that pass the filters, x not in a later document than y: for
+    each y and word the best partner or all; with failed (odd1, odd2) all, and for these y only."""
+    entries = lines.filter(F.size("prefix") > 0).select(F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63))).alias("doc"), *_BOTH, "size", F.posexplode("prefix").alias("pos", "word"))
+    entries = entries.withColumn("open", F.lit(True))
+    if failed is not None:
+        marked = entries.drop("open").join(failed.withColumn("open", F.lit(True)), [*_BOTH], "left")
+        entries = marked.withColumn("open", F.coalesce("open", F.lit(False))).join(marked.filter("open").select("word").distinct(), "word", "left_semi")
+    together = entries.select("word", "doc", *_BOTH, "size", "pos", "open").repartition("word").sortWithinPartitions("word", "doc")
     every = failed is not None
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,19 +178,19 @@ def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy(zero_copy_only=False).astype(bool if k == 5 else np.int64) for k, c in enumerate(batch.columns)]
+            columns = [c.to_numpy(zero_copy_only=False).astype(bool if k == 6 else np.int64) for k, c in enumerate(batch.columns)]
             done = 0
             if held is not None:
                 # Lines of one document may be cut by the batch: its entries are compared again with what follows.
                 done = int(np.searchsorted(held[1], held[1][-1])) if held[0][-1] == columns[0][0] else len(held[0])
                 columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
-            entries = _List(columns)
-            for x, y, flips in entries.pairs(done, every):
-                yield pa.RecordBatch.from_arrays([pa.array(entries.id[x]), pa.array(entries.id[y]), pa.array(flips)], ["x", "y", "flips"])
-            at = int(np.searchsorted(entries.word, entries.word[-1]))
+            found = _List(columns)
+            for x, y, flips in found.pairs(done, every):
+                yield pa.RecordBatch.from_arrays([*(pa.array(odd[at]) for at in (x, y) for odd in (found.odd1, found.odd2)), pa.array(flips)], ["x1", "x2", "y1", "y2", "flips"])
+            at = int(np.searchsorted(found.word, found.word[-1]))
             held = [c[at:] for c in columns]
 
-    return together.mapInArrow(compared, "x long, y long, flips long")
+    return together.mapInArrow(compared, "x1 long, x2 long, y1 long, y2 long, flips long")
 
 
 def _bitmap(numbers: DataFrame) -> np.ndarray:
@@ -193,17 +208,18 @@ def _held(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """(id, key, first, words) of wanted sets (id, key, first); their words are read again where they first occur."""
+    """(odd1, odd2, key, first, words) of wanted sets (odd1, odd2, key, first); their words are read again where they
+    first occur."""
     spark, kind = texts.sparkSession, texts.schema["doc"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast((levels, _bitmap(wanted.select("first.dh")), _bitmap(wanted.select("id"))))
+    shared = spark.sparkContext.broadcast((levels, _bitmap(wanted.select("first.dh")), _bitmap(wanted.select(F.expr("odd1 ^ odd2").alias("mixed")))))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, texts_held, ids_held = shared.value
+        levels, texts_held, sets_held = shared.value
         for batch in batches:
             batch = batch.filter(pa.array(_held(texts_held, batch.column("dh").to_numpy())))
             for lines in lines_of(_texts(batch), levels):
-                keys, ids = _keys(lines)
-                take = _held(ids_held, ids)
+                keys, odd1, odd2 = _keys(lines)
+                take = _held(sets_held, odd1 ^ odd2)
                 at = pa.array(lines.text[take])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").take(at), batch.column("dh").take(at), pa.array(lines.line[take].astype(np.int32)), _binary(keys[take]),
@@ -212,16 +228,16 @@ def _sets(texts: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
 
     read = texts.mapInArrow(found, f"doc {kind}, dh long, line int, key binary, words array<long>")
     here = F.struct("doc", "dh", "line").eqNullSafe(F.col("first"))
-    return read.join(wanted, "key").filter(here).dropDuplicates(["key"]).select("id", "key", "first", "words")
+    return read.join(wanted, "key").filter(here).dropDuplicates(["key"]).select(*_BOTH, "key", "first", "words")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, id) of sets that match an earlier one."""
-    x, y = (sets.select(F.col("id").alias(s), F.col("key").alias(f"{s}_key"), F.col("words").alias(f"{s}_words"), F.col("first").alias(f"{s}_first")) for s in "xy")
-    both = pairs.select("x", "y").join(x, "x").join(y, "y").filter((F.col("x_key") != F.col("y_key")) & (F.col("x_first") < F.col("y_first")))
+    """(key, odd1, odd2) of sets that match an earlier one."""
+    x, y = (sets.select(*(F.col(f"odd{k}").alias(f"{s}{k}") for k in (1, 2)), *(F.col(c).alias(f"{s}_{c}") for c in ("key", "words", "first"))) for s in "xy")
+    both = pairs.select("x1", "x2", "y1", "y2").join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).filter((F.col("x_key") != F.col("y_key")) & (F.col("x_first") < F.col("y_first")))
     shared = F.size(F.array_intersect("x_words", "y_words"))
     close = both.filter(9 * shared >= 4 * (F.size("x_words") + F.size("y_words")))
-    return close.select(F.col("y_key").alias("key"), F.col("y").alias("id")).distinct()
+    return close.select(F.col("y_key").alias("key"), F.col("y1").alias("odd1"), F.col("y2").alias("odd2")).distinct()
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,19 +246,20 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     levels = word_levels(texts)
     lines = stored(line_sets(texts, levels))
     place = F.struct("doc", "dh", "line")
-    firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("size").alias("size")))
-    indexed = lines.filter(F.col("size") >= LEAST).join(firsts.select("key", "first"), "key").filter(place.eqNullSafe(F.col("first"))).dropDuplicates(["key"])
-    best = F.min_by("x", F.struct("flips", "x")).alias("x")
-    pairs = stored(candidates(indexed).groupBy("y").agg(best))
+    firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in _BOTH)))
+    best = F.min_by(F.struct("x1", "x2"), F.struct("flips", "x1", "x2")).alias("x")
+    pairs = stored(candidates(lines).groupBy("y1", "y2").agg(best).select("x.x1", "x.x2", "y1", "y2"))
     flagged = None
     for last in (False, True):
-        ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-        now = stored(_verified(pairs, stored(_sets(texts, levels, stored(firsts.join(ids, "id").select("id", "key", "first"))))))
+        ids = pairs.select(F.col("x1").alias("odd1"), F.col("x2").alias("odd2")).union(pairs.select("y1", "y2")).distinct()
+        now = stored(_verified(pairs, stored(_sets(texts, levels, stored(firsts.join(ids, [*_BOTH]).select(*_BOTH, "key", "first"))))))
         flagged = now if flagged is None else flagged.union(now)
         if last:
             break
-        failed = stored(pairs.select(F.col("y").alias("id")).join(now.select("id"), "id", "left_anti"))
-        pairs = stored(candidates(indexed, failed).select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti"))
+        # A pair of parities can stand for several sets; those of them that found no match stay open.
+        tried = firsts.join(pairs.select(F.col("y1").alias("odd1"), F.col("y2").alias("odd2")), [*_BOTH], "left_semi")
+        failed = stored(tried.join(now.select("key"), "key", "left_anti").select(*_BOTH).distinct())
+        pairs = stored(candidates(lines, failed).select("x1", "x2", "y1", "y2").distinct().join(pairs, ["x1", "x2", "y1", "y2"], "left_anti"))
         if pairs.isEmpty():
             break
     marked = firsts.join(flagged.select("key", F.lit(True).alias("near")).distinct(), "key", "left").filter("n > 1 OR near")

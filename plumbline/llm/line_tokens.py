@@ -12,26 +12,12 @@ import xxhash
 COUNT_BITS = 17
 #: Bits of a word's hash beside its rarity in the order of words.
 ORDER_BITS = 38
-KEPT_WORDS = 1 << 19
 _STRETCH = 1 << 18
 _LINE_BITS = 64 - 8 - ORDER_BITS
 
 
-class _WordHashes(dict):
-    """Hash by word; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _WordHashes()
-
-
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
 def count_words(texts: Iterator[bytes], counts: np.ndarray) -> None:
