@@ -36,8 +36,8 @@ STATES = 8
 HOT = 50_000
 STRETCH = 256
 SEED_DOCS, SEED_ROUNDS, ROUNDS = 1_500, 12, 2
-#: Weight of the base model in each state's words, in tokens.
-PRIOR = 50.0
+#: Weight of the base model in each state's words, as a part of the state's tokens and in tokens.
+BASE_SHARE, PRIOR = 0.2, 50.0
 END = b"\n"
 LENGTHS = 16
 CLASSES = 2 * (LENGTHS + 1)
@@ -103,7 +103,7 @@ class Hmm:
 
     @classmethod
     def of_counts(cls, start: np.ndarray, moves: np.ndarray, words: np.ndarray, base: np.ndarray) -> Hmm:
-        words = words + PRIOR * base[:, None]
+        words = words + (BASE_SHARE * words.sum(0) + PRIOR) * base[:, None]
         return cls((start + 1) / (start + 1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), words / words.sum(0))
 
     def log10_forward(self, texts: list[np.ndarray]) -> np.ndarray:
