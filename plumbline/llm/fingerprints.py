@@ -149,10 +149,13 @@ def versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(doc_id).alias("doc_id"), plain.alias("text"), F.length(plain).cast("long").alias("n"),
                        F.xxhash64(doc_id, plain).alias("r1"), F.xxhash64(plain, doc_id, F.lit(1)).alias("r2"))
     steps = stored(rows.select("doc_id", "r1", "r2", "n").groupBy("doc_id", "r1", "r2").agg(F.first("n").alias("n")))
-    chain = successors(steps).join(steps.select("r1", "r2", "n"), ["r1", "r2"])
-    needs = stored(chain.select(F.col("n1").alias("r1"), F.col("n2").alias("r2"), F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.floor(F.col("n") / 4).cast("int").alias("cut")))
-    given = rows.select("r1", "r2", "text").join(needs, ["r1", "r2"]).select("p1", "p2", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("head"), digests(F.col("text")).alias("next"))
-    heads = given.groupBy(F.col("p1").alias("r1"), F.col("p2").alias("r2")).agg(F.first("head").alias("head"), F.first("next").alias("next"))
-    joined = rows.join(heads, ["r1", "r2"])
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")), F.col("head"))
-    return joined.select("doc_id", F.col("n").alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("own"), digests(edited).alias("changed"), "next")
+    chain = successors(steps).join(steps, ["r1", "r2"])
+    needs = stored(chain.select(F.col("n1").alias("r1"), F.col("n2").alias("r2"), F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.col("doc_id").alias("of"), F.col("n").alias("chars")))
+    # Both joins read the same columns of the texts, so these are shuffled once.
+    texts = rows.select("r1", "r2", "text")
+    head = F.substring(F.col("text"), F.lit(1), F.floor(F.col("chars") / 4).cast("int"))
+    given = texts.join(needs, ["r1", "r2"]).select(F.col("p1").alias("r1"), F.col("p2").alias("r2"), "of", "chars", head.alias("head"), digests(F.col("text")).alias("next"))
+    heads = given.groupBy("r1", "r2").agg(*(F.first(c).alias(c) for c in ("of", "chars", "head", "next")))
+    joined = texts.join(heads, ["r1", "r2"])
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("chars") - F.floor(F.col("chars") / 4)).cast("int")), F.col("head"))
+    return joined.select(F.col("of").alias("doc_id"), F.col("chars").alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("own"), digests(edited).alias("changed"), "next")
