@@ -124,7 +124,7 @@ class _List:
         n, m, i, j = self.size[x], self.size[y], self.pos[x], self.pos[y]
         both, overlap = n + m, np.minimum(i, j) + np.minimum(n - i, m - j)
         flips = sum(np.bitwise_count((odd[x] ^ odd[y]).view(np.uint64)).astype(np.int64) for odd in (self.odd1, self.odd2))
-        good = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * overlap >= 4 * both) & (both >= 9 * flips)
+        good = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * overlap >= 4 * both) & (both >= 9 * flips) & (flips > 0)
         return np.where(good, flips, 255)
 
     def pairs(self, done: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -163,8 +163,8 @@ _BOTH = ("odd1", "odd2")
 
 
 def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Pairs (x1, x2, y1, y2, flips) of parities of sets that pass the filters, x not in a later document than y: for
-    each y and word the best partner or all; with failed (odd1, odd2) all, and for these y only."""
+    """Pairs (x1, x2, y1, y2, flips) of different parities of sets that pass the filters, x not in a later document than
+    y: for each y and word the best partner or all; with failed (odd1, odd2) all, and for these y only."""
     entries = lines.filter(F.size("prefix") > 0).select(F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63))).alias("doc"), *_BOTH, "size", F.posexplode("prefix").alias("pos", "word"))
     entries = entries.withColumn("open", F.lit(True))
     if failed is not None:
@@ -207,19 +207,24 @@ def _held(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (bitmap[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) > 0
 
 
+def _number_of(key: Column) -> Column:
+    """The first eight bytes of a digest as a number."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
+
+
 def _sets(texts: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
     """(odd1, odd2, key, first, words) of wanted sets (odd1, odd2, key, first); their words are read again where they
     first occur."""
     spark, kind = texts.sparkSession, texts.schema["doc"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast((levels, _bitmap(wanted.select("first.dh")), _bitmap(wanted.select(F.expr("odd1 ^ odd2").alias("mixed")))))
+    shared = spark.sparkContext.broadcast((levels, _bitmap(wanted.select("first.dh")), _bitmap(wanted.select(_number_of(F.col("key")).alias("number")))))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, texts_held, sets_held = shared.value
         for batch in batches:
             batch = batch.filter(pa.array(_held(texts_held, batch.column("dh").to_numpy())))
             for lines in lines_of(_texts(batch), levels):
-                keys, odd1, odd2 = _keys(lines)
-                take = _held(sets_held, odd1 ^ odd2)
+                keys, *_ = _keys(lines)
+                take = _held(sets_held, np.frombuffer(keys.tobytes(), ">i8")[::2].astype(np.int64))
                 at = pa.array(lines.text[take])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").take(at), batch.column("dh").take(at), pa.array(lines.line[take].astype(np.int32)), _binary(keys[take]),
@@ -248,7 +253,10 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     place = F.struct("doc", "dh", "line")
     firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in _BOTH)))
     best = F.min_by(F.struct("x1", "x2"), F.struct("flips", "x1", "x2")).alias("x")
-    pairs = stored(candidates(lines).groupBy("y1", "y2").agg(best).select("x.x1", "x.x2", "y1", "y2"))
+    # Sets that share all parity bits meet here; most parities stand for one set.
+    shared = firsts.groupBy(*_BOTH).agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    twins = shared.select(*(F.col(f"odd{k}").alias(f"{s}{k}") for s in "xy" for k in (1, 2)))
+    pairs = stored(candidates(lines).groupBy("y1", "y2").agg(best).select("x.x1", "x.x2", "y1", "y2").union(twins))
     flagged = None
     for last in (False, True):
         ids = pairs.select(F.col("x1").alias("odd1"), F.col("x2").alias("odd2")).union(pairs.select("y1", "y2")).distinct()
