@@ -71,7 +71,7 @@ def typed_literal(value: Any, data_type: T.DataType) -> Column:
         if isinstance(data_type, T.NumericType):
             number = Decimal(text)
             if isinstance(data_type, T.FractionalType) and not isinstance(data_type, T.DecimalType):
-                return F.lit(float(number))
+                return F.lit(float(number)).cast(data_type)     # 0.1 as FLOAT is not 0.1 as DOUBLE
             if number == number.to_integral_value():
                 return F.lit(int(number))
             return F.lit(number)

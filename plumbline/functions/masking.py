@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 _BLANK = "***"
 
@@ -37,3 +39,21 @@ def mask_value(value: Column, category: Column) -> Column:
 def _keep(text: Column, n: int) -> Column:
     hidden = F.greatest(F.length(text) - F.lit(n), F.lit(0))
     return F.concat(F.left(text, F.lit(n)), F.repeat(F.lit("*"), hidden))
+
+
+def personal_values(df: DataFrame, text: str, patterns: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """The values in free text that match one of the patterns, masked: the other columns of df, kind, masked.
+
+    ``patterns`` gives by kind the category to mask by and the expression to look for.
+    One read of the text serves all kinds.
+    """
+    found = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("values"))
+        for kind, (_, pattern) in patterns.items()
+    ])
+    others = [c for c in df.columns if c != text]
+    values = df.select(*others, F.inline(found)).select(*others, "kind", F.explode("values").alias("value"))
+    masked = F.coalesce(*[
+        F.when(F.col("kind") == kind, mask_value(F.col("value"), F.lit(category))) for kind, (category, _) in patterns.items()
+    ])
+    return values.select(*others, "kind", masked.alias("masked"))

@@ -43,6 +43,12 @@ def as_number(col: Column, data_type: T.DataType) -> Column:
     return col.try_cast("double") if is_text(data_type) else col
 
 
+def finite(col: Column) -> Column:
+    """A number as a double, NULL in place of NaN: one NaN would make every moment NaN."""
+    value = col.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def label(col: Column) -> Column:
     """Text of a value with case and outer blanks removed."""
     return F.upper(F.trim(col.cast("string")))
@@ -53,22 +59,38 @@ def label(col: Column) -> Column:
 _DECIMAL_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _SPECIAL_NUMBER = r"^(?i)\s*[+-]?(nan|inf|infinity)\s*$"
 
+_SIZED_TEXT = r"^(varchar|nvarchar|char|nchar|character|character varying|string)\s*\(.*\)$"
+_SIZED_NUMBER = r"^(numeric|number|decimal)\s*\("
+
 # SQL type names that Spark spells in another way.
 _SQL_TYPES = {
     "varchar": "string", "text": "string", "char": "string", "nvarchar": "string",
+    "character varying": "string", "character": "string", "bpchar": "string", "nchar": "string", "clob": "string",
     "number": "decimal(38,10)", "numeric": "decimal(38,10)", "decimal": "decimal(38,10)",
     "real": "float", "float8": "double", "float4": "float", "double precision": "double",
+    "float64": "double", "float32": "float", "int64": "bigint", "int32": "int", "int16": "smallint",
     "int8": "bigint", "int4": "int", "int2": "smallint", "integer": "int", "long": "bigint",
-    "bool": "boolean", "datetime": "timestamp_ntz", "datetime2": "timestamp_ntz",
-    "timestamp_ntz": "timestamp_ntz", "timestamptz": "timestamp",
+    "bool": "boolean", "bit": "boolean", "datetime": "timestamp_ntz", "datetime2": "timestamp_ntz",
+    "timestamp without time zone": "timestamp_ntz", "timestamp with time zone": "timestamp",
+    "timestamptz": "timestamp", "timestamp_tz": "timestamp", "timestamp_ltz": "timestamp",
+    "blob": "binary", "bytes": "binary", "bytea": "binary", "varbinary": "binary",
 }
 
 
+def spark_type_names(sql_type: Column) -> Column:
+    """spark_type_name of a column of names, from the same list."""
+    text = F.regexp_replace(F.trim(F.lower(sql_type)), r"\s+", " ")
+    text = F.when(text.rlike(_SIZED_TEXT), "string").otherwise(text)
+    text = F.regexp_replace(F.regexp_replace(text, _SIZED_NUMBER, "decimal("), ", ", ",")
+    listed = F.create_map(*[F.lit(x) for item in _SQL_TYPES.items() for x in item])
+    return F.coalesce(F.try_element_at(listed, text), text)
+
+
 def spark_type_name(sql_type: str) -> str:
     """Spark's name for a SQL type name; equal types of two dialects get one name."""
     text = re.sub(r"\s+", " ", sql_type.strip().lower())
-    text = re.sub(r"^(varchar|nvarchar|char|character varying|string)\s*\(.*\)$", "string", text)
-    text = re.sub(r"^(numeric|number)\s*\(", "decimal(", text).replace(", ", ",")
+    text = re.sub(_SIZED_TEXT, "string", text)
+    text = re.sub(_SIZED_NUMBER, "decimal(", text).replace(", ", ",")
     return _SQL_TYPES.get(text, text)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import quoted, type_category
-from plumbline.functions.predicates import share
+from plumbline.functions.predicates import finite, share
 from plumbline.operators.registry import plans_check
 from plumbline.operators.rows import drift_without_baseline
 from plumbline.plans.measure import Measure, ScanContext, aggregate_measures, describe, long_rows
@@ -104,6 +104,10 @@ def join_coverage_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
 
 # -- values that must agree under a key --------------------------------------
 
+# Counts whose products are summed: doubles would lose single pairs beyond 2**53.
+_COUNT = "decimal(18,0)"
+
+
 def agreement_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
     """Share of joined pairs whose values differ, without forming the pairs.
 
@@ -130,7 +134,7 @@ def agreement_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
     per_value = (
         side(left, l_key, l_val, 1).unionByName(side(right, r_key, r_val, 0))
         .groupBy("key", "value")
-        .agg(F.sum("on_left").cast("double").alias("l"), F.sum("on_right").cast("double").alias("r"))
+        .agg(F.sum("on_left").cast(_COUNT).alias("l"), F.sum("on_right").cast(_COUNT).alias("r"))
     )
     present = F.col("value").isNotNull()
     per_key = per_value.groupBy("key").agg(
@@ -143,7 +147,7 @@ def agreement_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
 
 
 def _sum_if(condition: Column, value: Column) -> Column:
-    return F.sum(F.when(condition, value).otherwise(F.lit(0.0)))
+    return F.sum(F.when(condition, value).otherwise(F.lit(0).cast(_COUNT)))
 
 
 def _agreement(ctx: ScanContext, left: str, left_col: str, right: str, right_col: str, join_key: str) -> Measure:
@@ -213,7 +217,12 @@ def reconciliation_variance_pct(spec: CheckSpec, ctx: ScanContext) -> Measure:
     def variance(left: Column, right: Column) -> Column:
         return share(F.abs(F.sum(left) - F.sum(right)), F.abs(F.sum(left)))
 
-    return against_table(source, target, ctx.col(source, s_col), ctx.col(target, t_col), variance)
+    def amount(table: str, name: str) -> Column:
+        """Whole numbers as decimals, whose sums do not overflow."""
+        col = ctx.col(table, name)
+        return col.cast("decimal(20,0)") if isinstance(ctx.type_of(table, name), T.IntegralType) else col
+
+    return against_table(source, target, amount(source, s_col), amount(target, t_col), variance)
 
 
 @plans_check(29)
@@ -228,7 +237,7 @@ def distribution_drift_score(spec: CheckSpec, ctx: ScanContext) -> Measure:
         return F.abs(F.avg(now) - F.avg(then)) / F.nullif(F.abs(F.avg(then)), F.lit(0.0))
 
     return against_table(
-        table, base, ctx.col(table, name).cast("double"), ctx.col(base, name).cast("double"), shift, slots=4,
+        table, base, finite(ctx.col(table, name)), finite(ctx.col(base, name)), shift, slots=4,
     )
 
 

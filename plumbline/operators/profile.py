@@ -8,12 +8,11 @@ value samples.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import is_nested, quoted, type_category
@@ -33,31 +32,38 @@ _SAMPLE_POOL = 200.0
 _COLUMN_GROUPS = 8
 
 
-def profile(df: DataFrame, table: str = "table", distinct: str = "exact") -> DataFrame:
+def profile(
+    df: DataFrame, table: str = "table", distinct: str = "exact",
+    hidden: Iterable[str] = (), top_values: int = TOP_VALUES,
+) -> DataFrame:
     """Profile every column of a table.
 
     ``distinct="exact"`` counts distinct values exactly, which shuffles them.
     ``distinct="approx"`` estimates the count of columns with clearly more than
     100 values, and then shuffles only the values of the others and the samples.
+    Of ``hidden`` columns only the number of values present is read: they have no
+    distinct count, bounds, moments, top values or samples.
     """
     if distinct not in ("exact", "approx"):
         raise ValueError("distinct must be 'exact' or 'approx'")
     spark = df.sparkSession
     fields = df.schema.fields
-    plain = [i for i, f in enumerate(fields) if not is_nested(f.dataType)]
-    facts = _facts(df, fields)
+    barred = {name.lower() for name in hidden}
+    shown = [f.name.lower() not in barred for f in fields]
+    plain = [i for i, f in enumerate(fields) if shown[i] and not is_nested(f.dataType)]
+    facts = _facts(df, fields, shown)
     estimates = _estimates(df, fields, plain) if distinct == "approx" and plain else None
     listed = local_frame(spark, {
         "ordinal": (range(len(fields)), pa.int32()),
         "column": ([f.name for f in fields], pa.string()),
         "dtype": ([f.dataType.simpleString() for f in fields], pa.string()),
         "category": ([type_category(f.dataType) for f in fields], pa.string()),
-        "nested": ([is_nested(f.dataType) for f in fields], pa.bool_()),
+        "nested": ([is_nested(f.dataType) or not s for f, s in zip(fields, shown)], pa.bool_()),
     })
     # A local list of one row per column.
     out = facts.join(F.broadcast(listed), "ordinal")
     if plain:
-        out = out.join(_values(df, fields, plain, estimates), "ordinal", "left")
+        out = out.join(_values(df, fields, plain, estimates, top_values), "ordinal", "left")
     else:
         out = out.select("*", F.lit(None).cast("bigint").alias("unique_count"),
                          F.lit(None).cast("array<struct<n:bigint,v:string>>").alias("top"),
@@ -115,19 +121,21 @@ def sample_rows(df: DataFrame, share: float = 0.20, max_rows: int = 50, seed: in
     """Random rows: the share asked for, at most max_rows, at least one.
 
     About 20 * max_rows rows (at least 1000) pass a filter first, so that the task
-    that picks among them gets few rows however many tasks read the table.
+    that picks among them gets few rows however many tasks read the table.  The order is
+    a hash of the row, so the sample does not depend on how the table is split.
     """
-    seen = df.limit(math.ceil(max_rows / share)).count()     # no more rows than decide the size
-    size = max(1, min(max_rows, int(seen * share)))
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    enough = F.lit(float(max(20 * max_rows, 1000))) / rows
-    picked = df.withColumn("__order", F.rand(seed)).where(F.col("__order") < enough)
-    return picked.orderBy("__order").limit(size).drop("__order")
+    place = F.pmod(F.xxhash64(F.to_json(F.struct("*")), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    picked = df.withColumn("__order", place).where(F.col("__order") < F.lit(float(max(20 * max_rows, 1000))) / rows)
+    size = F.greatest(F.lit(1), F.least(F.lit(max_rows), F.floor(rows * F.lit(share))))
+    few = picked.orderBy("__order").limit(max_rows).withColumn("__size", size)
+    numbered = few.withColumn("__rank", F.row_number().over(Window.orderBy("__order")))    # max_rows rows
+    return numbered.where(F.col("__rank") <= F.col("__size")).drop("__order", "__size", "__rank")
 
 
 # -- first pass ---------------------------------------------------------------
 
-def _facts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+def _facts(df: DataFrame, fields: list[T.StructField], shown: list[bool]) -> DataFrame:
     """Counts, bounds and moments.  Wide tables take several parts, each over its own columns."""
     costs = {"int": 8, "float": 8, "datetime": 3}
     parts: list[list[int]] = []
@@ -143,7 +151,7 @@ def _facts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     for part in parts:
         aggregates, entries = [F.count(F.lit(1)).alias("n")], []
         for i in part:
-            named = _column_facts(fields[i])
+            named = _column_facts(fields[i], shown[i])
             aggregates += [c.alias(f"{name}{i}") for name, c in named.items()]
             entries.append(F.struct(
                 F.lit(i).alias("ordinal"), F.col("n").alias("row_count"),
@@ -154,8 +162,8 @@ def _facts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     return out
 
 
-def _column_facts(f: T.StructField) -> dict[str, Column]:
-    col, kind = F.col(quoted(f.name)), type_category(f.dataType)
+def _column_facts(f: T.StructField, shown: bool) -> dict[str, Column]:
+    col, kind = F.col(quoted(f.name)), type_category(f.dataType) if shown else "hidden"
     nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
     facts = {"present": F.count(col), "min_value": no_text, "max_value": no_text, "mean": nothing, "stddev": nothing}
     if kind in ("int", "float", "datetime"):
@@ -206,8 +214,8 @@ def _cells(df: DataFrame, fields: list[T.StructField], plain: list[int]) -> Data
     return reduce(DataFrame.unionByName, frames).where("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL")
 
 
-def _values(df: DataFrame, fields: list[T.StructField], plain: list[int], estimates: Column | None) -> DataFrame:
-    """Per column: distinct count, up to 50 top values, 20 sampled values."""
+def _values(df: DataFrame, fields: list[T.StructField], plain: list[int], estimates: Column | None, most_values: int) -> DataFrame:
+    """Per column: distinct count, top values, 20 sampled values."""
     cells = _cells(df, fields, plain)
     low_hash = F.xxhash64("whole", "real", "text")
     pool = lambda many: low_hash.cast("double") + F.lit(_HASH_RANGE / 2) <= F.lit(_SAMPLE_POOL * _HASH_RANGE) / many
@@ -242,7 +250,7 @@ def _values(df: DataFrame, fields: list[T.StructField], plain: list[int], estima
         F.collect_list(F.when(F.col("is_top"), F.struct((-F.col("n")).alias("n"), "v"))).alias("top"),
         F.collect_list(F.when(F.col("sampled"), F.struct("h", "v"))).alias("pool"),
     )
-    most = F.slice(F.array_sort("top"), 1, TOP_VALUES)
+    most = F.slice(F.array_sort("top"), 1, most_values)
     return gathered.select(
         "ordinal", "unique_count",
         F.transform(most, lambda t: F.struct((-t["n"]).alias("n"), t["v"].alias("v"))).alias("top"),

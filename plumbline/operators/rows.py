@@ -6,9 +6,10 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import is_text, typed_literal
-from plumbline.functions.predicates import as_number, count_where, fails_cast, label, ratio, rows, share
+from plumbline.functions.predicates import as_number, count_where, fails_cast, finite, label, ratio, rows, share
 from plumbline.functions.timing import hours_between, wall_time
 from plumbline.operators.registry import over_table, plans_check
 from plumbline.plans.measure import Measure, ScanContext
@@ -81,12 +82,14 @@ def format_violation_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
 def range_violation_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
     table, name = spec.need("table"), spec.need("column")
     spec.need("min_value", "max_value")
-    value = as_number(ctx.col(table, name), ctx.type_of(table, name))
+    kind = ctx.type_of(table, name)
+    value = as_number(ctx.col(table, name), kind)
+    limit = lambda v: F.lit(v).cast(kind) if isinstance(kind, T.FloatType) else F.lit(v)
     outside = F.lit(False)
     if spec.min_value is not None:
-        outside = outside | (value < F.lit(spec.min_value))
+        outside = outside | (value < limit(spec.min_value))
     if spec.max_value is not None:
-        outside = outside | (value > F.lit(spec.max_value))
+        outside = outside | (value > limit(spec.max_value))
     return over_table(table, ratio(outside), name)
 
 
@@ -181,6 +184,6 @@ def _relative_count_change(left: Column, right: Column) -> Column:
 
 
 def drift_without_baseline(table: str, name: str, ctx: ScanContext) -> Measure:
-    value = ctx.col(table, name).cast("double")
+    value = finite(ctx.col(table, name))
     spread = F.stddev_samp(value) / F.nullif(F.abs(F.avg(value)), F.lit(0.0))
     return over_table(table, spread, name, slots=5)

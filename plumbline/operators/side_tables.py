@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.predicates import count_where, share, spark_type_name
+from plumbline.functions.columns import find_field
+from plumbline.functions.predicates import count_where, share, spark_type_name, spark_type_names
 from plumbline.operators.registry import over_table, plans_check
 from plumbline.plans.measure import Measure, ScanContext, aggregate_measures
 from plumbline.spec import CheckSpec
@@ -17,6 +18,9 @@ def _last_part(table: str) -> str:
 def drift_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
     table, baseline = key
     rows = ctx.frame(baseline).where(F.lower("table_name") == _last_part(table).lower())
+    schema = [p.strip('"`').lower() for p in table.split(".")[-2:-1]]
+    if schema and find_field(rows.schema, "table_schema"):      # two schemas may have tables of one name
+        rows = rows.where(F.lower("table_schema") == schema[0])
     return aggregate_measures(rows, measures)
 
 
@@ -34,32 +38,19 @@ def schema_drift_events(spec: CheckSpec, ctx: ScanContext) -> Measure:
     pairs = [F.lit(x) for item in current.items() for x in item]
     name = F.lower("column_name")
     now = F.try_element_at(F.create_map(*pairs), name)
-    then = F.lower("data_type")
-    same_name = {t: spark_type_name(t) for t in _SPELLINGS}
-    # A baseline may spell a type as its own engine does.
-    spelled = F.coalesce(
-        F.try_element_at(F.create_map(*[F.lit(x) for item in same_name.items() for x in item]), F.trim(then)),
-        F.when(then.rlike(r"^\s*(varchar|nvarchar|char|character varying)\s*\("), F.lit("string")),
-        F.regexp_replace(F.regexp_replace(F.trim(then), r"^(numeric|number)\s*\(", "decimal("), r",\s+", ","),
-    )
+    then = spark_type_names(F.col("data_type"))
+    # A baseline that says no more than "timestamp" leaves the zone open.
+    same = (now == then) | ((then == "timestamp") & (F.trim(F.lower("data_type")) == "timestamp") & now.isin("timestamp", "timestamp_ntz"))
     known = F.count_distinct(F.when(now.isNotNull(), name))
     added = F.lit(len(current)) - known
     removed = count_where(now.isNull())
-    changed = count_where(now != spelled)
+    changed = count_where(~same)
     return Measure(
         drift_pass, (table, baseline), added + removed + changed,
         f"added, removed and changed columns of {table} against {baseline}",
     )
 
 
-# Type names with several spellings.
-_SPELLINGS = (
-    "varchar", "text", "char", "nvarchar", "string", "number", "numeric", "decimal", "real", "float",
-    "float4", "float8", "double", "double precision", "int2", "int4", "int8", "integer", "int",
-    "bigint", "long", "smallint", "bool", "boolean", "datetime", "datetime2", "timestamptz",
-)
-
-
 @plans_check(31)
 def metadata_gap_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
     """Catalog rows, of one table or of all, without a description or an owner."""

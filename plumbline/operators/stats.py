@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.predicates import count_where, share
+from plumbline.functions.predicates import count_where, finite, share
 from plumbline.operators.registry import plans_check
 from plumbline.plans.measure import Measure, ScanContext, long_rows
 from plumbline.spec import CheckSpec
@@ -16,7 +16,7 @@ def outlier_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
     df = ctx.frame(table)
     names = sorted({m.payload[0] for m in measures})
     at = {name: i for i, name in enumerate(names)}
-    values = {name: ctx.col(table, name).cast("double") for name in names}
+    values = {name: finite(ctx.col(table, name)) for name in names}
     facts = []
     for name, i in at.items():
         facts.append(F.avg(values[name]).alias(f"mean{i}"))

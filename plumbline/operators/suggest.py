@@ -40,7 +40,6 @@ _CURRENCY_WORDS = ("currency", "curr_cd", "ccy")
 # Limits of a categorical column, and values kept as its domain.
 _FEW_VALUES = 50
 _FEW_VALUES_SHARE = 0.02
-_DOMAIN_VALUES = 20
 
 
 def _contains_any(name: Column, words: Iterable[str]) -> Column:
@@ -82,7 +81,9 @@ def column_roles(profiled: DataFrame) -> DataFrame:
     return profiled.select(
         "table", "ordinal", "column",
         F.array_compact(names).alias("roles"),
-        F.transform(F.slice(F.array_sort(most_frequent), 1, _DOMAIN_VALUES), lambda v: v["key"]).alias("valid_values"),
+        # A domain that lacks values would make a check of all the values it lacks.
+        F.when(F.size("top_values") == F.col("unique_count"), F.transform(F.array_sort(most_frequent), lambda v: v["key"]))
+        .alias("valid_values"),
         number("min_value").alias("min"), number("max_value").alias("max"),
         currency.alias("currency_column"),
     )
@@ -252,8 +253,9 @@ def checks_from_constraints(
     columns: Iterable[tuple[str, str, str]],
     primary_keys: Mapping[str, Iterable[str]],
     foreign_keys: Iterable[tuple[str, str, str, str]] = (),
+    per_check: Mapping[int, int] | None = None,
 ) -> list[CheckSpec]:
-    """Checks from a schema: (table, column, type) rows, primary keys by table, and
+    """Checks from a schema, for all columns they apply to or as many as ``per_check`` says by check: (table, column, type) rows, primary keys by table, and
     foreign keys as (table, column, parent table, parent column)."""
     by_table: dict[str, list[tuple[str, str]]] = defaultdict(list)
     for table, column, kind in columns:
@@ -261,15 +263,15 @@ def checks_from_constraints(
     links: dict[str, list[tuple[str, str, str]]] = defaultdict(list)
     for table, *link in foreign_keys:
         links[table].append(tuple(link))
-    specs = []
+    specs, most = [], dict(per_check or {})
     for table, listed in by_table.items():
         plain = [c for c, _ in listed if not c.endswith("_sk")]
         ids = [c for c, kind in listed if c.endswith("_id") and kind in ("string", "varchar")]
         amounts = [c for c, _ in listed if any(w in c for w in _AMOUNT_WORDS)]
-        specs += [CheckSpec(1, table=table, column=c) for c in plain[:1]]
+        specs += [CheckSpec(1, table=table, column=c) for c in plain[: most.get(1)]]
         specs += [CheckSpec(5, table=table, pk_column=c) for c in primary_keys.get(table, ())]
-        specs += [CheckSpec(6, table=table, business_key_columns=(c,)) for c in ids[:1]]
-        specs += [CheckSpec(12, table=table, column=c) for c in amounts[:2]]
+        specs += [CheckSpec(6, table=table, business_key_columns=(c,)) for c in ids[: most.get(6)]]
+        specs += [CheckSpec(12, table=table, column=c) for c in amounts[: most.get(12)]]
         specs += [
             CheckSpec(17, child_table=table, child_column=c, parent_table=p, parent_column=pc)
             for c, p, pc in links[table]

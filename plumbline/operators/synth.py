@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions.randoms import normal, uniform
-from plumbline.operators.profile import profile
+from plumbline.operators.profile import TOP_CUTOFF, profile
 from plumbline.sources.tables import Source, Tables
 from plumbline.spec import CheckSpec, as_specs
 
@@ -131,12 +131,20 @@ def clone_tables(
     rows: int = DEFAULT_ROWS,
     seed: int = SEED,
     allow_sample_values: bool = False,
-    distinct: str = "exact",
+    distinct: str = "approx",
+    protected: Iterable[tuple[str, str]] = (),
 ) -> Tables:
-    """A resolver that gives a clone for every table the specs name."""
+    """A resolver that gives a clone for every table the specs name.
+
+    ``protected`` are (table, column) pairs with personal data: the profile reads
+    nothing of them but how many values are present, and the clone holds made-up
+    values whatever ``allow_sample_values`` says.
+    """
+    barred = {(t.lower(), c.lower()) for t, c in protected}
     originals = Tables.of(spark, tables)
     clones = Tables(spark)
     for name in referenced_tables(specs):
-        profiled = profile(originals.frame(name), name, distinct)
+        hidden = [c for t, c in barred if t == name.lower()]
+        profiled = profile(originals.frame(name), name, distinct, hidden=hidden, top_values=TOP_CUTOFF)
         clones.add(name, synthesize(spark, profiled, rows, seed, allow_sample_values))
     return clones

@@ -52,7 +52,8 @@ def run_scan(
                 mode = "synthetic"
     if mode == "synthetic":
         resolver = clone_tables(
-            spark, specs, resolver, config.synthetic_row_count, allow_sample_values=allow_sample_values
+            spark, specs, resolver, config.synthetic_row_count, allow_sample_values=allow_sample_values,
+            protected=excluded,
         )
     result = scan(
         spark, specs, resolver, as_of=as_of, scan_name=config.scan_name, mode=mode,

@@ -194,3 +194,42 @@ def test_a_full_pass_stays_in_generated_code(spark, tmp_path):
         partial = [line for line in plan.split("== Initial Plan")[0].splitlines() if "partial_count" in line]
         assert len(measures) > 40 and partial and all("*(" in line for line in partial)
         assert plan.split("== Initial Plan")[0].count("FileScan") == 1
+
+
+# -- single values that once gave wrong answers ---------------------------------
+
+def metric_of(spark, spec, tables):
+    from plumbline import scan
+
+    row = scan(spark, [spec], tables).materialize().checks.collect()[0]
+    return row["metric_value"] if "metric_value" in row.asDict() else row["metric"]
+
+
+def test_limits_and_domains_have_the_type_of_the_column(spark):
+    t = spark.sql("SELECT CAST(v AS FLOAT) AS f FROM VALUES (0.1), (0.2), (0.3) AS x(v)")
+    assert metric_of(spark, {"check_id": 9, "table": "t", "column": "f", "allowed_values": [0.1, 0.2, 0.3]}, {"t": t}) == 0
+    assert metric_of(spark, {"check_id": 11, "table": "t", "column": "f", "min_value": 0.1, "max_value": 0.3}, {"t": t}) == 0
+
+
+def test_sums_of_large_whole_numbers(spark):
+    t = spark.sql("SELECT 9000000000000000000L AS v FROM range(3)")
+    assert metric_of(spark, {"check_id": 25, "source_table": "a", "target_table": "b", "source_column": "v", "target_column": "v"}, {"a": t, "b": t}) == 0
+
+
+def test_nan_is_no_value_of_a_distribution(spark):
+    t = spark.sql("SELECT CAST(id % 7 AS DOUBLE) AS v FROM range(100) UNION ALL SELECT double('NaN')")
+    assert metric_of(spark, {"check_id": 28, "table": "t", "column": "v"}, {"t": t}) == 0
+    assert 0.5 < metric_of(spark, {"check_id": 29, "table": "t", "column": "v"}, {"t": t}) < 1
+
+
+def test_baselines_spell_types_in_their_own_way(spark):
+    t = spark.sql("SELECT TIMESTAMP_NTZ'2020-01-01 00:00:00' AS a, TIMESTAMP_NTZ'2020-01-01 00:00:00' AS b, TIMESTAMP'2020-01-01 00:00:00' AS c,"
+                  " 1.0D AS d, true AS e, X'00' AS f, 1L AS g, 'x' AS h")
+    names = {"a": "TIMESTAMP", "b": "timestamp without  time zone", "c": "TIMESTAMP WITH TIME ZONE", "d": "FLOAT64", "e": "BIT",
+             "f": "BLOB", "g": "INT64", "h": "character varying(20)"}
+    rows = [("sales", "t", c, kind) for c, kind in names.items()] + [("crm", "t", "other", "INT")]
+    base = spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, data_type string")
+    spec = {"check_id": 30, "table": "sales.t", "reference_table": "base"}
+    assert metric_of(spark, spec, {"sales.t": t, "base": base}) == 0
+    wrong = base.replace({"INT64": "INT32"}, subset=["data_type"])
+    assert metric_of(spark, spec, {"sales.t": t, "base": wrong}) == 1

@@ -157,3 +157,31 @@ def test_scan_of_clones(spark, table):
     rows = {r["check_id"]: r["metric_value"] for r in run.result.checks.collect()}
     assert run.result.mode == "synthetic"
     assert rows[1] == pytest.approx(0.25, abs=0.04) and rows[9] == pytest.approx(0.5, abs=0.04)
+
+
+def test_clones_hold_no_protected_values(spark):
+    from plumbline.operators.synth import clone_tables
+
+    t = spark.sql("SELECT concat('user', id, '@example.com') AS mail, 5550000 + id AS phone, id % 3 AS kind FROM range(80)")
+    clones = clone_tables(spark, [{"check_id": 1, "table": "t", "column": "kind"}], {"t": t}, rows=500, allow_sample_values=True,
+                          protected=[("t", "mail"), ("T", "PHONE")])
+    clone = clones.frame("t").cache()
+    assert clone.join(t, "mail").count() == 0 == clone.join(t, "phone").count()
+    assert {r["kind"] for r in clone.select("kind").distinct().collect()} == {0, 1, 2}
+
+
+def test_clones_draw_from_all_values_of_a_category(spark):
+    from plumbline.operators.synth import clone_tables
+
+    t = spark.sql("SELECT concat('v', id % 90) AS v FROM range(900)")
+    clone = clone_tables(spark, [{"check_id": 1, "table": "t", "column": "v"}], {"t": t}, rows=5000).frame("t")
+    assert clone.select("v").distinct().count() == 90
+
+
+def test_row_samples_do_not_depend_on_the_layout(spark):
+    from plumbline.operators.profile import sample_rows
+
+    t = spark.range(3000).selectExpr("id", "id * 7 % 11 AS v")
+    one, other = (sorted(map(tuple, sample_rows(d, max_rows=30).collect())) for d in (t.repartition(1), t.repartition(7)))
+    assert one == other and len(one) == 30
+    assert sample_rows(t.limit(3)).count() == 1 and sample_rows(t.limit(0)).count() == 0

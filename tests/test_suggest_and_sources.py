@@ -102,7 +102,9 @@ def test_checks_of_constraints():
         ("sales", "ss_sk", "INTEGER"), ("sales", "store_id", "VARCHAR"), ("sales", "price", "DOUBLE"),
         ("sales", "cost", "DOUBLE"), ("sales", "amount", "DOUBLE"), ("keys", "k_sk", "INTEGER"),
     ]
-    specs = checks_from_constraints(columns, {"sales": ["ss_sk"]}, [("sales", "ss_sk", "keys", "k_sk")])
+    links = [("sales", "ss_sk", "keys", "k_sk")]
+    assert len(checks_from_constraints(columns, {"sales": ["ss_sk"]}, links)) > 6      # no column is left out
+    specs = checks_from_constraints(columns, {"sales": ["ss_sk"]}, links, per_check={1: 1, 6: 1, 12: 2})
     assert ids(specs) == [(1, "store_id"), (5, "ss_sk"), (6, ""), (12, "cost"), (12, "price"), (17, "")]
     assert next(s for s in specs if s.check_id == 17).parent_column == "k_sk"
 

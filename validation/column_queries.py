@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline import ScreenConfig, column_roles, profile, scan, suggest_checks, synthesize, table_entries
-from plumbline.functions.masking import mask_value
+from plumbline.functions.masking import mask_value, personal_values
 from plumbline.functions.pii_values import EXACT_NAMES, NAME_PARTS, VALUE_PATTERNS
 from plumbline.operators import profile as profiling, screen as screening
 from plumbline.operators.suggest import specs_frame
@@ -295,13 +295,36 @@ def screen_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screen_extra_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Date rule and card test over the orders."""
-    found = screening.extra_rule_scan(frames(spark, sf_dir).frame("orders"), "orders")
-    return found.where("rule = 'date_before_2006'").select(
-        F.col("column").alias("column_name"), "values", "hits", F.round("hit_ratio", 10).alias("hit_ratio")
+    """Date rule and card test over the orders and the dirty customers."""
+    tables = frames(spark, sf_dir)
+    found = [screening.extra_rule_scan(tables.frame(t), t) for t in ("orders", "customer_dirty")]
+    return found[0].unionByName(found[1]).select(
+        F.col("column").alias("column_name"), "rule", "values", "hits", F.round("hit_ratio", 10).alias("hit_ratio")
     )
 
 
+def _extra_rules_sql() -> str:
+    digits = "regexp_replace(v::VARCHAR, '[ -]', '', 'g')"
+    digit = "substr(d, (len(d) + 1 - i)::INT, 1)::INT"
+    luhn = f"list_sum([CASE WHEN i % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END for i in range(1, len(d) + 1)]) % 10 = 0"
+    rows = []
+    for table in ("orders", "customer_dirty"):
+        for name, kind in (c.split(":") for c in COLUMNS[table].split()):
+            if kind == "t":
+                hits, rule, source = "CAST(v AS DATE) < DATE '2006-01-01'", "date_before_2006", f"SELECT {name} AS v FROM {table}"
+            elif kind == "s" or kind == "i" and name not in ("c_nationkey",):
+                digits_of = digits if kind == "s" else "v::VARCHAR"
+                hits = f"CASE WHEN regexp_full_match(d, '[0-9]{{13,19}}') THEN {luhn} ELSE false END"
+                rule, source = "luhn_card", f"SELECT v, {digits_of} AS d FROM (SELECT {name} AS v FROM {table}) x"
+            else:
+                continue
+            rows.append(
+                f"SELECT '{name}' AS column_name, '{rule}' AS rule, count(v) AS values, count(*) FILTER (WHERE {hits}) AS hits,"
+                f" round(count(*) FILTER (WHERE {hits})::DOUBLE / nullif(count(v), 0), 10) AS hit_ratio FROM ({source}) y"
+            )
+    return with_views(" UNION ALL ".join(rows))
+
+
 MASKED = {"email": "contact", "phone": "contact", "full_name": "identity", "credit_card": "financial",
           "balance_text": "other", "ship_location": "contact"}
 
@@ -345,15 +368,8 @@ _FOUND = {
 
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal values found in the whole texts of the documents, masked and counted."""
-    text = frames(spark, sf_dir).frame("documents").select("doc_id", "text")
-    out = None
-    for kind, (category, pattern) in _FOUND.items():
-        found = text.select(
-            "doc_id", F.lit(kind).alias("kind"),
-            F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("value"),
-        ).select("doc_id", "kind", mask_value(F.col("value"), F.lit(category)).alias("masked"))
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "kind", "masked").agg(F.count(F.lit(1)).alias("n"))
+    texts = frames(spark, sf_dir).frame("documents").select("doc_id", "text")
+    return personal_values(texts, "text", _FOUND).groupBy("doc_id", "kind", "masked").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _mask_documents_sql() -> str:
@@ -373,6 +389,23 @@ def synth_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesize(spark, profile(original, "lineitem"), rows=original.count())
 
 
+def synth_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per screened column of the dirty customers: values of the original that its clone holds."""
+    tables = frames(spark, sf_dir)
+    original = tables.frame("customer_dirty")
+    found = screening.screen_columns(spark, {"customer_dirty": original}, FULL)
+    columns = sorted(r["column"] for r in screening.excluded_columns(found).collect())
+    specs = [{"check_id": 1, "table": "customer_dirty", "column": "phone"}]
+    clones = clone_tables(spark, specs, tables, rows=original.count(), allow_sample_values=True,
+                          protected=[("customer_dirty", c) for c in columns])
+    clone, out = clones.frame("customer_dirty"), None
+    for c in columns:
+        kept = clone.select(F.col(c).cast("string").alias("v")).join(original.select(F.col(c).cast("string").alias("v")), "v", "left_semi")
+        one = kept.agg(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("original_values"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def synth_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks on clones of the dirty orders and customers, as many rows as in the orders."""
     tables = frames(spark, sf_dir)
@@ -482,6 +515,7 @@ def queries() -> dict[str, Query]:
         "mask_values": mask_values,
         "mask_documents": mask_documents,
         "synth_lineitem": synth_lineitem,
+        "synth_protected": synth_protected,
         "synth_scan": synth_scan,
         "suggest_roles": suggest_roles,
         "suggest_specs": suggest_specs,
@@ -504,11 +538,11 @@ def oracle_sql() -> dict[str, str]:
             "SELECT CASE WHEN category IN ('contact', 'financial') THEN status ELSE 'CLEAR' END AS status, count(*) AS n"
             f" FROM ({_findings_sql()}) f GROUP BY ALL"
         ),
-        "screen_extra_rules":
-            "SELECT 'o_orderdate' AS column_name, count(o_orderdate) AS values,"
-            " count(*) FILTER (WHERE CAST(o_orderdate AS DATE) < DATE '2006-01-01') AS hits,"
-            " round(count(*) FILTER (WHERE CAST(o_orderdate AS DATE) < DATE '2006-01-01')::DOUBLE / count(o_orderdate), 10)"
-            " AS hit_ratio FROM orders",
+        "screen_extra_rules": _extra_rules_sql(),
+        "synth_protected": with_views(
+            f"SELECT column_name, 0::BIGINT AS original_values FROM ({_findings_sql()}) f"
+            " WHERE status IN ('HIGH', 'MEDIUM') AND table_name = 'customer_dirty'"
+        ),
         "mask_values": _masked_sql(),
         "mask_documents": _mask_documents_sql(),
         "suggest_roles": _roles_sql(),
