@@ -29,6 +29,7 @@ from plumbline.spec import CheckSpec, SpecError, select_specs
 _PLANNING_ERRORS = (SpecError, PySparkException, ValueError, TypeError, KeyError)
 
 _PLANNERS = 8
+_JOBS = 16           # passes that run at a time
 
 METRICS_SCHEMA = "seq INT, metric_value DOUBLE, error STRING"
 
@@ -96,19 +97,14 @@ class ScanPlan:
     def run(self) -> DataFrame:
         """Compute the metrics now.
 
-        All passes run as one job.  If that fails, each pass runs by itself, and
-        the checks of a failing pass run one by one, so that an error (such as a
-        cast in a condition) stays with the check that caused it.  A failure that
-        is not about the data, such as a lost cluster, is raised.  The values kept
-        are one row per check.
+        Passes are jobs of their own, several at a time, and what has succeeded is
+        kept.  A failing pass is halved until the error (such as a cast in a
+        condition) stays with the check that caused it.  A failure that is not about
+        the data, such as a lost cluster, is raised.  The values kept are one row per
+        check.
         """
-        try:
-            found = [(r.seq, r.metric_value, None) for r in self.metrics().collect()]
-        except PySparkException as exc:
-            if exc.getCondition() is None:
-                raise
-            found = [row for df, measures in self.passes for row in self._run_pass(df, measures)]
-        found.sort()
+        with ThreadPoolExecutor(_JOBS) as pool:
+            found = sorted(row for rows in pool.map(lambda p: self._run_pass(*p), self.passes) for row in rows)
         return local_frame(self.ctx.spark, {
             "seq": ([f[0] for f in found], pa.int32()),
             "metric_value": ([f[1] for f in found], pa.float64()),
@@ -123,7 +119,8 @@ class ScanPlan:
                 raise
             if len(measures) == 1:
                 return [(measures[0].seq, None, _message(exc))]
-        return [row for m in measures for row in self._run_pass(self._build([m]), [m])]
+        middle = len(measures) // 2
+        return [row for half in (measures[:middle], measures[middle:]) for row in self._run_pass(self._build(half), half)]
 
 
 @dataclass
@@ -142,7 +139,11 @@ class ScanResult:
 
     @property
     def checks(self) -> DataFrame:
-        """One row per check with metric, verdict and score."""
+        """One row per check with metric, verdict and score.
+
+        Unless the result is materialised, an error in the data of one check fails
+        the action on this frame as a whole.
+        """
         return score.score_checks(self.plan, self.metrics)
 
     @property

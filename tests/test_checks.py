@@ -233,3 +233,19 @@ def test_baselines_spell_types_in_their_own_way(spark):
     assert metric_of(spark, spec, {"sales.t": t, "base": base}) == 0
     wrong = base.replace({"INT64": "INT32"}, subset=["data_type"])
     assert metric_of(spark, spec, {"sales.t": t, "base": wrong}) == 1
+
+
+def test_a_failing_pass_is_halved_and_the_others_run_once(spark, monkeypatch):
+    from plumbline import scan
+    from plumbline.plans.scan import ScanPlan
+
+    runs = []
+    run_pass = ScanPlan._run_pass
+    monkeypatch.setattr(ScanPlan, "_run_pass", lambda self, df, measures: runs.append([m.seq for m in measures]) or run_pass(self, df, measures))
+    t = spark.range(50).selectExpr("id", "cast(id AS string) || 'x' AS s")
+    specs = [{"check_id": 13, "table": "t", "condition": f"id < {k}"} for k in range(64)]
+    specs[37] = {"check_id": 13, "table": "t", "condition": "cast(s AS int) < 0"}
+    specs += [{"check_id": 5, "table": "t", "pk_column": "id"}]
+    rows = scan(spark, specs, {"t": t}).materialize().checks.collect()
+    assert sum(r["error"] is not None for r in rows) == 1
+    assert sum(64 in seqs for seqs in runs) == 1 and len(runs) <= 2 + 2 * 6 + 1
