@@ -113,37 +113,49 @@ def agreement_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
 
     Under one key, the joined pairs are (rows left) * (rows right), the pairs
     that can be compared are (values left) * (values right), and the pairs that
-    agree are the sum over values of (left with it) * (right with it).
+    agree are the sum over values of (left with it) * (right with it).  All pairs
+    of columns of two tables under one key share the pass: a row gives a cell per pair.
     """
-    left, left_col, right, right_col, join_key = key
+    left, right, join_key = key
     l_key, r_key = _comparable(
         ctx.col(left, join_key), ctx.type_of(left, join_key),
         ctx.col(right, join_key), ctx.type_of(right, join_key),
     )
-    l_val, r_val = _comparable(
-        ctx.col(left, left_col), ctx.type_of(left, left_col),
-        ctx.col(right, right_col), ctx.type_of(right, right_col),
-    )
-
-    def side(table: str, k: Column, v: Column, is_left: int) -> DataFrame:
+    columns = list(dict.fromkeys(m.payload for m in measures))
+    values = [
+        _comparable(ctx.col(left, lc), ctx.type_of(left, lc), ctx.col(right, rc), ctx.type_of(right, rc))
+        for lc, rc in columns
+    ]
+
+    def side(table: str, k: Column, of_side: int) -> DataFrame:
+        # Both values of a pair have one type, so equal values have equal text.
+        cells = [F.struct(F.lit(i).alias("pair"), _plain_text(v[of_side]).alias("value")) for i, v in enumerate(values)]
         return ctx.frame(table).select(
-            k.alias("key"), v.alias("value"),
-            F.lit(is_left).alias("on_left"), F.lit(1 - is_left).alias("on_right"),
+            k.alias("key"), F.lit(1 - of_side).alias("on_left"), F.lit(of_side).alias("on_right"), F.inline(F.array(*cells)),
         ).where(F.col("key").isNotNull())
 
     per_value = (
-        side(left, l_key, l_val, 1).unionByName(side(right, r_key, r_val, 0))
-        .groupBy("key", "value")
+        side(left, l_key, 0).unionByName(side(right, r_key, 1))
+        .groupBy("key", "pair", "value")
         .agg(F.sum("on_left").cast(_COUNT).alias("l"), F.sum("on_right").cast(_COUNT).alias("r"))
     )
     present = F.col("value").isNotNull()
-    per_key = per_value.groupBy("key").agg(
+    per_key = per_value.groupBy("key", "pair").agg(
         (F.sum("l") * F.sum("r")).alias("joined"),
         (_sum_if(present, F.col("l")) * _sum_if(present, F.col("r"))
          - _sum_if(present, F.col("l") * F.col("r"))).alias("differing"),
     )
-    wide = per_key.agg(share(F.sum("differing"), F.sum("joined")).alias("differing"))
-    return long_rows(wide.select(*[F.col("differing").alias(f"m{m.seq}") for m in measures]), [m.seq for m in measures])
+    of = lambda name, i: F.sum(F.when(F.col("pair") == i, F.col(name)))
+    wide = per_key.agg(*[
+        share(of("differing", columns.index(m.payload)), of("joined", columns.index(m.payload))).alias(f"m{m.seq}")
+        for m in measures
+    ])
+    return long_rows(wide, [m.seq for m in measures])
+
+
+def _plain_text(value: Column) -> Column:
+    text = value.cast("string")
+    return F.when(text == "-0.0", F.lit("0.0")).otherwise(text)
 
 
 def _sum_if(condition: Column, value: Column) -> Column:
@@ -154,7 +166,7 @@ def _agreement(ctx: ScanContext, left: str, left_col: str, right: str, right_col
     for table, name in ((left, left_col), (left, join_key), (right, right_col), (right, join_key)):
         ctx.type_of(table, name)
     return Measure(
-        agreement_pass, (left, left_col, right, right_col, join_key), None,
+        agreement_pass, (left, right, join_key), (left_col, right_col),
         f"{left}.{left_col} <> {right}.{right_col} where {join_key} is equal",
     )
 
