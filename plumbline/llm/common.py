@@ -21,6 +21,14 @@ def words_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def least_places(df: DataFrame, place: str, rows: int, most: int) -> DataFrame:
+    """The `most` rows of df (of about `rows`) with the least places, which are hashes. About twice as many pass a
+    filter first, so that the task that picks among them gets few rows, however many tasks read df."""
+    enough = min(1.0, 2 * most / max(1, rows))
+    few = df.filter(F.pmod(F.col(place), F.lit(1 << 40)) < F.lit(int(enough * (1 << 40))))
+    return few.withColumn(place, F.pmod(F.col(place), F.lit(1 << 40))).orderBy(place).limit(most)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session gets a
     temporary one; a cluster must name it, because executors and driver do not see each other's disks."""

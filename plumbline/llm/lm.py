@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import least_places, stored
 
 STATES = 8
 HOT = 50_000
@@ -197,7 +197,8 @@ class Model:
         base = np.concatenate([[(c + 1) / (n + v + 1) for c in hot.values()], classes])
         hmm = Hmm.first(base / base.sum())
         if n:
-            seeds = plain.withColumn("place", F.xxhash64("text")).orderBy("place").limit(SEED_DOCS).select("text")
+            texts_read = counts.filter(F.col("token") == F.lit(END)).first().c
+            seeds = least_places(plain.withColumn("place", F.xxhash64("text")), "place", texts_read, SEED_DOCS).select("text")
             hmm = _trained(seeds.repartition(1), hot, base / base.sum(), hmm, SEED_ROUNDS)
             for _ in range(ROUNDS):
                 hmm = _trained(plain, hot, base / base.sum(), hmm, 1)

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import least_places
+
 HASH_BITS = 20
 SAMPLE = 8_000
 EPOCHS = 4
@@ -153,7 +155,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, t
     """(doc_id, text, label, place) of at most `most` labelled documents, in the order of a hash of the id."""
     known = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & teaches)
     known = known.groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
-    picked = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(most)
+    picked = least_places(known.withColumn("place", F.xxhash64("doc_id")), "place", known.count(), most)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # `most` rows of 20 bytes
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("place").alias("place"))
 
