@@ -38,7 +38,7 @@ LATER_CHARACTERS = """
 """
 _FIRST_LATER = "\u0558"
 SHORT_WORD = 96
-KEPT_STRETCHES = 1 << 18
+KEPT_STRETCHES = 1 << 17
 _NO_RANK = 1 << 62
 _ENDS = (",", ".", ";", ":", "!", "?")
 #: A space between white space, or between white space and the end: there the pattern may not cut.

@@ -121,11 +121,14 @@ class _List:
     def flips(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Differing parity bits of pairs of entries that pass all filters; 255 for the others. Jaccard of at least 0.8
         is an overlap of at least 4/9 of both sizes. Entries of one document pass in either order."""
-        n, m, i, j = self.size[x], self.size[y], self.pos[x], self.pos[y]
-        both, overlap = n + m, np.minimum(i, j) + np.minimum(n - i, m - j)
+        out, n, m = np.full(len(x), 255), self.size[x], self.size[y]
+        kept = np.flatnonzero((5 * n >= 4 * m) & (5 * m >= 4 * n))  # most pairs end here
+        x, y, n, m = x[kept], y[kept], n[kept], m[kept]
+        both, i, j = n + m, self.pos[x], self.pos[y]
         flips = sum(np.bitwise_count((odd[x] ^ odd[y]).view(np.uint64)).astype(np.int64) for odd in (self.odd1, self.odd2))
-        good = (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * overlap >= 4 * both) & (both >= 9 * flips) & (flips > 0)
-        return np.where(good, flips, 255)
+        good = (both >= 9 * flips) & (flips > 0) & (9 * (np.minimum(i, j) + np.minimum(n - i, m - j)) >= 4 * both)
+        out[kept[good]] = flips[good]
+        return out
 
     def pairs(self, done: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(x, y, flips) of places, for y from done on: the best earlier x, or with every all that pass for open y."""
@@ -162,14 +165,37 @@ class _List:
 _BOTH = ("odd1", "odd2")
 
 
+def _entries(lines: DataFrame, failed: DataFrame | None) -> DataFrame:
+    """(word, doc, odd1, odd2, size, pos, open): an entry per prefix word of a line; with failed, of those words only that
+    a failed set has too, and few others, and open only for these sets."""
+    doc = F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63))).alias("doc")
+    indexed = lines.filter(F.size("prefix") > 0)
+    if failed is None:
+        return indexed.select(doc, *_BOTH, "size", F.posexplode("prefix").alias("pos", "word"), F.lit(True).alias("open"))
+    context, open_sets = lines.sparkSession.sparkContext, _bitmap(failed.select(_number_of(F.col("key")).alias("number")))
+    numbered = indexed.select(doc, *_BOTH, F.col("size").cast("long").alias("size"), _number_of(F.col("key")).alias("number"), "prefix")
+
+    def chosen(batch: pa.RecordBatch, sets: np.ndarray, words: np.ndarray | None) -> pa.RecordBatch:
+        column = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
+        prefix, sizes = batch.column(5), np.diff(batch.column(5).offsets.to_numpy())
+        word, of = prefix.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), sizes)
+        pos, is_open = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes), _held(sets, column(4))
+        take = is_open[of] if words is None else _held(words, word)  # the low bits of a word are bits of its hash
+        at = of[take]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (word[take], *(column(k)[at] for k in range(4)), pos[take], is_open[at])], names)
+
+    names = ["word", "doc", *_BOTH, "size", "pos", "open"]
+    kind = "word long, doc long, odd1 long, odd2 long, size long, pos long, open boolean"
+    first = context.broadcast((open_sets, None))
+    open_words = numbered.mapInArrow(lambda batches: (chosen(b, *first.value) for b in batches), kind).select("word").distinct()
+    second = context.broadcast((open_sets, _bitmap(open_words)))
+    return numbered.mapInArrow(lambda batches: (chosen(b, *second.value) for b in batches), kind)
+
+
 def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Pairs (x1, x2, y1, y2, flips) of different parities of sets that pass the filters, x not in a later document than
     y: for each y and word the best partner or all; with failed (odd1, odd2) all, and for these y only."""
-    entries = lines.filter(F.size("prefix") > 0).select(F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63))).alias("doc"), *_BOTH, "size", F.posexplode("prefix").alias("pos", "word"))
-    entries = entries.withColumn("open", F.lit(True))
-    if failed is not None:
-        marked = entries.drop("open").join(failed.withColumn("open", F.lit(True)), [*_BOTH], "left")
-        entries = marked.withColumn("open", F.coalesce("open", F.lit(False))).join(marked.filter("open").select("word").distinct(), "word", "left_semi")
+    entries = _entries(lines, failed)
     together = entries.select("word", "doc", *_BOTH, "size", "pos", "open").repartition("word").sortWithinPartitions("word", "doc")
     every = failed is not None
 
@@ -266,7 +292,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             break
         # A pair of parities can stand for several sets; those of them that found no match stay open.
         tried = firsts.join(pairs.select(F.col("y1").alias("odd1"), F.col("y2").alias("odd2")), [*_BOTH], "left_semi")
-        failed = stored(tried.join(now.select("key"), "key", "left_anti").select(*_BOTH).distinct())
+        failed = stored(tried.join(now.select("key"), "key", "left_anti").select("key"))
         pairs = stored(candidates(lines, failed).select("x1", "x2", "y1", "y2").distinct().join(pairs, ["x1", "x2", "y1", "y2"], "left_anti"))
         if pairs.isEmpty():
             break
