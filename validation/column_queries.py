@@ -486,7 +486,7 @@ def _specs_sql() -> str:
         2: "(sum((monetary OR pk OR bk)::INT) >= 2)::INT", 3: "(sum((monetary OR pk OR bk)::INT) >= 1)::INT",
         5: "sum(pk::INT)", 6: "max(bk::INT)", 7: "max(bk::INT)", 8: "sum(monetary::INT)", 12: "sum(monetary::INT)",
         28: "sum(monetary::INT + numeric_::INT)", 29: "sum(numeric_::INT)",
-        9: "sum((categorical AND u <= 100)::INT)", 11: "sum((numeric_ AND lo IS NOT NULL)::INT)",
+        9: "sum((categorical AND u <= 50)::INT)", 11: "sum((numeric_ AND lo IS NOT NULL)::INT)",
     }
     rows = " UNION ALL ".join(
         f"SELECT t AS table_name, CAST({i} AS INTEGER) AS check_id, CAST({rule} AS BIGINT) AS n FROM roles GROUP BY t"
