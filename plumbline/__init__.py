@@ -8,12 +8,12 @@ from plumbline.operators.suggest import column_roles, suggest_checks, table_entr
 from plumbline.operators.synth import synthesize
 from plumbline.plans.run import run_scan
 from plumbline.plans.scan import ScanResult, scan
-from plumbline.sources.config import ScanConfig, load_scan
+from plumbline.sources.config import ScanConfig, load_scan, save_scan
 from plumbline.sources.tables import Tables
 from plumbline.spec import CheckSpec, SpecError
 
 __all__ = [
     "CHECKS", "CheckDef", "CheckSpec", "PIIBlocked", "ScanConfig", "ScanResult", "ScreenConfig",
     "SpecError", "Tables", "catalog_frame", "column_roles", "load_scan", "profile", "profile_tables",
-    "register_check", "run_scan", "scan", "screen", "suggest_checks", "synthesize", "table_entries",
+    "register_check", "run_scan", "save_scan", "scan", "screen", "suggest_checks", "synthesize", "table_entries",
 ]

@@ -3,24 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
-from datetime import datetime
+from dataclasses import dataclass, replace
+from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators.screen import ScreenConfig, Screening, screen, tables_of_specs
 from plumbline.operators.synth import clone_tables
 from plumbline.plans.scan import ScanResult, scan
 from plumbline.sources.config import ScanConfig
+from plumbline.sources.sinks import nest
 from plumbline.sources.tables import Source, Tables
 from plumbline.spec import select_specs
 
 
 @dataclass
 class Run:
+    """A result with what was found before it, and when the run began and ended.
+
+    The run ends when its result is materialised; a lazy result has no end.
+    """
+
     result: ScanResult
     screening: Screening | None
+    started: datetime | None = None
+    ended: datetime | None = None
+
+    def materialize(self) -> "Run":
+        result = self.result.materialize()
+        return replace(self, result=result, ended=self.ended or datetime.now(timezone.utc))
+
+    def report(self) -> DataFrame:
+        """The nested report with its header: times, whether clones were scanned, and the tables' manifests."""
+        out = nest(self.result.flat())
+        seconds = (self.ended - self.started).total_seconds() if self.ended and self.started else None
+        header = out.withColumns({
+            "started": F.lit(self.started), "ended": F.lit(self.ended).cast("timestamp"),
+            "duration_seconds": F.lit(seconds).cast("double"), "is_synthetic": F.lit(self.result.mode == "synthetic"),
+        })
+        if self.screening is None:
+            return header
+        manifests = self.screening.manifests        # one row per table
+        listed = manifests.agg(F.collect_list(F.struct(*manifests.columns)).alias("manifests"))
+        return header.withColumn("gate", F.lit(self.screening.gate)).withColumn("manifests", listed.scalar())
 
 
 def run_scan(
@@ -38,6 +64,7 @@ def run_scan(
     The screen runs if the configuration has a ``screener`` block.  It may raise
     PIIBlocked, exclude columns, or turn the run into one on synthetic clones.
     """
+    started = datetime.now(timezone.utc)
     if not isinstance(config, ScanConfig):
         config = ScanConfig.from_dict(config)
     resolver = Tables.of(spark, tables if tables is not None else (config.sources or {}))
@@ -59,4 +86,4 @@ def run_scan(
         spark, specs, resolver, as_of=as_of, scan_name=config.scan_name, mode=mode,
         excluded=excluded, strict_pii=strict_pii,
     )
-    return Run(result, screening)
+    return Run(result, screening, started)

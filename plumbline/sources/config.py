@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from pathlib import Path
 from typing import Any
 
@@ -43,6 +43,30 @@ class ScanConfig:
             sources=raw.get("sources"),
         )
 
+    def to_dict(self) -> dict[str, Any]:
+        """The mapping that from_dict reads, without what equals the defaults.
+
+        Sources that are frames or functions cannot be written; name them in the run instead.
+        """
+        out: dict[str, Any] = {"scan_name": self.scan_name, "mode": self.mode}
+        for f in fields(self)[3:]:
+            value = getattr(self, f.name)
+            if value is not None and value != f.default:
+                out[f.name] = list(value) if isinstance(value, tuple) else value
+        odd = [t for t, s in (self.sources or {}).items() if not isinstance(s, (str, Mapping))]
+        if odd:
+            raise ValueError(f"sources that have no written form: {', '.join(sorted(odd))}")
+        return out | {"checks": [c.to_dict() for c in self.checks]}
+
+
+def save_scan(config: ScanConfig, path: str) -> None:
+    """Write a scan configuration as YAML, for load_scan.  Needs PyYAML."""
+    try:
+        import yaml
+    except ImportError as exc:  # pragma: no cover
+        raise ImportError("save_scan needs PyYAML; write ScanConfig.to_dict instead") from exc
+    Path(path).write_text(yaml.safe_dump(config.to_dict(), sort_keys=False, allow_unicode=True), encoding="utf-8")
+
 
 def load_scan(path: str) -> ScanConfig:
     """Read a YAML scan configuration.  Needs PyYAML."""

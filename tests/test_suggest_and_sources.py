@@ -180,3 +180,25 @@ def test_flat_columns(spark):
         "check_id", "check_name", "metric_name", "metric_value", "threshold", "passed", "pass_score",
         "effective_weight", "weighted_score", "table", "column", "error", "skipped", "timestamp",
     ]
+
+
+def test_configurations_survive_writing(tmp_path):
+    from plumbline.sources.config import save_scan
+
+    raw = {"scan_name": "s", "mode": "synthetic", "mvp_only": True, "sources": {"t": "t.parquet"}, "screener": {"enabled": True},
+           "checks": [{"check_id": 1, "table": "t", "column": "a"}, {"check_id": 9, "table": "t", "column": "b", "allowed_values": ["x", "y"]}]}
+    config = ScanConfig.from_dict(raw)
+    assert ScanConfig.from_dict(config.to_dict()) == config
+    pytest.importorskip("yaml")
+    save_scan(config, str(tmp_path / "scan.yaml"))
+    assert load_scan(str(tmp_path / "scan.yaml")) == config
+
+
+def test_a_report_has_a_header(spark):
+    t = spark.sql("SELECT concat('user', id, '@example.com') AS email, id FROM range(30)")
+    config = {"checks": [{"check_id": 1, "table": "t", "column": "id"}], "screener": {"enabled": True, "on_pii_detected": "synthetic"},
+              "synthetic_row_count": 50}
+    run = run_scan(spark, config, {"t": t}).materialize()
+    row = run.report().collect()[0]
+    assert row["is_synthetic"] and row["gate"] == "SYNTHETIC_MODE" and row["duration_seconds"] >= 0
+    assert len(row["manifests"]) == 1 and row["dimensions"][0]["checks"]

@@ -389,6 +389,26 @@ def synth_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesize(spark, profile(original, "lineitem"), rows=original.count())
 
 
+def synth_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a clone of the dirty orders keeps of each column: rows, share of NULLs, bounds, the values of few-valued text."""
+    original = frames(spark, sf_dir).frame("orders_dirty")
+    clone = synthesize(spark, profile(original, "orders_dirty"), rows=original.count())
+    facts = lambda df: df.agg(F.struct(F.count(F.lit(1)).alias("n"), *[
+        f(F.col(c)).alias(f"{name}_{c}") for c in df.columns for name, f in (("present", F.count), ("low", F.min), ("high", F.max))
+    ]).alias("facts"))
+    was, rows = facts(original).scalar(), []
+    for c in (x.split(":")[0] for x in COLUMNS["orders_dirty"].split()):
+        now = lambda name, c=c: F.col(f"facts.{name}_{c}")
+        then = lambda name, c=c: F.col(f"was.{name}_{c}")
+        missing = lambda of, n: 1 - of("present") / n
+        rows.append(F.struct(
+            F.lit(c).alias("column_name"), (F.col("facts.n") == F.col("was.n")).alias("same_rows"),
+            (F.abs(missing(now, F.col("facts.n")) - missing(then, F.col("was.n"))) < 0.1).alias("null_share_kept"),
+            ((now("low") >= then("low")) & (now("high") <= then("high"))).alias("inside_bounds"),
+        ))
+    return facts(clone).withColumn("was", was).select(F.inline(F.array(*rows)))
+
+
 def synth_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per screened column of the dirty customers: values of the original that its clone holds."""
     tables = frames(spark, sf_dir)
@@ -515,6 +535,7 @@ def queries() -> dict[str, Query]:
         "mask_values": mask_values,
         "mask_documents": mask_documents,
         "synth_lineitem": synth_lineitem,
+        "synth_kept": synth_kept,
         "synth_protected": synth_protected,
         "synth_scan": synth_scan,
         "suggest_roles": suggest_roles,
@@ -539,6 +560,10 @@ def oracle_sql() -> dict[str, str]:
             f" FROM ({_findings_sql()}) f GROUP BY ALL"
         ),
         "screen_extra_rules": _extra_rules_sql(),
+        "synth_kept": " UNION ALL ".join(
+            f"SELECT '{c.split(':')[0]}' AS column_name, true AS same_rows, true AS null_share_kept, true AS inside_bounds"
+            for c in COLUMNS["orders_dirty"].split()
+        ),
         "synth_protected": with_views(
             f"SELECT column_name, 0::BIGINT AS original_values FROM ({_findings_sql()}) f"
             " WHERE status IN ('HIGH', 'MEDIUM') AND table_name = 'customer_dirty'"
