@@ -213,7 +213,7 @@ class Tokenizer:
         @F.arrow_udf("array<int>")
         def encoded(texts: pa.Array) -> pa.Array:
             encode = _vocabulary(shared).encode
-            packed = [encode(text) for text in texts.to_pylist()]
+            packed = [encode(text.as_py()) for text in texts]
             ends = np.fromiter(accumulate((len(p) // 4 for p in packed), initial=0), np.int64, len(packed) + 1)
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 

@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import least_places
 
 HASH_BITS = 20
-SAMPLE = 6_000
+SAMPLE = 4_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 8.0, 0.5
 INTERCEPT = -1
 #: The intercept when there is nothing to learn from.
 UNTAUGHT = -40.0
 KEPT_WORDS = 1 << 16
-_STRETCH = 1 << 19
+_STRETCH = 1 << 17
 _EDGES = b".,;:!?\"'()[]{}"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
