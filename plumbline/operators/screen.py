@@ -293,16 +293,16 @@ def gate_decision(on_pii_detected: str) -> Column:
 def gate_reason(on_pii_detected: str) -> Column:
     high, medium, review = F.col("high_count"), F.col("medium_count"), F.col("review_count")
     for_high = {
-        "block": F.format_string("%d HIGH-confidence PII column(s) detected — scan blocked.", high),
-        "synthetic": F.format_string("%d HIGH-confidence PII column(s) — forcing synthetic mode.", high),
+        "block": F.format_string("Not scanned: personal data is certain in %d columns.", high),
+        "synthetic": F.format_string("Only a clone is scanned: personal data is certain in %d columns.", high),
         "exclude": F.format_string(
-            "%d HIGH / %d MEDIUM column(s) — excluded from value-sampling checks.", high, medium
+            "Left out of the scan: %d columns with certain and %d with likely personal data.", high, medium
         ),
     }[on_pii_detected]
     return (
         F.when(high > 0, for_high)
-        .when((medium > 0) | (review > 0), F.format_string("%d MEDIUM / %d REVIEW column(s) flagged.", medium, review))
-        .otherwise("No PII detected — scan proceeds in full.")
+        .when((medium > 0) | (review > 0), F.format_string("To be looked at: %d columns with likely and %d with possible personal data.", medium, review))
+        .otherwise("Nothing looks like personal data.")
     )
 
 

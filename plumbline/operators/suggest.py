@@ -37,7 +37,7 @@ _KEY_SUFFIX = "(_sk|_key|_pk)$"
 _ID_SUFFIX = "(_id|_code|_num|_no|_nbr)$"
 _CURRENCY_WORDS = ("currency", "curr_cd", "ccy")
 
-# Limits of a categorical column, and values kept as its domain.
+# Limits of a categorical column.
 _FEW_VALUES = 50
 _FEW_VALUES_SHARE = 0.02
 

@@ -10,7 +10,7 @@ from plumbline import ScreenConfig, column_roles, profile, scan, suggest_checks,
 from plumbline.functions.masking import mask_value, personal_values
 from plumbline.functions.pii_values import EXACT_NAMES, NAME_PARTS, VALUE_PATTERNS
 from plumbline.operators import profile as profiling, screen as screening
-from plumbline.operators.suggest import specs_frame
+from plumbline.operators.suggest import _MONEY_WORDS, _NUMBER_WORDS, _TIME_WORDS, specs_frame
 from plumbline.operators.synth import clone_tables
 from validation.cases import AS_OF
 from validation.views import frames, with_views
@@ -251,10 +251,10 @@ def _manifest_sql() -> str:
     return (
         "SELECT table_name, row_count, high_count, medium_count, review_count, clear_count,"
         " CASE WHEN high_count + medium_count + review_count > 0 THEN 'PROCEED_EXCLUDE' ELSE 'CLEAR' END AS gate_decision,"
-        " CASE WHEN high_count > 0 THEN high_count || ' HIGH / ' || medium_count ||"
-        " ' MEDIUM column(s) — excluded from value-sampling checks.'"
-        " WHEN medium_count + review_count > 0 THEN medium_count || ' MEDIUM / ' || review_count || ' REVIEW column(s) flagged.'"
-        " ELSE 'No PII detected — scan proceeds in full.' END AS gate_reason, n_columns FROM"
+        " CASE WHEN high_count > 0 THEN 'Left out of the scan: ' || high_count || ' columns with certain and ' || medium_count ||"
+        " ' with likely personal data.' WHEN medium_count + review_count > 0 THEN 'To be looked at: ' || medium_count ||"
+        " ' columns with likely and ' || review_count || ' with possible personal data.'"
+        " ELSE 'Nothing looks like personal data.' END AS gate_reason, n_columns FROM"
         " (SELECT table_name, count(*) FILTER (WHERE status = 'HIGH') AS high_count,"
         " count(*) FILTER (WHERE status = 'MEDIUM') AS medium_count, count(*) FILTER (WHERE status = 'REVIEW') AS review_count,"
         " count(*) FILTER (WHERE status = 'CLEAR') AS clear_count, CAST(count(*) AS INTEGER) AS n_columns"
@@ -457,12 +457,7 @@ def suggest_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MONEY = "price|cost|amount|revenue|fee|tax|discount|paid|profit|wage|salary|charge|spend|budget"
-_NUMBER = _MONEY + (
-    "|qty|quantity|count|cnt|num|nbr|total|rate|ratio|pct|percent|score|weight|size|width|height|length|age|year|month"
-    "|day|hour|minute|second|bound"
-)
-_TIME = "_at|_date|_time|_ts|_timestamp|created|updated|modified|loaded|processed|ingested"
+_MONEY, _NUMBER, _TIME = ("|".join(words) for words in (_MONEY_WORDS, _NUMBER_WORDS, _TIME_WORDS))
 
 
 def _role_rows_sql() -> str:
