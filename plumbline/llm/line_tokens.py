@@ -12,7 +12,7 @@ import xxhash
 COUNT_BITS = 17
 #: Bits of a word's hash beside its rarity in the order of words.
 ORDER_BITS = 38
-_STRETCH = 1 << 18
+_STRETCH = 1 << 16
 _LINE_BITS = 64 - 8 - ORDER_BITS
 
 
