@@ -44,12 +44,12 @@ class Lines:
         rarity = levels[(hashed >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
         ordered = rarity << np.uint64(ORDER_BITS) | hashed & np.uint64((1 << ORDER_BITS) - 1)
         of = np.repeat(np.arange(len(sizes)), sizes)
-        for a in range(0, len(sizes), 1 << _LINE_BITS):  # rarely more than once: line, rarity and hash share 64 bits
+        for a in range(0, len(sizes), 1 << _LINE_BITS):  # more than once for a text of very many lines: line, rarity and hash share 64 bits
             cut = slice(int(np.searchsorted(of, a)), int(np.searchsorted(of, a + (1 << _LINE_BITS))))
             packed = (of[cut] - a).astype(np.uint64) << np.uint64(64 - _LINE_BITS) | ordered[cut]
             at = np.argsort(packed)
             ordered[cut], hashed[cut] = ordered[cut][at], hashed[cut][at]
-        new = np.ones(len(at), bool)
+        new = np.ones(len(hashed), bool)
         new[1:] = (hashed[1:] != hashed[:-1]) | (of[1:] != of[:-1])
         self.order, self.hashes, of = ordered[new], hashed[new], of[new]
         self.size = np.bincount(of, minlength=len(sizes))

@@ -59,6 +59,18 @@ def test_texts_beyond_one_stretch(make_docs, monkeypatch):
     assert parts == [[0, 1, 1, 3], [4]]
 
 
+def test_one_text_of_more_lines_than_are_sorted_at_once():
+    n = (1 << line_tokens._LINE_BITS) + 5
+    levels = line_tokens.levels_of(np.ones(1 << line_tokens.COUNT_BITS))
+    text = "\n".join(f"w{k} w{k % 7} w{k}" for k in range(n)).encode()
+    (lines,) = line_tokens.lines_of([text], levels)
+    assert lines.line.tolist() == list(range(n)) and lines.size.tolist() == [len({k, k % 7}) for k in range(n)]
+    for k in (0, 8, n - 6, n - 5, n - 1):
+        (alone,) = line_tokens.lines_of([text.split(b"\n")[k]], levels)
+        own = slice(lines.start[k], lines.start[k] + lines.size[k])
+        assert lines.order[own].tolist() == alone.order.tolist() and lines.hashes[own].tolist() == alone.hashes.tolist()
+
+
 def test_edge_cases(make_docs, empty_docs):
     long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
     rows = [(1, "one two three four five\nb"), (1, "one two three four five\nb"), (2, None), (3, ""), (None, "a b c\nd e"), (None, None),
