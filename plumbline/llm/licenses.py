@@ -2,8 +2,11 @@
 
 A text is brought to a canonical form: lower case, lines with a copyright notice left out, equivalent spellings made
 one, everything but letters and digits a separator. Its SHA-256 digest is hash-joined to the digests of the known
-texts. The texts looked up are the whole document, each of its paragraphs (between empty lines) and each of its lines,
-so a licence text or notice is found where it stands alone and where it stands among other text.
+texts. The texts looked up are the whole document, each of its paragraphs (between empty lines) and each of its lines.
+Known texts of several lines are also looked for as passages: runs of words of the document's canonical form, so that
+they are found among other text too, over paragraphs, however their lines are broken and behind comment marks; one that is
+also a paragraph of a longer document has a row for either. Texts of one line count only as a whole document,
+paragraph or line.
 
 The catalogue is a list of known texts (name, family, text). Texts that are empty in canonical form match nothing, as
 no known text is empty. Null texts count as empty. Repeated rows get equal results, an empty table gives an empty one.
@@ -80,13 +83,37 @@ def catalogue(spark: SparkSession, known: tuple[tuple[str, str, str], ...] = KNO
     return df.groupBy(F.sha2(canonical(F.col("known")), 256).alias("digest")).agg(F.min("license").alias("license"), F.min_by("family", "license").alias("family"))
 
 
-def scan(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
+def passages(known: tuple[tuple[str, str, str], ...] = KNOWN) -> list[str]:
+    """The known texts of more than one line."""
+    return [text for _, _, text in known if len([line for line in text.splitlines() if line.strip()]) > 1]
+
+
+def _passages(docs: DataFrame, known: DataFrame, texts: list[str], plain: Column) -> DataFrame:
+    """Rows of scan() for texts that stand inside a longer document; place is the number of words before."""
+    spark = docs.sparkSession
+    forms = spark.createDataFrame([(t,) for t in texts], "known string").select(canonical(F.col("known")).alias("form")).distinct()
+    # Most documents hold no known beginning, so only the others are compared with whole texts.
+    starts = sorted({" ".join(r.form.split()[:6]) for r in forms.collect()})  # of the catalogue, not of the documents
+    held = docs.select(F.struct("*").alias("row"), canonical(plain).alias("words")).filter(F.col("words").rlike(f" (?:{'|'.join(starts)})"))
+    found = held.join(F.broadcast(forms), F.col("words").contains(F.col("form")) & (F.col("words") != F.col("form")))
+    parts = F.split("words", F.concat(F.lit(" (?="), F.trim("form"), F.lit(" )")), -1)
+    size = lambda part: F.size(F.filter(F.split(part, " "), lambda w: w != ""))
+    each = found.select("row", F.sha2("form", 256).alias("digest"), parts.alias("parts"))
+    before = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.aggregate(F.slice("parts", 1, k), F.lit(0), lambda n, part: n + size(part)))
+    places = each.select("row", "digest", F.explode(before).alias("place"))
+    return places.join(F.broadcast(known), "digest").select("row", F.lit("passage").alias("unit"), "place", "license", "family")
+
+
+def scan(docs: DataFrame, known: DataFrame, text: str = "text", texts: list[str] | None = None) -> DataFrame:
     """(row, unit, place, license, family) for each text in docs that is a known one: unit is document, paragraph or
-    line, place its number from 0, row the row of docs as a struct. known: from catalogue(); it has a row per known text
-    and is broadcast for that."""
+    line, place its number from 0, row the row of docs as a struct; or unit is passage and place the number of words
+    before it. known: from catalogue(); it has a row per known text and is broadcast for that. texts: from passages() of
+    the same known texts."""
     plain = F.coalesce(F.col(text), F.lit(""))
     named = lambda unit, parts: F.transform(parts, lambda p, i: F.struct(F.lit(unit).alias("unit"), i.alias("place"), p.alias("part")))
     units = F.concat(named("document", F.array(plain)), named("paragraph", F.split(plain, EMPTY_LINE, -1)), named("line", F.split(plain, r"\n", -1)))
     spread = docs.select(F.struct("*").alias("row"), F.explode(units).alias("u"))
     digests = spread.select("row", "u.unit", "u.place", F.sha2(canonical(F.col("u.part")), 256).alias("digest"))
-    return digests.join(F.broadcast(known), "digest").select("row", "unit", "place", "license", "family")
+    whole = digests.join(F.broadcast(known), "digest").select("row", "unit", "place", "license", "family")
+    texts = passages() if texts is None else texts
+    return whole.union(_passages(docs, known, texts, plain)) if texts else whole

@@ -14,3 +14,16 @@ def test_variants_of_known_texts(spark, make_docs, edge_docs, empty_docs):
     found = sorted((r.row.doc_id, r.unit, r.place, r.license) for r in licenses.scan(make_docs(rows, "unit place digest license found u"), known).collect())
     assert found == [(1, "document", 0, "MIT"), (3, "line", 1, "MIT"), (5, "document", 0, "Apache-2.0"), (5, "line", 0, "Apache-2.0"), (5, "paragraph", 0, "Apache-2.0")]
     assert licenses.scan(edge_docs, known).count() == 0 == licenses.scan(empty_docs, known).count()
+
+
+def test_whole_licences_among_other_text(spark, make_docs):
+    """At the end of a README, as comment lines in a longer paragraph, and twice in one document."""
+    mit, isc = (next(text for name, _, text in licenses.KNOWN if name == wanted and len(text) > 500) for wanted in ("MIT", "ISC"))
+    lines = [line.strip() for line in mit.strip().splitlines()]
+    comment = "\n".join(f"# {line}".rstrip() if line else "#" for line in lines)
+    wrapped = "\n".join(f" * {' '.join(isc.split()[k : k + 9])}" for k in range(0, len(isc.split()), 9))
+    rows = [(1, "# Tool\n\nIt does things.\n\nCopyright (c) 2020 Someone\n\n" + mit), (2, f"# a.py\n# Copyright 2020 Someone\n{comment}\nimport os\n"),
+            (3, f"one two\n{wrapped}\nthree\n\n{wrapped}\nfour"), (4, "a b\n" + mit[:-20] + "\nc"), (5, mit)]
+    found = sorted((r.row.doc_id, r.unit, r.place, r.license) for r in licenses.scan(make_docs(rows), licenses.catalogue(spark)).collect())
+    n = len("".join(c if c.isalnum() else " " for c in isc).split())
+    assert found == [(1, "passage", 4, "MIT"), (2, "passage", 2, "MIT"), (3, "passage", 2, "ISC"), (3, "passage", 3 + n, "ISC"), (5, "document", 0, "MIT")]
