@@ -15,6 +15,9 @@ Other columns stay inside the struct `row`.
 
 from __future__ import annotations
 
+import importlib.resources
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,8 @@ KNOWN = (
         USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("Unlicense", "public-domain", "This is free and unencumbered software released into the public domain."),
 )
+# Full texts, standard file headers and SPDX identifiers, kept as a data file of the same rows.
+KNOWN += tuple(map(tuple, json.loads((importlib.resources.files("plumbline.llm") / "known_licenses.json").read_text("utf-8"))))
 # Spellings that count as one (pattern, one of them). They stand for whole words.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("copyright owner", "copyright holder"),
@@ -88,13 +93,28 @@ def passages(known: tuple[tuple[str, str, str], ...] = KNOWN) -> list[str]:
     return [text for _, _, text in known if len([line for line in text.splitlines() if line.strip()]) > 1]
 
 
+def _needed(texts: list[list[str]]) -> list[str]:
+    """Few long words of which each text has one; none is changed by SPELLINGS."""
+    changed = {w for pair in SPELLINGS for spelling in pair for w in spelling.split()}
+    left, out = [set(words) - changed for words in texts], []
+    while left:
+        size = lambda w: (min(len(w), 12), sum(w in words for words in left), w)
+        out.append(max(set().union(*left), key=size))
+        left = [words for words in left if out[-1] not in words]
+    return out
+
+
 def _passages(docs: DataFrame, known: DataFrame, texts: list[str], plain: Column) -> DataFrame:
     """Rows of scan() for texts that stand inside a longer document; place is the number of words before."""
     spark = docs.sparkSession
     forms = spark.createDataFrame([(t,) for t in texts], "known string").select(canonical(F.col("known")).alias("form")).distinct()
-    # Most documents hold no known beginning, so only the others are compared with whole texts.
-    starts = sorted({" ".join(r.form.split()[:6]) for r in forms.collect()})  # of the catalogue, not of the documents
-    held = docs.select(F.struct("*").alias("row"), canonical(plain).alias("words")).filter(F.col("words").rlike(f" (?:{'|'.join(starts)})"))
+    held_words = [r.form.split() for r in forms.collect()]  # of the catalogue, not of the documents
+    # Most documents hold no word that a known text must have, or no known beginning; only the others are compared.
+    lower, starts = F.lower(plain), sorted({" ".join(words[:6]) for words in held_words})
+    marked = F.lit(False)
+    for word in _needed(held_words):
+        marked |= lower.contains(word)
+    held = docs.filter(marked).select(F.struct("*").alias("row"), canonical(plain).alias("words")).filter(F.col("words").rlike(f" (?:{'|'.join(starts)})"))
     found = held.join(F.broadcast(forms), F.col("words").contains(F.col("form")) & (F.col("words") != F.col("form")))
     parts = F.split("words", F.concat(F.lit(" (?="), F.trim("form"), F.lit(" )")), -1)
     size = lambda part: F.size(F.filter(F.split(part, " "), lambda w: w != ""))

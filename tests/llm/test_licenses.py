@@ -27,3 +27,31 @@ def test_whole_licences_among_other_text(spark, make_docs):
     found = sorted((r.row.doc_id, r.unit, r.place, r.license) for r in licenses.scan(make_docs(rows), licenses.catalogue(spark)).collect())
     n = len("".join(c if c.isalnum() else " " for c in isc).split())
     assert found == [(1, "passage", 4, "MIT"), (2, "passage", 2, "MIT"), (3, "passage", 2, "ISC"), (3, "passage", 3 + n, "ISC"), (5, "document", 0, "MIT")]
+
+
+def test_common_licences_headers_and_identifiers(spark, make_docs):
+    """Against texts as they are used in source files."""
+    apache = """# Copyright 2021 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     https://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os"""
+    gpl = """/* This program is free software: you can redistribute it and/or modify it
+ * under the terms of the GNU General Public License as published by the Free
+ * Software Foundation, either version 3 of the License, or (at your option)
+ * any later version. */
+int x;"""
+    whole = [(name, text) for name, _, text in licenses.KNOWN if len(text) > 1000]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "MIT"} <= {name for name, _ in whole}
+    rows = [(1, apache), (2, gpl), (3, "a\n// SPDX-License-Identifier: BSD-3-Clause\nb"), *((10 + k, f"intro\n\n{text}\n\nend") for k, (_, text) in enumerate(whole))]
+    found = {(r.row.doc_id, r.license) for r in licenses.scan(make_docs(rows), licenses.catalogue(spark)).collect()}
+    assert {(1, "Apache-2.0"), (2, "GPL-3.0-or-later"), (3, "BSD-3-Clause"), *((10 + k, name) for k, (name, _) in enumerate(whole))} <= found
