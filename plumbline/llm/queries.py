@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, fingerprints, licenses, line_dedup, lm, mixing, quality, secrets, simhash, toxicity
+from plumbline.llm import bpe, fingerprints, licenses, line_dedup, lm, mixing, phrases, quality, secrets, simhash, toxicity
 from plumbline.llm.common import table
 
 
@@ -160,9 +160,40 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that their parts explain least."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, part FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part FROM documents)),
+lists AS (SELECT lang, piece, regexp_extract_all(part, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists WHERE len(w) > 0),
+grams AS (SELECT lang, m, w[i:i + m - 1] AS p FROM places, (VALUES (1), (2), (3)) v(m) WHERE i + m - 1 <= len(w)),
+counts AS (SELECT lang, m, p, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY 1),
+candidates AS (SELECT * FROM counts WHERE m > 1 AND n >= 10),
+cuts AS (SELECT lang, m, p, n AS a, unnest(range(1, m)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, x.n AS l, y.n AS r, (1000000::HUGEINT * c.a * c.a // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.m = c.k AND x.p = c.p[1:c.k]
+  JOIN counts y ON y.lang = c.lang AND y.m = c.m - c.k AND y.p = c.p[c.k + 1:c.m]),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+covered AS (
+  SELECT lang, part, max(n) AS most FROM (SELECT lang, n, unnest([p[1:2], p[2:3]]) AS part FROM candidates WHERE m = 3) GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN covered c ON c.lang = w.lang AND c.part = w.p WHERE c.most IS NULL OR 100 * c.most < 50 * w.a),
+ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, t.n AS n, score FROM ranked JOIN totals t USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring, op13_phrase_mining)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": _op3_sql(), "op5_mixing": OP5_SQL}
+    return {"op3_license_scan": _op3_sql(), "op5_mixing": OP5_SQL, "op13_phrase_mining": OP13_SQL}
