@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, fingerprints, licenses, line_dedup, lm, mixing, phrases, quality, secrets, simhash, toxicity
+from plumbline.llm import bpe, fingerprints, licenses, line_dedup, lm, mixing, phrases, quality, secrets, simhash, spellings, toxicity
 from plumbline.llm.common import table
 
 
@@ -160,6 +160,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with the form that it is a variant of."""
+    return spellings.group(table(spark, sf_dir, "documents"), spellings.marked)
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The phrases of each language that their parts explain least."""
     return phrases.mine(table(spark, sf_dir, "documents"))
@@ -192,7 +197,7 @@ SELECT lang, rank, phrase, a, l, r, t.n AS n, score FROM ranked JOIN totals t US
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring, op13_phrase_mining)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring, op12_spelling_groups, op13_phrase_mining)}
 
 
 def oracle_sql() -> dict[str, str]:
