@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, fingerprints, licenses, line_dedup, lm, mixing, phrases, quality, secrets, simhash, spellings, toxicity
+from plumbline.llm import bpe, fingerprints, licenses, line_dedup, lm, mixing, phrases, quality, secrets, simhash, spellings, toxicity, vectors
 from plumbline.llm.common import table
 
 
@@ -160,6 +160,28 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+OP11_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND list_aggregate(embedding, 'count') = len(embedding)
+    AND isfinite(list_aggregate(embedding::DOUBLE[], 'sum')) AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)) >= 0.9),
+reached(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY 1),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l USING (vec_id) LEFT JOIN counts c USING (vec_id)
+"""
+
+
 def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word with the form that it is a variant of."""
     return spellings.group(table(spark, sf_dir, "documents"), spellings.marked)
@@ -197,8 +219,8 @@ SELECT lang, rank, phrase, a, l, r, t.n AS n, score FROM ranked JOIN totals t US
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring, op12_spelling_groups, op13_phrase_mining)}
+    return {f.__name__: f for f in (op1_bpe_roundtrip, op2_line_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_toxicity, op7_quality_rules, op8_simhash_near_dedup, op9_fingerprints, op10_lm_scoring, op11_embedding_near_dedup, op12_spelling_groups, op13_phrase_mining)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": _op3_sql(), "op5_mixing": OP5_SQL, "op13_phrase_mining": OP13_SQL}
+    return {"op3_license_scan": _op3_sql(), "op5_mixing": OP5_SQL, "op11_embedding_near_dedup": OP11_SQL, "op13_phrase_mining": OP13_SQL}
