@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.predicates import count_where, label, share
+from plumbline.operators.fuzzy import fuzzy_groups
 from plumbline.operators.registry import plans_check
 from plumbline.plans.measure import Measure, ScanContext, aggregate_measures
 from plumbline.spec import CheckSpec
@@ -47,9 +48,22 @@ def business_duplicate_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
     return _over_key(ctx, spec.need("table"), names, False, _duplicates(distinct), "duplicate rows")
 
 
+def fuzzy_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
+    """Groups of values within some edits of each other.  Pairs and groups are found while the pass is planned."""
+    table, names, edits = key
+    groups = fuzzy_groups(ctx.frame(table), [ctx.col(table, n) for n in names], edits)
+    return aggregate_measures(groups.groupBy("group").agg(F.sum("rows").alias("n")), measures)
+
+
 @plans_check(7)
 def near_duplicate_count(spec: CheckSpec, ctx: ScanContext) -> Measure:
-    """Groups of rows that are equal but for case and outer blanks."""
+    """Groups of rows that are equal but for case and outer blanks, and for as many edits as ``extra.max_edits`` says."""
     names = spec.need("columns", "column")
     names = (names,) if isinstance(names, str) else tuple(names)
+    edits = int(spec.extra.get("max_edits") or 0)
+    if edits:
+        for name in names:
+            ctx.type_of(spec.need("table"), name)
+        text = f"groups within {edits} edits of {spec.table}({', '.join(names)})"
+        return Measure(fuzzy_pass, (spec.need("table"), names, edits), count_where(F.col("n") > 1), text)
     return _over_key(ctx, spec.need("table"), names, True, count_where(F.col("n") > 1), "near-duplicate groups")
