@@ -16,10 +16,11 @@ from pyspark.sql import types as T
 
 from plumbline.functions.columns import quoted, type_category
 from plumbline.functions.predicates import finite, share
+from plumbline.operators.drift import METHODS, PSI_BINS, drift_measure
 from plumbline.operators.registry import plans_check
 from plumbline.operators.rows import drift_without_baseline
 from plumbline.plans.measure import Measure, ScanContext, aggregate_measures, describe, long_rows
-from plumbline.spec import CheckSpec
+from plumbline.spec import CheckSpec, SpecError
 
 
 def _comparable(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType) -> tuple[Column, Column]:
@@ -239,11 +240,20 @@ def reconciliation_variance_pct(spec: CheckSpec, ctx: ScanContext) -> Measure:
 
 @plans_check(29)
 def distribution_drift_score(spec: CheckSpec, ctx: ScanContext) -> Measure:
-    """Shift of the mean against a baseline table, else the coefficient of variation."""
+    """Shift of the mean against a baseline table, else the coefficient of variation.
+
+    ``extra.method`` asks for another distance from the baseline: ``psi`` (with ``extra.bins``) or ``ks``.
+    """
     table, name = spec.need("table"), spec.need("metric_column", "column")
+    method = str(spec.extra.get("method") or "mean").lower()
+    if method not in ("mean", *METHODS) or (method != "mean" and not spec.reference_table):
+        raise SpecError(f"check 29 has no method {method!r}" + (" without a baseline" if method in METHODS else ""))
     if not spec.reference_table:
         return drift_without_baseline(table, name, ctx)
     base = spec.reference_table
+    if method in METHODS:
+        ctx.type_of(table, name), ctx.type_of(base, name)
+        return drift_measure(table, base, name, method, int(spec.extra.get("bins") or PSI_BINS))
 
     def shift(now: Column, then: Column) -> Column:
         return F.abs(F.avg(now) - F.avg(then)) / F.nullif(F.abs(F.avg(then)), F.lit(0.0))
