@@ -2,6 +2,8 @@
 
 from plumbline.catalog import CHECKS, CheckDef, catalog_frame
 from plumbline.operators import register_check
+from plumbline.operators.discover import foreign_keys, inclusions, key_frame, unique_sets
+from plumbline.operators.fuzzy import fuzzy_groups, fuzzy_pairs
 from plumbline.operators.profile import profile, profile_tables
 from plumbline.operators.screen import PIIBlocked, ScreenConfig, screen
 from plumbline.operators.suggest import column_roles, suggest_checks, table_entries
@@ -14,6 +16,7 @@ from plumbline.spec import CheckSpec, SpecError
 
 __all__ = [
     "CHECKS", "CheckDef", "CheckSpec", "PIIBlocked", "ScanConfig", "ScanResult", "ScreenConfig",
-    "SpecError", "Tables", "catalog_frame", "column_roles", "load_scan", "profile", "profile_tables",
-    "register_check", "run_scan", "save_scan", "scan", "screen", "suggest_checks", "synthesize", "table_entries",
+    "SpecError", "Tables", "catalog_frame", "column_roles",
+    "foreign_keys", "fuzzy_groups", "fuzzy_pairs", "inclusions", "key_frame", "load_scan", "profile", "profile_tables",
+    "register_check", "run_scan", "save_scan", "scan", "screen", "suggest_checks", "synthesize", "table_entries", "unique_sets",
 ]

@@ -89,11 +89,12 @@ def column_roles(profiled: DataFrame) -> DataFrame:
     )
 
 
-def table_entries(roles: DataFrame) -> list[dict[str, Any]]:
+def table_entries(roles: DataFrame, references: DataFrame | None = None) -> list[dict[str, Any]]:
     """The entry of each table, to be completed by hand.
 
     Collects one row per column.  The empty fields are for what a profile cannot
-    know: foreign keys, rules, limits of freshness and volume.
+    know: rules, limits of freshness and volume.  ``references`` are foreign keys found in the data
+    (``discover.foreign_keys``), one row each.
     """
     entries: dict[str, dict[str, Any]] = {}
     for r in roles.orderBy("table", "ordinal").collect():
@@ -126,6 +127,11 @@ def table_entries(roles: DataFrame) -> list[dict[str, Any]]:
                 entry["numeric_columns"].append(column | {
                     "min": r["min"], "max": r["max"], "must_be_positive": False,
                 })
+    for r in references.orderBy("child_table", "child_column", "parent_table", "parent_column").collect() if references is not None else ():
+        if r["child_table"] in entries:
+            entries[r["child_table"]]["foreign_keys"].append({
+                "column": r["child_column"], "references_table": r["parent_table"], "references_column": r["parent_column"],
+            })
     return list(entries.values())
 
 

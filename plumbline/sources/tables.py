@@ -65,6 +65,14 @@ class Tables:
     def has(self, name: str) -> bool:
         return name in self._sources or self.spark.catalog.tableExists(name)
 
+    def parquet_path(self, name: str) -> str | None:
+        """Where the files of a table lie, if it is read from Parquet files as they are."""
+        source = self._sources.get(name)
+        source = path_source(source) if isinstance(source, str) else source
+        if not isinstance(source, Mapping) or "path" not in source or source.get("schema") is not None:
+            return None
+        return source["path"] if (source.get("format") or path_format(source["path"])) == "parquet" else None
+
     def frame(self, name: str) -> DataFrame:
         if name not in self._frames:
             self._frames[name] = self._open(name)
