@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.functions.columns import is_text
 from plumbline.functions.predicates import count_where, label, share
 from plumbline.operators.fuzzy import fuzzy_groups
 from plumbline.operators.registry import plans_check
@@ -12,11 +13,14 @@ from plumbline.spec import CheckSpec
 
 
 def key_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
-    """Rows per key value; counts are combined in each task before the shuffle."""
+    """Rows per key value; counts are combined in each task before the shuffle.  Texts are grouped by two 64-bit hashes,
+    so that long ones are not shuffled; a missing value stays missing."""
     table, normalised, names = key
     parts = [ctx.col(table, n) for n in names]
     if normalised:
         parts = [label(p) for p in parts]
+    hashed = [normalised or is_text(ctx.type_of(table, n)) for n in names]
+    parts = [F.when(p.isNotNull(), F.struct(F.xxhash64(p), F.xxhash64(F.lit(1), p))) if h else p for p, h in zip(parts, hashed)]
     keyed = ctx.frame(table).select(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
     groups = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
     return aggregate_measures(groups, measures)

@@ -3,7 +3,8 @@
 A profile is two passes over the table.  The first is one aggregate for the
 counts, bounds and moments of all columns.  The second counts the distinct
 values of all columns in one grouping and yields distinct counts, top values and
-value samples.
+value samples.  Long texts are grouped by a digest; those that end up among the top
+values and samples are read again.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ _HASH_RANGE = float(2**64)
 # once in 10**60 tables.
 _SAMPLE_POOL = 200.0
 _COLUMN_GROUPS = 8
+# Longer texts take part in the grouping as two 64-bit hashes.
+_SHORT_TEXT = 32
 
 
 def profile(
@@ -188,18 +191,43 @@ def _estimates(df: DataFrame, fields: list[T.StructField], plain: list[int]) ->
 # -- second pass --------------------------------------------------------------
 
 def _cell(i: int, f: T.StructField) -> Column:
-    """A value in the slot of its kind, so that grouping needs no text of numbers."""
+    """A value in the slot of its kind, so that grouping needs no text of numbers and no long text."""
     col = F.col(quoted(f.name))
     whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         whole = col.cast("bigint")
     elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
         real = col.cast("double")
-    elif isinstance(f.dataType, T.BinaryType):
-        text = F.base64(col)
     else:
-        text = col.cast("string")
-    return F.struct(F.lit(i).alias("ordinal"), whole.alias("whole"), real.alias("real"), text.alias("text"))
+        text = _text(f)
+    long = F.char_length(text) > _SHORT_TEXT
+    return F.struct(
+        F.lit(i).alias("ordinal"), whole.alias("whole"), real.alias("real"), F.when(~long, text).alias("text"),
+        *[F.when(long, h).alias(f"h{k}") for k, h in enumerate(_digest(text))],
+    )
+
+
+_KEYS = ("ordinal", "whole", "real", "text", "h0", "h1")
+
+
+def _text(f: T.StructField) -> Column:
+    col = F.col(quoted(f.name))
+    return F.base64(col) if isinstance(f.dataType, T.BinaryType) else col.cast("string")
+
+
+def _digest(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def _long_texts(df: DataFrame, fields: list[T.StructField], plain: list[int], wanted: DataFrame) -> DataFrame:
+    """(ordinal, h0, h1, long_text) for the long texts of `wanted`, read again from the table."""
+    whole = [i for i in plain if isinstance(fields[i].dataType, (T.StringType, T.VarcharType, T.CharType, T.BinaryType))]
+    cells = [F.struct(F.lit(i).alias("ordinal"), _text(fields[i]).alias("long_text")) for i in whole]
+    read = df.select(F.inline(F.array(*cells))).where(F.char_length("long_text") > _SHORT_TEXT)
+    read = read.select("ordinal", *[h.alias(f"h{k}") for k, h in enumerate(_digest(F.col("long_text")))], "long_text")
+    # A few hundred rows per column.
+    found = read.join(F.broadcast(wanted), ["ordinal", "h0", "h1"])
+    return found.groupBy("ordinal", "h0", "h1").agg(F.min("long_text").alias("long_text"))
 
 
 def _cells(df: DataFrame, fields: list[T.StructField], plain: list[int]) -> DataFrame:
@@ -211,13 +239,13 @@ def _cells(df: DataFrame, fields: list[T.StructField], plain: list[int]) -> Data
     size = -(-len(plain) // _COLUMN_GROUPS)
     groups = [plain[i:i + size] for i in range(0, len(plain), size)]
     frames = [df.select(F.inline(F.array(*[_cell(i, fields[i]) for i in g]))) for g in groups]
-    return reduce(DataFrame.unionByName, frames).where("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL")
+    return reduce(DataFrame.unionByName, frames).where("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL OR h0 IS NOT NULL")
 
 
 def _values(df: DataFrame, fields: list[T.StructField], plain: list[int], estimates: Column | None, most_values: int) -> DataFrame:
     """Per column: distinct count, top values, 20 sampled values."""
     cells = _cells(df, fields, plain)
-    low_hash = F.xxhash64("whole", "real", "text")
+    low_hash = F.coalesce(F.col("h0"), F.xxhash64("whole", "real", "text"))
     pool = lambda many: low_hash.cast("double") + F.lit(_HASH_RANGE / 2) <= F.lit(_SAMPLE_POOL * _HASH_RANGE) / many
     if estimates is not None:
         # Keep all values of columns that may have top values, and of the others
@@ -227,14 +255,14 @@ def _values(df: DataFrame, fields: list[T.StructField], plain: list[int], estima
             cells.withColumn("estimates", estimates)
             .where((many <= 2 * TOP_CUTOFF) | pool(many))
         )
-        groups = cells.groupBy("ordinal", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+        groups = cells.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"))
         counted = groups.groupBy("ordinal").agg(count_where(F.col("n") > 0).alias("counted"))
         estimate = F.element_at(F.col("estimates"), F.col("ordinal"))
         unique = counted.withColumn("estimates", estimates).select(
             "ordinal", F.when(estimate <= 2 * TOP_CUTOFF, F.col("counted")).otherwise(estimate).alias("unique_count")
         )
     else:
-        groups = cells.groupBy("ordinal", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+        groups = cells.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"))
         # Reading n here too makes both uses of the groups share one shuffle.
         unique = groups.groupBy("ordinal").agg(count_where(F.col("n") > 0).alias("unique_count"))
 
@@ -243,8 +271,11 @@ def _values(df: DataFrame, fields: list[T.StructField], plain: list[int], estima
     is_top = F.col("unique_count") <= TOP_CUTOFF
     sampled = pool(F.col("unique_count").cast("double"))
     value = F.coalesce(_texts(fields, plain), F.col("text"))
-    kept = known.where(is_top | sampled).select("ordinal", "unique_count", "n", value.alias("v"),
+    kept = known.where(is_top | sampled).select("ordinal", "unique_count", "n", value.alias("v"), "h0", "h1",
                                                 low_hash.alias("h"), is_top.alias("is_top"), sampled.alias("sampled"))
+    if any(type_category(fields[i].dataType) == "str" for i in plain):
+        long = _long_texts(df, fields, plain, kept.where("h0 IS NOT NULL").select("ordinal", "h0", "h1"))
+        kept = kept.join(long, ["ordinal", "h0", "h1"], "left").withColumn("v", F.coalesce("v", "long_text"))
     # Lists of at most 100 and a few hundred values.
     gathered = kept.groupBy("ordinal", "unique_count").agg(
         F.collect_list(F.when(F.col("is_top"), F.struct((-F.col("n")).alias("n"), "v"))).alias("top"),

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from plumbline import CheckSpec, profile, run_scan, synthesize
 from plumbline.functions.columns import type_category
-from plumbline.operators.profile import sample_rows, schema_listing
+from plumbline.operators.profile import _cells, sample_rows, schema_listing
 from plumbline.operators.synth import clone_tables
 
 
@@ -185,3 +185,15 @@ def test_row_samples_do_not_depend_on_the_layout(spark):
     one, other = (sorted(map(tuple, sample_rows(d, max_rows=30).collect())) for d in (t.repartition(1), t.repartition(7)))
     assert one == other and len(one) == 30
     assert sample_rows(t.limit(3)).count() == 1 and sample_rows(t.limit(0)).count() == 0
+
+
+def test_long_texts_are_grouped_by_digest(spark):
+    """Their counts, top values and samples are those of the texts; the shuffle of values holds no long text."""
+    rows = [(i, f"{'long text ' * 20}{i % 3}", f"{'other ' * 30}{i}" if i % 5 else None, "short" if i % 2 else "s" * 33) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, few string, many string, mixed string")
+    got = {r["column"]: r for r in profile(df).collect()}
+    assert got["few"]["unique_count"] == 3 and got["few"]["top_values"] == {f"{'long text ' * 20}{k}": pytest.approx(1 / 3) for k in range(3)}
+    assert got["mixed"]["top_values"] == {"short": 0.5, "s" * 33: 0.5}
+    assert got["many"]["unique_count"] == 240 and len(got["many"]["sample_values"]) == 20 and set(got["many"]["sample_values"]) < {r[2] for r in rows}
+    cells = _cells(df, df.schema.fields, [0, 1, 2, 3]).collect()
+    assert len(cells) == 300 * 4 - 60 and max(len(c["text"] or "") for c in cells) == 5
