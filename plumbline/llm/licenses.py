@@ -67,8 +67,9 @@ SPELLINGS = (
     ("redistribute and or modify", "redistribute and modify"), ("version 2", "version 2 0"), ("version 3", "version 3 0"), ("version 2 0 0", "version 2 0"), ("version 3 0 0", "version 3 0"),
     ("https", "http"),
 )
-#: A line that starts with a copyright notice.
-COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*$"
+#: A line that is a copyright notice: the sign first, or the word with a sign, a year or a blank to be filled in. Lines of
+#: the text itself that begin with the word, or with the letter of a list, are none.
+COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*(?:\(c\)|©|[12][0-9]{3}|[<\[{])|\(c\)[^a-z0-9\n]*(?:copyright|[12][0-9]{3})|©)[^\n]*$"
 SEPARATOR = r"[^a-z0-9]+"
 EMPTY_LINE = r"\n[\x20\x09\x0B-\x0D]*\n"
 
@@ -83,9 +84,10 @@ def canonical(text: Column) -> Column:
 
 
 def catalogue(spark: SparkSession, known: tuple[tuple[str, str, str], ...] = KNOWN) -> DataFrame:
-    """(digest, license, family) of known texts; of texts that are equal in canonical form the first name stands."""
+    """(digest, form, license, family) of known texts; of texts that are equal in canonical form the first name stands."""
     df = spark.createDataFrame([k for k in known if k[2].strip()], "license string, family string, known string")
-    return df.groupBy(F.sha2(canonical(F.col("known")), 256).alias("digest")).agg(F.min("license").alias("license"), F.min_by("family", "license").alias("family"))
+    forms = df.select("license", "family", canonical(F.col("known")).alias("form")).filter(F.trim("form") != "")
+    return forms.groupBy(F.sha2("form", 256).alias("digest"), "form").agg(F.min("license").alias("license"), F.min_by("family", "license").alias("family"))
 
 
 def passages(known: tuple[tuple[str, str, str], ...] = KNOWN) -> list[str]:
@@ -104,24 +106,36 @@ def _needed(texts: list[list[str]]) -> list[str]:
     return out
 
 
+def _marked(words: list[str], text: Column) -> Column:
+    """Whether a text holds one of the words, of which every known text has one."""
+    lower, out = F.lower(text), F.lit(False)
+    for word in words:
+        out |= lower.contains(word)
+    return out
+
+
+#: Words at the beginning of a known text by which its places in a document are found.
+_ANCHOR = 6
+
+
 def _passages(docs: DataFrame, known: DataFrame, texts: list[str], plain: Column) -> DataFrame:
-    """Rows of scan() for texts that stand inside a longer document; place is the number of words before."""
+    """Rows of scan() for texts that stand inside a longer document; place is the number of words before. Where a known
+    text's first words stand, the digest of as many words as it has is looked up among the known ones."""
     spark = docs.sparkSession
     forms = spark.createDataFrame([(t,) for t in texts], "known string").select(canonical(F.col("known")).alias("form")).distinct()
     held_words = [r.form.split() for r in forms.collect()]  # of the catalogue, not of the documents
-    # Most documents hold no word that a known text must have, or no known beginning; only the others are compared.
-    lower, starts = F.lower(plain), sorted({" ".join(words[:6]) for words in held_words})
-    marked = F.lit(False)
-    for word in _needed(held_words):
-        marked |= lower.contains(word)
-    held = docs.filter(marked).select(F.struct("*").alias("row"), canonical(plain).alias("words")).filter(F.col("words").rlike(f" (?:{'|'.join(starts)})"))
-    found = held.join(F.broadcast(forms), F.col("words").contains(F.col("form")) & (F.col("words") != F.col("form")))
-    parts = F.split("words", F.concat(F.lit(" (?="), F.trim("form"), F.lit(" )")), -1)
-    size = lambda part: F.size(F.filter(F.split(part, " "), lambda w: w != ""))
-    each = found.select("row", F.sha2("form", 256).alias("digest"), parts.alias("parts"))
-    before = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.aggregate(F.slice("parts", 1, k), F.lit(0), lambda n, part: n + size(part)))
-    places = each.select("row", "digest", F.explode(before).alias("place"))
-    return places.join(F.broadcast(known), "digest").select("row", F.lit("passage").alias("unit"), "place", "license", "family")
+    anchor = min(_ANCHOR, *map(len, held_words))
+    starts = sorted({" ".join(words[:anchor]) for words in held_words})
+    sizes = spark.createDataFrame([(start, sorted({len(w) for w in held_words if " ".join(w[:anchor]) == start})) for start in starts], "start string, sizes array<int>")
+    held = docs.filter(_marked(_needed(held_words), plain)).select(F.struct("*").alias("row"), canonical(plain).alias("words")).filter(F.col("words").rlike(f" (?:{'|'.join(starts)}) "))
+    listed = held.select("row", F.split(F.trim("words"), " ").alias("ws"))
+    at = lambda i, n: F.array_join(F.slice("ws", i, n), " ")
+    first = sorted({words[0] for words in held_words})
+    places = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.element_at("ws", i).isin(*first) & at(i, F.lit(anchor)).isin(*starts))
+    spots = listed.select("row", "ws", F.explode(places).alias("i")).withColumn("start", at(F.col("i"), F.lit(anchor)))
+    runs = spots.join(F.broadcast(sizes), "start").withColumn("n", F.explode("sizes")).filter((F.col("i") + F.col("n") <= F.size("ws") + 1) & (F.col("n") < F.size("ws")))
+    digests = runs.select("row", (F.col("i") - 1).alias("place"), F.sha2(F.concat(F.lit(" "), at(F.col("i"), F.col("n")), F.lit(" ")), 256).alias("digest"))
+    return digests.join(F.broadcast(known), "digest").select("row", F.lit("passage").alias("unit"), "place", "license", "family")
 
 
 def scan(docs: DataFrame, known: DataFrame, text: str = "text", texts: list[str] | None = None) -> DataFrame:
@@ -132,8 +146,11 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text", texts: list[str]
     plain = F.coalesce(F.col(text), F.lit(""))
     named = lambda unit, parts: F.transform(parts, lambda p, i: F.struct(F.lit(unit).alias("unit"), i.alias("place"), p.alias("part")))
     units = F.concat(named("document", F.array(plain)), named("paragraph", F.split(plain, EMPTY_LINE, -1)), named("line", F.split(plain, r"\n", -1)))
-    spread = docs.select(F.struct("*").alias("row"), F.explode(units).alias("u"))
+    # Only texts that hold a word without which no known text is are brought to canonical form.
+    needed = _needed([r.form.split() for r in known.select("form").collect()])
+    spread = docs.filter(_marked(needed, plain)).select(F.struct("*").alias("row"), F.explode(units).alias("u")).filter(_marked(needed, F.col("u.part")))
     digests = spread.select("row", "u.unit", "u.place", F.sha2(canonical(F.col("u.part")), 256).alias("digest"))
-    whole = digests.join(F.broadcast(known), "digest").select("row", "unit", "place", "license", "family")
+    short = known.select("digest", "license", "family")
+    whole = digests.join(F.broadcast(short), "digest").select("row", "unit", "place", "license", "family")
     texts = passages() if texts is None else texts
-    return whole.union(_passages(docs, known, texts, plain)) if texts else whole
+    return whole.union(_passages(docs, short, texts, plain)) if texts else whole

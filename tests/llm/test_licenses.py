@@ -1,3 +1,9 @@
+import random
+import re
+import textwrap
+
+from pyspark.sql import functions as F
+
 from plumbline.llm import licenses, queries
 from validation.compare import difference, duck
 
@@ -55,3 +61,48 @@ int x;"""
     rows = [(1, apache), (2, gpl), (3, "a\n// SPDX-License-Identifier: BSD-3-Clause\nb"), *((10 + k, f"intro\n\n{text}\n\nend") for k, (_, text) in enumerate(whole))]
     found = {(r.row.doc_id, r.license) for r in licenses.scan(make_docs(rows), licenses.catalogue(spark)).collect()}
     assert {(1, "Apache-2.0"), (2, "GPL-3.0-or-later"), (3, "BSD-3-Clause"), *((10 + k, name) for k, (name, _) in enumerate(whole))} <= found
+
+
+def test_every_known_text_however_its_lines_are_broken(spark, make_docs):
+    """Wrapped at several widths and behind comment marks, so that lines begin with any of its words, "copyright" among them."""
+    known = sorted({text for text in licenses.passages()})
+    docs, notice = [], re.compile(licenses.COPYRIGHT_LINE.replace("(?md)", "(?m)"))
+
+    def wrapped(text, width, mark):
+        parts = [p if notice.search(p.lower()) else textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n", text)]
+        return "\n".join(mark + line for line in "\n\n".join(parts).split("\n"))
+
+    for width, mark in ((60, ""), (66, "# "), (71, "// "), (77, " * "), (83, ""), (100, "; ")):
+        docs += [(len(docs) + k, f"intro\n{wrapped(text, width, mark)}\nend of file") for k, text in enumerate(known)]
+    assert any(re.search(r"(?m)^copyright (?!\(c\))", text.lower()) for _, text in docs)
+    forms = {r.doc_id: r.digest for r in make_docs([(k, text) for k, text in enumerate(known)]).select("doc_id", F.sha2(licenses.canonical(F.col("text")), 256).alias("digest")).collect()}
+    names = {r.digest: r.license for r in licenses.catalogue(spark).collect()}
+    found = {(r.row.doc_id, r.license) for r in licenses.scan(make_docs(docs), licenses.catalogue(spark)).filter("unit = 'passage'").collect()}
+    missed = [doc for doc, _ in docs if (doc, names[forms[doc % len(known)]]) not in found]
+    assert not missed
+
+
+def test_notices_and_lines_that_only_begin_like_one(spark, make_docs):
+    lines = ["Copyright (c) 2020 A", "COPYRIGHT 1999, B", "# Copyright © C", "© D", "(c) 2001 E", "Copyright [yyyy] [name]", "copyright <year> f"]
+    plain = ["copyright notice and this permission notice", "Copyright holders be liable", "(c) You must retain", "copyright c x"]
+    docs = make_docs([(k, f"{line}\nx") for k, line in enumerate(lines + plain)])
+    kept = {r.doc_id: r.words for r in docs.select("doc_id", licenses.canonical(F.col("text")).alias("words")).collect()}
+    assert [k for k, words in sorted(kept.items()) if words == " x "] == list(range(len(lines)))
+
+
+def test_passages_against_every_run_of_words(spark, make_docs):
+    """Short known texts that begin alike, overlap and repeat, against all runs of words of the documents."""
+    known = [("A", "f", "one two three four five six\nseven"), ("B", "f", "one two three four five six\nseven eight"), ("C", "f", "six seven\none two three four five"), ("D", "f", "one one one\none one one one"), ("E", "f", "solo\nword end of it all here")]
+    rng = random.Random(1)
+    words = "one two three four five six seven eight solo word end of it all here".split()
+    texts = [" ".join(t for _ in range(8) for t in (rng.choice(known)[2].split() if rng.random() < 0.7 else [rng.choice(words)])) for _ in range(40)] + ["one " * 9, known[0][2], ""]
+    catalogue = licenses.catalogue(spark, tuple(known))
+    scanned = licenses.scan(make_docs(list(enumerate(texts))), catalogue, texts=licenses.passages(tuple(known)))
+    got = sorted((r.row.doc_id, r.place, r.license) for r in scanned.filter("unit = 'passage'").collect())
+    want = []
+    for doc, text in enumerate(texts):
+        ws = text.split()
+        for name, _, form in known:
+            f = form.split()
+            want += [(doc, i, name) for i in range(len(ws) - len(f) + 1) if ws[i : i + len(f)] == f and len(f) < len(ws)]
+    assert got == sorted(want) and len(want) > 50
