@@ -2,9 +2,10 @@
 
 A text is split into words by the vocabulary's pattern. A short word is held as a contiguous array of parts with
 the ranks of adjacent parts beside it: scan for the least rank, delete that boundary, refresh the two neighbouring
-ranks, until no pair has a rank. Words longer than SHORT_WORD go through a heap of pairs, whose cost does not grow
-with the square of the length; both give the same parts. Words recur, so each worker keeps the ids of recent
-stretches between two spaces, where the pattern always cuts unless white space stands on both sides of a space.
+ranks, until no pair has a rank. Words of up to WIDE bytes that are met for the first time go through this together, as
+rows of two numpy arrays (parts and ranks), one deletion per row and step. Words longer than SHORT_WORD go through a heap of
+pairs, whose cost does not grow with the square of the length; all give the same parts. Words recur, so each worker keeps the
+ids of recent stretches between two spaces, where the pattern always cuts unless white space stands on both sides of a space.
 
 Null texts count as empty; an empty text has no ids and decodes to an empty text. Rows are independent of each
 other, so repeated rows get equal results and an empty table gives an empty one. Other columns stay, but one with
@@ -17,7 +18,8 @@ import heapq
 import json
 import re
 from array import array
-from itertools import accumulate, chain
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,11 @@ LATER_CHARACTERS = """
 """
 _FIRST_LATER = "\u0558"
 SHORT_WORD = 96
+#: Bytes of words that are encoded many at a time, and stretches of texts whose new words are.
+WIDE = 32
+TOGETHER = 1 << 18
 KEPT_STRETCHES = 1 << 17
-_NO_RANK = 1 << 62
+_NO_RANK, _NO_PAIR = 1 << 62, np.int32((1 << 31) - 1)
 _ENDS = (",", ".", ";", ":", "!", "?")
 #: A space between white space, or between white space and the end: there the pattern may not cut.
 _JOINED_SPACE = re.compile(r"\s (?:\s|\Z)|\A \Z")
@@ -81,6 +86,9 @@ class Vocabulary:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks.setdefault(ids[left] << 32 | ids[right], rank)
             self.merged.append(ids[left + right])
+        order = np.argsort(keys := np.fromiter(self.ranks, np.int64, len(self.ranks)))
+        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(self.ranks.values(), np.int32, len(self.ranks))[order]
+        self.merged_ids, self.first_ids = np.array(self.merged, np.int32), np.array(self.first, np.int32)
         self.words = regex.compile(WORD_PATTERN).findall
         self.late_words = regex.compile(_pattern_without(LATER_CHARACTERS), regex.V1).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -125,6 +133,64 @@ class Vocabulary:
             offer(i)
         return [p for p in parts if p >= 0]
 
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        if not len(self.pair_keys):
+            return np.full(len(keys), _NO_PAIR)
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NO_PAIR)
+
+    def many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words of at most WIDE bytes. A row holds the parts of a word and the ranks of adjacent parts; in each
+        step every row that has a ranked pair loses the boundary with the least rank."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(size.max(initial=1))
+        inside = np.arange(width) < size[:, None]
+        parts = np.zeros((len(words), width), np.int32)
+        parts[inside] = self.first_ids[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = np.full((len(words), width), _NO_PAIR, np.int32)
+        pairs = np.zeros_like(inside)
+        pairs[:, :-1] = inside[:, 1:]
+        ranks[pairs] = self._rank_of(parts[pairs], np.roll(parts, -1, axis=1)[pairs])
+        done, done_size, left = np.zeros_like(parts), size.copy(), np.arange(len(words))
+        columns = np.arange(width)
+        while len(left):
+            each = np.arange(len(left))
+            at = ranks.argmin(axis=1)
+            least = ranks[each, at]
+            ended = least == _NO_PAIR
+            if ended.any():
+                done[left[ended]], done_size[left[ended]] = parts[ended], size[ended]
+                going = ~ended
+                parts, ranks, size, left, at, least = parts[going], ranks[going], size[going], left[going], at[going], least[going]
+                each = np.arange(len(left))
+            later = np.minimum(columns + (columns > at[:, None]), width - 1)
+            parts[each, at] = self.merged_ids[least]
+            parts, ranks = np.take_along_axis(parts, later, axis=1), np.take_along_axis(ranks, later, axis=1)
+            size = size - 1
+            ranks[each, size - 1] = _NO_PAIR
+            for place in (at - 1, at):
+                some = np.flatnonzero((place >= 0) & (place < size - 1))
+                ranks[some, place[some]] = self._rank_of(parts[some, place[some]], parts[some, place[some] + 1])
+        packed = done[np.arange(width) < done_size[:, None]].tobytes()
+        ends = (4 * np.cumsum(done_size)).tolist()
+        return [packed[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """As encode() for each text; the new words of several texts are encoded together."""
+        waiting: list[str | list[str]] = []
+        size = 0
+        for text in chain(texts, [None]):
+            if text is not None:
+                odd = _JOINED_SPACE.search(text) or (self.cut is not None and any(token in text for token in self.special))
+                waiting.append(text if odd else text.split(" "))
+                size += 0 if odd else len(waiting[-1])
+            if text is None or size >= TOGETHER:
+                self.kept.learn(set().union(*(x[1:] for x in waiting if isinstance(x, list))))
+                for x in waiting:
+                    yield self.encode(x) if isinstance(x, str) else self.stretch(x[0]) + b"".join(map(self.kept.__getitem__, x[1:]))
+                waiting, size = [], 0
+
     def encode(self, text: str) -> bytes:
         """Ids as packed 32-bit numbers. Texts of special tokens stand for themselves, as in the tokenizer."""
         if self.cut is None or not any(token in text for token in self.special):
@@ -157,24 +223,47 @@ class Vocabulary:
 
 
 class _Kept(dict):
-    """Packed ids of a space and the stretch after it; emptied when full, so memory stays bounded."""
+    """Packed ids of a space and the stretch after it. When full, all becomes the older generation, from which only what is
+    met again comes back, so memory stays bounded."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, stretch: str) -> bytes:  # a long one, or one that was not learnt
+        return self.vocabulary.stretch(" " + stretch)
 
-    def __missing__(self, stretch: str) -> bytes:
-        letters = stretch[:-1] if stretch[-1:] in _ENDS else stretch
-        if letters.isalpha() and max(letters) < _FIRST_LATER:  # most words: the pattern's answer is plain
-            parts = [*self.vocabulary.word(f" {letters}".encode()), *map(self.vocabulary.first.__getitem__, stretch[len(letters) :].encode())]
-            packed = array("i", parts).tobytes()
-        else:
-            packed = self.vocabulary.stretch(" " + stretch)
-        if len(self) >= KEPT_STRETCHES:
+    def learn(self, stretches: set[str]) -> None:
+        """Encodes those of the stretches that are new, their words all together."""
+        new = stretches - self.keys()
+        if len(self) + len(new) > KEPT_STRETCHES:
+            self.old = dict(self)
             self.clear()
-        if len(stretch) <= SHORT_WORD:
-            self[stretch] = packed
-        return packed
+            new = stretches
+        known = new & self.old.keys()
+        self.update((stretch, self.old[stretch]) for stretch in known)
+        # Flat lists of strings: millions of small containers would keep the garbage collector busy.
+        held: list[str] = []
+        counts: list[int] = []
+        words: list[bytes] = []
+        for stretch in new - known:
+            if len(stretch) <= SHORT_WORD:
+                before = len(words)
+                letters = stretch[:-1] if stretch[-1:] in _ENDS else stretch
+                if letters.isalpha() and (letters.isascii() or max(letters) < _FIRST_LATER):  # the pattern's answer is plain
+                    words.append(f" {letters}".encode())
+                    if letters is not stretch:
+                        words.append(stretch[-1:].encode())
+                else:
+                    words += map(str.encode, self.vocabulary.split(" " + stretch))
+                held.append(stretch)
+                counts.append(len(words) - before)
+        short = [word for word in words if len(word) <= WIDE]
+        packed = iter(self.vocabulary.many(short) if short else [])
+        each = (next(packed) if len(word) <= WIDE else array("i", self.vocabulary.word(word)).tobytes() for word in words)
+        for stretch, n in zip(held, counts, strict=True):
+            self[stretch] = next(each) if n == 1 else b"".join(islice(each, n))
 
 
 _loaded: dict[int, Vocabulary] = {}
@@ -199,6 +288,11 @@ class _Shared:
         return self.inner.value
 
 
+def _as_lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.fromiter(accumulate((len(p) // 4 for p in packed), initial=0), np.int64, len(packed) + 1)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 class Tokenizer:
     """Encodes and decodes columns. The file's content is broadcast: its size is that of the vocabulary."""
 
@@ -212,13 +306,24 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def encoded(texts: pa.Array) -> pa.Array:
-            encode = _vocabulary(shared).encode
-            packed = [encode(text.as_py()) for text in texts]
-            ends = np.fromiter(accumulate((len(p) // 4 for p in packed), initial=0), np.int64, len(packed) + 1)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            return _as_lists(list(_vocabulary(shared).encode_all(text.as_py() for text in texts)))
 
         return df.withColumn(ids, encoded(F.coalesce(F.col(text), F.lit(""))))
 
+    def round_trip(self, df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+        """df with the token ids of a text column and the text that these ids decode to, in one visit of a worker."""
+        shared = self.shared
+
+        @F.arrow_udf("ids array<int>, decoded string")
+        def both(texts: pa.Array) -> pa.Array:
+            vocabulary = _vocabulary(shared)
+            packed = list(vocabulary.encode_all(text.as_py() for text in texts))
+            back = pa.array([vocabulary.decode(np.frombuffer(p, np.int32)) for p in packed], pa.string())
+            return pa.StructArray.from_arrays([_as_lists(packed), back], ["ids", "decoded"])
+
+        made = df.withColumn(ids, both(F.coalesce(F.col(text), F.lit(""))))
+        return made.withColumn(decoded, F.col(ids)["decoded"]).withColumn(ids, F.col(ids)["ids"])
+
     def decode(self, df: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
         """df with the text of a column of token ids; null ids count as none."""
         shared = self.shared

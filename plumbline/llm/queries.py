@@ -16,7 +16,7 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text that they decode to, as digests."""
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokenizer.decode(tokenizer.encode(docs)).select(
+    return tokenizer.round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

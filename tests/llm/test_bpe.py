@@ -61,3 +61,28 @@ def test_edge_cases(spark, edge_docs, empty_docs, library):
         assert row.decoded == (row.text or "")
     assert tokenizer.decode(tokenizer.encode(empty_docs)).count() == 0
     assert tokenizer.decode(spark.sql("SELECT CAST(NULL AS array<int>) AS ids")).first().decoded == ""
+
+
+def test_many_words_at_once_agree_with_one_by_one(vocabulary):
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 102, n).tolist()) for n in rng.integers(1, bpe.WIDE + 1, 400)] + [b"the", b" ", b"x", bytes(range(128, 160))]
+    for some in (words, words[:1], [b"a"]):
+        assert vocabulary.many(some) == [np.array(vocabulary.word(w), np.int32).tobytes() for w in some]
+
+
+def test_texts_together_and_small_caches(vocabulary, library, spark, sf, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()] + ["", " ", "a  b", "<|endoftext|> x", "q" * 300 + " y", "a՘b c՘", "one\ntwo three###"]
+    monkeypatch.setattr(bpe, "TOGETHER", 500)
+    monkeypatch.setattr(bpe, "KEPT_STRETCHES", 300)
+    got = [np.frombuffer(p, np.int32).tolist() for p in vocabulary.encode_all(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(vocabulary.kept) <= 800 and len(vocabulary.kept.old) <= 800
+
+
+def test_round_trip_is_encode_and_decode(spark, edge_docs, empty_docs):
+    tokenizer = bpe.Tokenizer(spark, PATH)
+    key = lambda df: sorted(map(str, df.select("doc_id", "text", "ids", "decoded").collect()))
+    assert key(tokenizer.round_trip(edge_docs)) == key(tokenizer.decode(tokenizer.encode(edge_docs)))
+    assert tokenizer.round_trip(empty_docs).count() == 0
+    plan = tokenizer.round_trip(edge_docs).select("ids", "decoded")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
