@@ -36,7 +36,7 @@ INTERCEPT = -1
 #: The intercept when there is nothing to learn from.
 UNTAUGHT = -40.0
 KEPT_WORDS = 1 << 16
-_STRETCH = 1 << 17
+_STRETCH = 1 << 15
 _EDGES = b".,;:!?\"'()[]{}"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
