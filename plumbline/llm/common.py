@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +45,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+_open = threading.local()
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors, and
-    gives later joins true sizes and exchanges of their own, which adaptive execution can split."""
+    gives later joins true sizes and exchanges of their own, which adaptive execution can split. Inside of
+    temporary() the table goes when the block ends, unless it is to be kept."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}"
+    if not keep:
+        for tables in getattr(_open, "blocks", ())[-1:]:
+            tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """A block whose stored tables are removed at its end; what is made from them must be stored with keep by then."""
+    _open.blocks = [*getattr(_open, "blocks", ()), tables := []]
+    try:
+        yield
+    finally:
+        _open.blocks = _open.blocks[:-1]
+        for path in tables:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

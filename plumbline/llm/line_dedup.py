@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import stored, temporary
 from plumbline.llm.line_tokens import COUNT_BITS, count_words, levels_of, lines_of
 
 LAGS = 8
@@ -313,7 +313,8 @@ def _cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, text, gone): for each row of docs, the row as a struct, its text without the lines that match earlier
     ones, and the places of these lines (null if there are none)."""
-    gone = stored(removals(docs, doc_id, text))
+    with temporary(docs.sparkSession):
+        gone = stored(removals(docs, doc_id, text), keep=True)
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own_id"), F.col(text).alias("whole"), F.xxhash64(text).alias("own_dh"))
     joined = rows.join(gone, rows.own_id.eqNullSafe(gone.doc) & (rows.own_dh == gone.dh), "left")
     cut = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.arrow_udf(_cut, "string")(F.coalesce("whole", F.lit("")), F.coalesce("gone", F.array().cast("array<int>"))))

@@ -83,3 +83,14 @@ def test_query_against_all_pairs(spark, sf):
     want = slow([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
     got = {r.doc_id: r.text for r in queries.op2_line_dedup(spark, sf).collect()}
     assert got == {doc: text for (doc, _), text in want.items()}
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, make_docs):
+    import os
+
+    from plumbline.llm.common import shared_folder
+
+    before = set(os.listdir(shared_folder(spark)))
+    found = line_dedup.drop_repeated_lines(make_docs([(1, "a b c d e f\nx"), (2, "y\na b c d e f")]))
+    assert len(set(os.listdir(shared_folder(spark))) - before) == 1
+    assert sorted(r.text for r in found.collect()) == ["a b c d e f\nx", "y"]
