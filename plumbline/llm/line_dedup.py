@@ -8,8 +8,16 @@ one document: they lose the same lines, and a line does not match itself in the
 How: equal sets are one row, so a line with any number of copies is met once. The words of a set are ordered from the
 rarest on, by counts over all texts. Two sets can only match if they share a word among the first |x| - ceil(0.8 |x|) + 1
 of each, so these words are the join keys: Spark brings the entries of a word together, sorted by document, and a task
-compares them in numpy. Pairs must pass the length filter, the positional filter (words left after the shared one) and a
-parity filter (each word that only one set has flips at most one of 128 bits). Survivors are verified on the sets.
+compares them in numpy. Pairs must pass the length filter, the positional filter (it is enough to find a pair at the first
+word that both have, so all they share is this word and what follows) and a parity filter (each word that only one set
+has flips at most one of 128 bits). Survivors are verified on the sets.
+
+By the positional filter the smaller set of a pair has the word among its first |x| - ceil(8/9 |x|) + 1, its leading
+ones. Lists of more than LONG entries are therefore split by size and by leading or not, and only splits that can pass
+meet: lines of one template, whose common word leads in none of them, are never paired. Large splits that do meet are
+joined on parts of the parity bits: if at most f of 128 bits differ, one of f + 1 parts is equal in both. Where f is
+over 128 / SHORTEST_PART the parts say too little, and blocks of all pairs of the two splits are compared.
+
 It is enough to find one earlier match, so the first round verifies for each set only the partner with the fewest
 flips, found among its LAGS predecessors in a word's list or, if none passes, in the whole list. Sets whose partner
 fails are verified against all that pass, in a second round over the lists of their words only. No pairs within a large group of near copies are formed
@@ -36,8 +44,14 @@ from plumbline.llm.common import stored, temporary
 from plumbline.llm.line_tokens import COUNT_BITS, count_words, levels_of, lines_of
 
 LAGS = 8
-#: Pairs that are compared at once in a long list.
+#: Longer lists are split before they are compared.
+LONG = 256
+#: Splits with more pairs are joined on parts of the parity bits, of this many bits at least.
+MANY = 1 << 14
+SHORTEST_PART = 12
+#: Pairs that are compared at once, and entries that are.
 _MATRIX = 1 << 21
+_TOGETHER = 1 << 16
 #: Sets that a task remembers to have met.
 _MET = 1 << 20
 BITMAP_BITS = 24
@@ -111,6 +125,26 @@ def line_sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     return texts.mapInArrow(found, f"doc {kind}, dh long, line int, key binary, odd1 long, odd2 long, size int, prefix array<long>")
 
 
+def _part(odd1: np.ndarray, odd2: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Bits begin to end (at most 64) of the 128 parity bits."""
+    low, high = odd1.view(np.uint64), odd2.view(np.uint64)
+    bits = low >> np.uint64(begin) if begin < 64 else high >> np.uint64(begin - 64)
+    if begin < 64 < end:
+        bits = bits | high << np.uint64(64 - begin)
+    return bits & np.uint64((1 << (end - begin)) - 1)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, place) for each place of the ranges [begin[k], begin[k] + size[k]), in blocks of about _MATRIX places."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        more = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _MATRIX, "right")) - at)
+        cut = slice(at, at + more)
+        k = np.repeat(np.arange(at, at + len(size[cut])), size[cut])
+        yield k, np.arange(len(k)) - np.repeat(np.cumsum(size[cut]) - size[cut], size[cut]) + begin[k]
+        at += more
+
+
 class _List:
     """Entries of words, sorted by word and document: columns word, doc, odd1, odd2, size, pos, open."""
 
@@ -120,46 +154,91 @@ class _List:
 
     def flips(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Differing parity bits of pairs of entries that pass all filters; 255 for the others. Jaccard of at least 0.8
-        is an overlap of at least 4/9 of both sizes. Entries of one document pass in either order."""
+        is an overlap of at least 4/9 of both sizes, and different sets of one size do not overlap wholly. Entries of
+        one document pass in either order."""
         out, n, m = np.full(len(x), 255), self.size[x], self.size[y]
-        kept = np.flatnonzero((5 * n >= 4 * m) & (5 * m >= 4 * n))  # most pairs end here
-        x, y, n, m = x[kept], y[kept], n[kept], m[kept]
-        both, i, j = n + m, self.pos[x], self.pos[y]
+        both, rest = n + m, np.minimum(n - self.pos[x], m - self.pos[y])
+        kept = np.flatnonzero(9 * (rest - (rest == np.maximum(n, m))) >= 4 * both)  # most pairs end here
+        x, y, both = x[kept], y[kept], both[kept]
         flips = sum(np.bitwise_count((odd[x] ^ odd[y]).view(np.uint64)).astype(np.int64) for odd in (self.odd1, self.odd2))
-        good = (both >= 9 * flips) & (flips > 0) & (9 * (np.minimum(i, j) + np.minimum(n - i, m - j)) >= 4 * both)
+        good = (both >= 9 * flips) & (flips > 0)
         out[kept[good]] = flips[good]
         return out
 
-    def pairs(self, done: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(x, y, flips) of places, for y from done on: the best earlier x, or with every all that pass for open y."""
+    def _splits(self, places: np.ndarray) -> list[tuple[int, bool, np.ndarray]]:
+        """(size, whether the word leads, places) of the splits of a word's entries."""
+        n = self.size[places]
+        kind = 2 * n + (9 * (n - self.pos[places]) >= 8 * n)
+        order = np.argsort(kind, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(kind[order]) > 0])
+        return [(int(k) // 2, bool(k % 2), part) for k, part in zip(kind[order][starts], np.split(places[order], starts[1:]), strict=True)]
+
+    def _met(self, xs: np.ndarray, ys: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(x, y) of two splits, with all pairs of `most` or fewer different parity bits among them, some more than once."""
+        parts = most + 1
+        if len(xs) * len(ys) <= MANY or parts * SHORTEST_PART > 128:
+            for k, place in _ranges(np.zeros(len(ys), np.int64), np.full(len(ys), len(xs))):
+                yield xs[place], ys[k]
+            return
+        for p in range(parts):
+            edges = 128 * p // parts, 128 * (p + 1) // parts
+            of_x, of_y = (_part(self.odd1[at], self.odd2[at], *edges) for at in (xs, ys))
+            order = np.argsort(of_x, kind="stable")
+            of_x = of_x[order]
+            begin = np.searchsorted(of_x, of_y)
+            for k, place in _ranges(begin, np.searchsorted(of_x, of_y, "right") - begin):
+                yield xs[order[place]], ys[k]
+
+    def _long(self, ys: np.ndarray, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(x, y) for entries y of a word whose list is [first, last), with all pairs that pass the filters among them."""
+        xs = self._splits(np.arange(first, last))
+        for m, y_leads, of_y in self._splits(ys):
+            for n, x_leads, of_x in xs:
+                leads = x_leads if n < m else y_leads if n > m else x_leads and y_leads and n >= 9
+                if leads and 5 * n >= 4 * m and 5 * m >= 4 * n and n + m >= 9:
+                    yield from self._met(of_x, of_y, (n + m) // 9)
+
+    def pairs(self, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(x, y, flips) of places: for each y the best earlier x, or with every all that pass for open y."""
         n = len(self.word)
-        first = np.zeros(n, np.int64)
         starts = np.flatnonzero(np.r_[True, self.word[1:] != self.word[:-1]])
-        first[starts] = starts
-        first = np.maximum.accumulate(first)
-        same = np.r_[True, (self.word[1:] != self.word[:-1]) | (self.doc[1:] != self.doc[:-1])]
-        run = np.searchsorted(np.flatnonzero(same), np.arange(n), "right")
-        last = np.r_[np.flatnonzero(same)[1:], n][run - 1]  # the end of the entries of y's word and document
-        todo = np.arange(done, n)[self.open[done:]]
+        sizes = np.diff(np.r_[starts, n])
+        first = np.repeat(starts, sizes)
+        same = np.flatnonzero(np.r_[True, (self.word[1:] != self.word[:-1]) | (self.doc[1:] != self.doc[:-1])])
+        last = np.repeat(np.r_[same[1:], n], np.diff(np.r_[same, n]))  # the end of the entries of y's word and document
+        todo = np.flatnonzero(self.open & (np.repeat(sizes, sizes) > 1))
+        best, near = np.full(n, -1), np.full(n, 255)
         if not every:
-            best, near = np.full(n, -1), np.full(n, 255)
             for lag in range(1, LAGS + 1):
                 y = todo[todo - lag >= first[todo]]
                 flips = self.flips(y - lag, y)
                 y, flips = y[(better := flips < near[y])], flips[better]
                 best[y], near[y] = y - lag, flips
+            todo = todo[(best[todo] < 0) & ((todo - first[todo] > LAGS) | (last[todo] - todo > 1))]
+        for x, y in self._whole(todo, first, last):
+            flips = self.flips(x, y)
+            at = np.flatnonzero((flips < 255) & (x < last[y]))  # later lines of y's own document are in it
+            x, y, flips = x[at], y[at], flips[at]
+            if every:
+                yield x, y, flips
+                continue
+            at = np.lexsort((flips, y))
+            at = at[np.r_[True, y[at][1:] != y[at][:-1]][: len(at)]]
+            at = at[flips[at] < near[y[at]]]
+            best[y[at]], near[y[at]] = x[at], flips[at]
+        if not every:
             y = np.flatnonzero(best >= 0)
             yield best[y], y, near[y]
-            todo = todo[(best[todo] < 0) & ((todo - first[todo] > LAGS) | (last[todo] - todo > 1))]
+
+    def _whole(self, todo: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(x, y) from the whole lists of entries todo."""
         width = last[todo] - first[todo]
-        at = 0
-        while at < len(todo):  # the whole list, in blocks; later lines of y's own document are in it
-            more = max(1, int(np.searchsorted(np.cumsum(width[at:]), _MATRIX)))
-            y = np.repeat(todo[at : at + more], width[at : at + more])
-            x = np.arange(len(y)) - np.repeat(np.cumsum(width[at : at + more]) - width[at : at + more], width[at : at + more]) + first[y]
-            flips = self.flips(x, y)
-            yield x[flips < 255], y[flips < 255], flips[flips < 255]
-            at += more
+        short = todo[width <= LONG]
+        for k, x in _ranges(first[short], width[width <= LONG]):
+            yield x, short[k]
+        long = todo[width > LONG]
+        for ys in np.split(long, np.flatnonzero(np.diff(first[long])) + 1) if len(long) else ():
+            yield from self._long(ys, int(first[ys[0]]), int(last[ys[-1]]))
 
 
 _BOTH = ("odd1", "odd2")
@@ -199,22 +278,26 @@ def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     together = entries.select("word", "doc", *_BOTH, "size", "pos", "open").repartition("word").sortWithinPartitions("word", "doc")
     every = failed is not None
 
+    def rows(columns: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        found = _List([np.concatenate(parts) for parts in zip(*columns, strict=True)])
+        for x, y, flips in found.pairs(every):
+            yield pa.RecordBatch.from_arrays([*(pa.array(odd[at]) for at in (x, y) for odd in (found.odd1, found.odd2)), pa.array(flips)], ["x1", "x2", "y1", "y2", "flips"])
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [c.to_numpy(zero_copy_only=False).astype(bool if k == 6 else np.int64) for k, c in enumerate(batch.columns)]
-            done = 0
-            if held is not None:
-                # Lines of one document may be cut by the batch: its entries are compared again with what follows.
-                done = int(np.searchsorted(held[1], held[1][-1])) if held[0][-1] == columns[0][0] else len(held[0])
-                columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
-            found = _List(columns)
-            for x, y, flips in found.pairs(done, every):
-                yield pa.RecordBatch.from_arrays([*(pa.array(odd[at]) for at in (x, y) for odd in (found.odd1, found.odd2)), pa.array(flips)], ["x1", "x2", "y1", "y2", "flips"])
-            at = int(np.searchsorted(found.word, found.word[-1]))
-            held = [c[at:] for c in columns]
+            at = int(np.searchsorted(columns[0], columns[0][-1]))  # the last word may go on
+            if size >= _TOGETHER and (at or columns[0][0] != held[-1][0][-1]):
+                yield from rows([*held, [c[:at] for c in columns]])
+                held, size, columns = [], 0, [c[at:] for c in columns]
+            held.append(columns)
+            size += len(columns[0])
+        if held:
+            yield from rows(held)
 
     return together.mapInArrow(compared, "x1 long, x2 long, y1 long, y2 long, flips long")
 

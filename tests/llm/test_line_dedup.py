@@ -94,3 +94,68 @@ def test_only_the_result_stays_in_the_shared_folder(spark, make_docs):
     found = line_dedup.drop_repeated_lines(make_docs([(1, "a b c d e f\nx"), (2, "y\na b c d e f")]))
     assert len(set(os.listdir(shared_folder(spark))) - before) == 1
     assert sorted(r.text for r in found.collect()) == ["a b c d e f\nx", "y"]
+
+
+def entries_of(sets, seed):
+    """The list of all prefix words of the sets, as a task of candidates() meets it; several sets a document."""
+    rng = random.Random(seed)
+    parity = [[0, 0] for _ in sets]
+    for k, words in enumerate(sets):
+        for w in words:
+            bit = hash((w, seed)) % 128
+            parity[k][bit // 64] ^= 1 << (bit % 64)
+    rows = []
+    for k, words in enumerate(sets):
+        order = sorted(words, key=lambda w: -w)  # variable words are the higher numbers and come first
+        n = len(order)
+        for pos, w in enumerate(order[: n + 1 + (-4 * n) // 5]):
+            rows.append((w, k // 3, *parity[k], n, pos, True))
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[:2])
+    kinds = [np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64, bool]
+    columns = [np.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
+    return line_dedup._List([c.view(np.int64) if c.dtype == np.uint64 else c for c in columns]), [tuple(p) for p in parity]
+
+
+@pytest.mark.parametrize("many", [0, 1 << 30])
+@pytest.mark.parametrize("seed", range(6))
+def test_long_lists_against_all_pairs(monkeypatch, seed, many):
+    """Lists split by size and leading words, compared by parts of the parity bits (many = 0) or in blocks."""
+    monkeypatch.setattr(line_dedup, "LONG", 3)
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "_MATRIX", 50)
+    rng = random.Random(seed)
+    templates = [rng.sample(range(60 * t, 60 * t + 50), rng.randint(4, 45)) for t in range(4)]
+    sets = []
+    for _ in range(150):
+        words = list(rng.choice(templates))
+        for _ in range(rng.randint(0, max(1, len(words) // 7))):
+            words[rng.randrange(len(words))] = rng.randrange(300)
+        sets.append(frozenset(words[: rng.randint(max(4, len(words) - 4), len(words))]))
+    sets = [x for x in dict.fromkeys(sets) if len(x) >= line_dedup.LEAST]
+    found, parity = entries_of(sets, seed)
+    together = {frozenset((parity[i], parity[j])) for i, x in enumerate(sets) for j, y in enumerate(sets[:i])
+                if 10 * len(x & y) >= 8 * len(x | y) and parity[i] != parity[j]}
+    assert len(together) > 50
+    odd = list(zip(found.odd1.view(np.uint64).tolist(), found.odd2.view(np.uint64).tolist(), strict=True))
+    got = {frozenset((odd[x], odd[y])) for xs, ys, _ in found.pairs(True) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)}
+    assert together <= got
+    # The first round names a partner for every set with an earlier one.
+    least = {p: min(k // 3 for k, q in enumerate(parity) if q == p) for p in parity}
+    late = {p for pair in together for p in pair if any(least[q] < least[p] for q in pair)}
+    best = {odd[y] for _, ys, _ in found.pairs(False) for y in ys.tolist()}
+    assert late <= best
+
+
+def test_template_lines_form_no_pairs():
+    """Lines of one template share words that lead in none of them: nothing is compared."""
+    sets = [frozenset((10_000 + k, 9_000 - k % 7, 3, 2, 1)) for k in range(30_000)]
+    found, _ = entries_of(sets, 0)
+    assert sum(len(x) for x, _, _ in found.pairs(True)) == 0
+
+
+def test_long_lists_of_many_batches(make_docs):
+    """A word of thousands of lines, some of which match, and lines that begin with frequent words."""
+    rng = random.Random(5)
+    rows = [(k, f"user{k} posted this on monday\nreport total sum " + " ".join(str(rng.randrange(40)) for _ in range(9))) for k in range(700)]
+    check(make_docs(rows))
