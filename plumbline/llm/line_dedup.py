@@ -13,9 +13,9 @@ word that both have, so all they share is this word and what follows) and a pari
 has flips at most one of 128 bits). Survivors are verified on the sets.
 
 By the positional filter the smaller set of a pair has the word among its first |x| - ceil(8/9 |x|) + 1, its leading
-ones. Lists of more than LONG entries are therefore split by size and by leading or not, and only splits that can pass
-meet: lines of one template, whose common word leads in none of them, are never paired. Large splits that do meet are
-joined on parts of the parity bits: if at most f of 128 bits differ, one of f + 1 parts is equal in both. Where f is
+ones. Lists are therefore split by size and by leading or not, and only splits that can pass
+meet: lines of one template, whose common word leads in none of them, are never paired. Large splits that do meet, for
+entries with more than LONG others to meet, are joined on parts of the parity bits: if at most f of 128 bits differ, one of f + 1 parts is equal in both. Where f is
 over 128 / SHORTEST_PART the parts say too little, and blocks of all pairs of the two splits are compared.
 
 It is enough to find one earlier match, so the first round verifies for each set only the partner with the fewest
@@ -44,8 +44,8 @@ from plumbline.llm.common import stored, temporary
 from plumbline.llm.line_tokens import COUNT_BITS, count_words, levels_of, lines_of
 
 LAGS = 8
-#: Longer lists are split before they are compared.
-LONG = 256
+#: Entries with more others to meet are compared split by split.
+LONG = 4096
 #: Splits with more pairs are joined on parts of the parity bits, of this many bits at least.
 MANY = 1 << 14
 SHORTEST_PART = 12
@@ -231,12 +231,23 @@ class _List:
             yield best[y], y, near[y]
 
     def _whole(self, todo: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(x, y) from the whole lists of entries todo."""
-        width = last[todo] - first[todo]
-        short = todo[width <= LONG]
-        for k, x in _ranges(first[short], width[width <= LONG]):
-            yield x, short[k]
-        long = todo[width > LONG]
+        """(x, y) from the whole lists of entries todo: x of the sizes that can pass, and leading if it is smaller."""
+        longest = 2 + (int(self.size.max()) * 5) // 4
+        leads = 9 * (self.size - self.pos) >= 8 * self.size
+        # Entries by word, leading or not, and size; a range of sizes is a range of places.
+        cell = (2 * (np.cumsum(np.r_[False, self.word[1:] != self.word[:-1]])) + leads) * longest + self.size
+        order = np.argsort(cell, kind="stable")
+        cells, m, base = cell[order], self.size[todo], cell[todo] - self.size[todo]
+        most = np.where(leads[todo], 5 * m // 4, 0)
+        led, others = base + np.where(leads[todo], 0, longest), base - np.where(leads[todo], longest, 0)
+        ranges = [(led - (-4 * m // 5), led + m - 1), (led + m + (m < 9), led + most), (others + m + 1, others + most)]
+        begin, end = (np.array([np.searchsorted(cells, r[k], side) for r in ranges]) for k, side in enumerate(("left", "right")))
+        width = np.maximum(0, end - begin)
+        short = width.sum(axis=0) <= LONG
+        for start, size in zip(begin, width, strict=True):
+            for k, place in _ranges(start[short], size[short]):
+                yield order[place], todo[short][k]
+        long = todo[~short]
         for ys in np.split(long, np.flatnonzero(np.diff(first[long])) + 1) if len(long) else ():
             yield from self._long(ys, int(first[ys[0]]), int(last[ys[-1]]))
 
