@@ -12,7 +12,8 @@ per model.
 Everything is DataFrame or SQL functions. Offsets count code points, the end exclusive. Null texts count as empty and
 hold nothing. Rows do not depend on each other once the model is trained, so repeated rows get equal spans. Without any
 labelled string both models are uniform and add nothing. An empty table gives an empty result; other columns stay, but
-one named like the output is replaced. The time for a text grows with its length and with the square of its spans.
+one named like the output is replaced. The time for a text grows with its length and, but for a small part (a PART-th squared), with
+the number of its spans.
 """
 
 from __future__ import annotations
@@ -32,33 +33,74 @@ RUN = 20
 LEAST = 12.0
 SAMPLE = 5_000
 SMOOTHING = 0.5
-_SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Numbers whose running totals are built up one by one.
+PART = 64
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once: a lambda's variable holds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _totals(values: Column, join) -> Column:
+    """Running totals of an array of numbers, by join(total so far, number)."""
+
+    def grown(totals: Column, v: Column) -> Column:
+        return F.concat(totals, F.array(F.when(F.size(totals) == 0, v).otherwise(join(F.try_element_at(totals, F.lit(-1)), v))))
+
+    return F.aggregate(values, F.array().cast("array<int>"), grown)
+
+
+def running(values: Column, join=lambda x, y: x + y) -> Column:
+    """Running totals of a long array: of parts of PART numbers, then over the parts' last totals, so that no long array
+    is built up number by number."""
+
+    def whole(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int")), lambda k: _totals(F.slice(v, k * PART + 1, F.lit(PART)), join))
+        return _bound(parts, lambda p: _bound(_totals(F.transform(p, lambda t: F.element_at(t, -1)), join), lambda before: F.flatten(
+            F.transform(p, lambda t, k: F.when(k == 0, t).otherwise(_bound(F.get(before, k - 1), lambda b: F.transform(t, lambda x: join(b, x))))))))
+
+    return _bound(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(whole(v)))
 
 
 def _located(text: Column, pattern: str, group: int, kind: int, shortest: int = 0) -> Column:
-    """Spans of a pattern's matches, from the lengths of matches and of what lies between them."""
+    """Spans (start, kind, end, value) of a pattern's matches, from the lengths of matches and of what lies between them."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.zip_with(F.arrays_zip(between.alias("between"), values.alias("value")), found, lambda b, m: F.struct(
-        F.length(b["between"]).alias("gap"), F.length(m).alias("size"), F.length(b["value"]).alias("value")))
-    steps = F.slice(steps, F.lit(1), F.size(found))  # what follows the last match stands alone
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    sizes = F.transform(F.arrays_zip(between.alias("between"), found.alias("found"), values.alias("value")), lambda x: F.struct(
+        (F.length(x["between"]) + F.coalesce(F.length(x["found"]), F.lit(0))).alias("step"), F.length(x["found"]).alias("size"), x["value"].alias("value")))
+    ends = lambda s: running(F.transform(s, lambda x: x["step"]))
+    spans = _bound(sizes, lambda s: F.zip_with(s, ends(s), lambda x, end: F.struct(
+        (end - x["size"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))))
+    kept = F.filter(spans, lambda x: x["value"].isNotNull() & (F.length(x["value"]) >= shortest))  # what follows the last match stands alone
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), kept).otherwise(F.array().cast(_SPANS))
+
+
+def _base(text: Column) -> Column:
+    return F.sort_array(F.concat(*(_located(text, pattern, group, k, SHORTEST_VALUE if group else 0) for k, (_, pattern, group) in enumerate(PATTERNS))))
+
+
+def _free(base: Column, runs: Column) -> Column:
+    """The runs that overlap no base span. Of all spans by start, a run's must be behind the ends of the base spans before it, and
+    if a base span is next, it must not start within the run; runs do not overlap each other."""
+    model = len(PATTERNS)
 
-    def step(state: Column, s: Column) -> Column:
-        begin = state["at"] + s["gap"]
-        span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + s["size"]).alias("end")))
-        grown = F.when(s["value"] >= shortest, F.concat(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((begin + s["size"]).alias("at"), grown.alias("spans"))
+    def chosen(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: F.when(s["kind"] < model, s["end"]).otherwise(0)), F.greatest)
+        following = F.slice(spans, F.lit(2), F.greatest(F.size(spans) - 1, F.lit(0)))
+        met = F.arrays_zip(spans.alias("span"), ends.alias("behind"), following.alias("next"))
+        free = lambda x: (x["span"]["kind"] == model) & (x["behind"] <= x["span"]["start"]) & (
+            x["next"].isNull() | (x["next"]["kind"] == model) | (x["next"]["start"] >= x["span"]["end"]))
+        return F.transform(F.filter(met, free), lambda x: x["span"])
 
-    located = F.aggregate(steps, start, step, lambda s: s["spans"])
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), located).otherwise(F.array().cast(_SPANS))
+    return F.when(F.size(base) == 0, runs).otherwise(_bound(F.sort_array(F.concat(base, runs)), chosen))
 
 
 def base_spans(docs: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
     """docs with the base spans (start, kind's number, end) of a text, in order."""
-    plain = F.coalesce(F.col(text), F.lit(""))
-    kinds = [_located(plain, pattern, group, k, SHORTEST_VALUE if group else 0) for k, (_, pattern, group) in enumerate(PATTERNS)]
-    return docs.withColumn(out, F.sort_array(F.concat(*kinds)))
+    spans = F.transform(_base(F.coalesce(F.col(text), F.lit(""))), lambda x: x.dropFields("value"))
+    return docs.withColumn(out, spans)
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
@@ -79,11 +121,9 @@ class Model:
     def fit(cls, docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
         part = min(1.0, sample / max(1, docs.count()))
         plain = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < part * (1 << 30))
-        spans = base_spans(plain, "t").select("t", F.explode("base").alias("s"))
-        span = F.substring(F.col("t"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-        value = F.when(F.col("s.kind") == 0, F.regexp_extract(span, ASSIGN, 2)).otherwise(span)
+        spans = plain.select(F.explode(_base(F.col("t"))).alias("s"))
         plain_words = plain.select(F.explode(F.regexp_extract_all(F.regexp_replace("t", "|".join(p for _, p, _ in PATTERNS), " "), F.lit(r"[A-Za-z_][A-Za-z0-9_]{5,}"), F.lit(0))).alias("s"))
-        strings = spans.select(F.lit(True).alias("random"), value.alias("s")).union(plain_words.select(F.lit(False), "s"))
+        strings = spans.select(F.lit(True).alias("random"), F.col("s.value").alias("s")).union(plain_words.select(F.lit(False), "s"))
         counts = {(r.random, r.a, r.b): r.n for r in _pairs(strings.filter("s <> ''")).collect()}
         logs = {kind: [] for kind in (True, False)}
         for kind, out in logs.items():
@@ -104,10 +144,9 @@ class Model:
         """docs with all spans as structs (start, kind's number, end, kind), in order of start and kind."""
         plain, own = F.coalesce(F.col(text), F.lit("")), "_base_and_runs"
         runs = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
-        found = base_spans(docs, text, own).withColumn(own, F.struct(F.col(own).alias("base"), _located(plain, runs, 0, len(PATTERNS)).alias("runs")))
+        found = docs.withColumn(own, F.struct(_base(plain).alias("base"), _located(plain, runs, 0, len(PATTERNS)).alias("runs")))
         base = F.col(f"{own}.base")
-        free = F.filter(F.col(f"{own}.runs"), lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-        added = F.filter(free, lambda r: self.ratio(F.substring(plain, r["start"] + 1, r["end"] - r["start"])) >= LEAST)
+        added = F.filter(_free(base, F.col(f"{own}.runs")), lambda r: self.ratio(r["value"]) >= LEAST)
         names = F.array(*(F.lit(name) for name, _, _ in PATTERNS), F.lit("model"))
         spans = F.transform(F.sort_array(F.concat(base, added)), lambda s: F.struct(
             s["start"].alias("start"), s["kind"].alias("number"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind")))
