@@ -7,8 +7,8 @@ probability divided by the class's, so the model gives every text a probability.
 
 Training is Baum-Welch. A bounded sample of SEED_DOCS documents sets the start in one task; then ROUNDS passes over
 all training texts collect expected counts in every task, which are added by symbol in a shuffle. Only the model
-itself, (HOT + classes) * STATES numbers, reaches the driver and is broadcast. In training a text is cut into
-stretches of STRETCH tokens; scoring runs the scaled forward recursion over the whole text.
+itself, (HOT + classes) * STATES numbers, reaches the driver and is broadcast. Training and scoring run the recursions
+over whole texts, training in segments of SEGMENT tokens, so that its memory for a very long text stays bounded.
 
 Counts of tokens outside the HOT ones are joined by shuffle, each document's own such tokens with the counts of the
 corpus, so nothing that grows with the vocabulary is broadcast.
@@ -20,6 +20,7 @@ empty table gives an empty result. Extra columns are left out.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,8 @@ from plumbline.llm.common import least_places, stored
 
 STATES = 8
 HOT = 50_000
-STRETCH = 256
+#: Tokens of a text whose states are kept at once.
+SEGMENT = 4_096
 SEED_DOCS, SEED_ROUNDS, ROUNDS = 1_500, 12, 2
 #: Weight of the base model in each state's words, as a part of the state's tokens and in tokens.
 BASE_SHARE, PRIOR = 0.2, 50.0
@@ -43,7 +45,8 @@ LENGTHS = 16
 CLASSES = 2 * (LENGTHS + 1)
 COUNTED_AT_ONCE = 1 << 19
 #: Tokens that run through a recursion side by side.
-_ABREAST = 1 << 17
+_ABREAST = 1 << 19
+_ONES = np.ones((STATES, 1), np.float32)
 
 
 def word_class(word: bytes) -> int:
@@ -113,41 +116,54 @@ class Hmm:
         for group in _groups(lengths, order):
             table, running = _side_by_side([texts[i] for i in group]), lengths[group]
             alive = np.searchsorted(-running, -np.arange(len(table)), "left")
-            logs, state = np.zeros(len(group)), np.tile(self.start, (len(group), 1))
+            logs, state = np.zeros(len(group)), None
             for t, n in enumerate(alive):
-                state = (state[:n] if t == 0 else state[:n] @ self.moves) * self.words[table[t, :n]]
-                total = state.sum(1, keepdims=True)
+                state, total = self._step(state, self.words[table[t, :n]])
                 logs[:n] += np.log10(total[:, 0], dtype=np.float64)
-                state /= total
             out[group] = logs
         return out
 
     def expect(self, texts: list[np.ndarray], start: np.ndarray, moves: np.ndarray, words: np.ndarray) -> None:
-        """Adds the expected counts of these sequences."""
+        """Adds the expected counts of these whole sequences. The forward pass keeps the states between segments; from
+        the last segment on, each is run again with all its states kept, followed by its backward pass."""
         lengths = np.array([len(t) for t in texts])
         for group in _groups(lengths, np.argsort(-lengths, kind="stable")):
             table, running = _side_by_side([texts[i] for i in group]), lengths[group]
             alive = np.searchsorted(-running, -np.arange(len(table)), "left")
-            forward = np.zeros((*table.shape, STATES), np.float32)
-            scale = np.ones(table.shape, np.float32)
-            for t, n in enumerate(alive):
-                state = (self.start if t == 0 else forward[t - 1, :n] @ self.moves) * self.words[table[t, :n]]
-                scale[t, :n] = total = state.sum(1)
-                forward[t, :n] = state / total[:, None]
-            back = np.ones((len(group), STATES), np.float32)
-            found, seen = [], []
-            for t in range(len(table) - 1, -1, -1):
-                n, more = alive[t], alive[t + 1] if t + 1 < len(table) else 0
-                if more:
-                    ahead = self.words[table[t + 1, :more]] * back[:more] / scale[t + 1, :more, None]
-                    moves += (forward[t, :more].T @ ahead) * self.moves
-                    back[:more] = ahead @ self.moves.T
-                found.append(forward[t, :n] * back[:n])
-                seen.append(table[t, :n])
-            start += found[-1].sum(0)
-            weight, symbol = np.concatenate(found), np.concatenate(seen)
-            for s in range(STATES):
-                words[:, s] += np.bincount(symbol, weight[:, s], len(words))
+            segments = range(0, len(table), SEGMENT)
+            before: list[np.ndarray | None] = [None]
+            for a in segments[:-1]:
+                state = before[-1]
+                for t in range(a, a + SEGMENT):
+                    state, _ = self._step(state, self.words[table[t, : alive[t]]])
+                before.append(state)
+            back, ahead = np.ones((len(group), STATES), np.float32), np.zeros((0, STATES), np.float32)
+            for a, state in zip(reversed(segments), reversed(before), strict=True):
+                sizes = alive[a : a + SEGMENT]
+                symbols = np.concatenate([row[:n] for row, n in zip(table[a : a + SEGMENT], sizes, strict=True)])
+                emitted, weights, states = self.words[symbols], np.empty((len(symbols), STATES), np.float32), []
+                at = np.cumsum(np.r_[0, sizes]).tolist()
+                for here, end in itertools.pairwise(at):
+                    state, total = self._step(state, emitted[here:end])
+                    states.append((state, total))
+                for (state, total), (here, end) in zip(reversed(states), reversed([*itertools.pairwise(at)]), strict=True):
+                    if more := len(ahead):
+                        moves += (state[:more].T @ ahead) * self.moves
+                        np.matmul(ahead, self.moves.T, out=back[:more])
+                    np.multiply(state, back[: len(state)], out=weights[here:end])
+                    ahead = emitted[here:end] * back[: len(state)]
+                    ahead /= total
+                if a == 0:
+                    start += weights[: sizes[0]].sum(0)
+                for s in range(STATES):
+                    words[:, s] += np.bincount(symbols, weights[:, s], len(words))
+
+    def _step(self, state: np.ndarray | None, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scaled states after one more symbol of each running sequence, and the scales; None is the start."""
+        state = (self.start if state is None else state[: len(emitted)] @ self.moves) * emitted
+        total = state @ _ONES
+        state /= total
+        return state, total
 
 
 def _groups(lengths: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
@@ -248,12 +264,8 @@ def _trained(texts: DataFrame, hot: dict[bytes, int], base: np.ndarray, hmm: Hmm
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, base, model = shared.value
 
-        def stretches() -> Iterator[list[np.ndarray]]:
-            for batch in batches:
-                found = [_symbols(t.as_py(), symbols) for t in batch.column(0)]
-                yield [f[a : a + STRETCH] for f in found for a in range(0, len(f), STRETCH)]
-
-        parts = list(stretches()) if rounds > 1 else stretches()
+        whole = ([_symbols(t.as_py(), symbols) for t in batch.column(0)] for batch in batches)
+        parts = list(whole) if rounds > 1 else whole
         for left in range(rounds, 0, -1):
             start, moves, words = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((size, STATES))
             for part in parts:

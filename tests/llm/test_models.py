@@ -168,6 +168,41 @@ def test_lm_forward_and_counts():
     assert sums == sorted(sums)
 
 
+def slow_expected(hmm, symbols):
+    """Expected counts of one whole sequence from unscaled forward and backward probabilities."""
+    words, moves = hmm.words.astype(float), hmm.moves.astype(float)
+    ahead, back = [hmm.start.astype(float) * words[symbols[0]]], [np.ones(lm.STATES)]
+    for s in symbols[1:]:
+        ahead.append(ahead[-1] @ moves * words[s])
+    for s in symbols[:0:-1]:
+        back.append(moves @ (words[s] * back[-1]))
+    back.reverse()
+    whole = ahead[-1].sum()
+    moved, seen = np.zeros_like(moves), np.zeros_like(words)
+    for k, s in enumerate(symbols):
+        seen[s] += ahead[k] * back[k] / whole
+        if k:
+            moved += np.outer(ahead[k - 1], words[s] * back[k]) * moves / whole
+    return ahead[0] * back[0] / whole, moved, seen
+
+
+@pytest.mark.parametrize("segment, abreast", [(4096, 1 << 19), (7, 40), (1, 1), (64, 100)])
+def test_lm_expected_counts_of_whole_texts(monkeypatch, segment, abreast):
+    monkeypatch.setattr(lm, "SEGMENT", segment)
+    monkeypatch.setattr(lm, "_ABREAST", abreast)
+    rng = np.random.default_rng(4)
+    base = rng.random(20)
+    hmm = lm.Hmm.first(base / base.sum())
+    texts = [rng.integers(0, 20, n).astype(np.int32) for n in (1, 2, 7, 8, 64, 65, 100, 7)]
+    got = np.zeros(lm.STATES), np.zeros((lm.STATES, lm.STATES)), np.zeros((20, lm.STATES))
+    hmm.expect(texts, *got)
+    for found, want in zip(got, zip(*(slow_expected(hmm, t) for t in texts), strict=True), strict=True):
+        np.testing.assert_allclose(found, sum(want), rtol=1e-3, atol=1e-4)
+    empty = np.zeros(lm.STATES), np.zeros((lm.STATES, lm.STATES)), np.zeros((20, lm.STATES))
+    hmm.expect([], *empty)
+    assert not any(x.any() for x in empty)
+
+
 def test_lm_gives_probabilities_that_add_up(spark, make_docs, monkeypatch):
     """Over all one-word texts of known words and one unknown, plus the empty text and longer ones, mass is at most 1."""
     monkeypatch.setattr(lm, "HOT", 5)
