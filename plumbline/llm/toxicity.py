@@ -5,11 +5,11 @@ numbers. Words are in lower case (A-Z) without punctuation at their ends. Insult
 of words count as stems, and words and stems that occur twice or four times have features of their own. Nothing else
 enters a score.
 
-Training: a bounded sample of SAMPLE labelled documents at most, the first in the order of a hash of the id, passes
-EPOCHS times through one task. Every coordinate has its own learning rate, and the L1 penalty leaves few weights
+Training: a bounded sample of SAMPLE labelled documents at most, the first in the order of a hash of the id. Their
+features are found in all tasks; one task holds them, four bytes each, and goes over them EPOCHS times. Every coordinate has its own learning rate, and the L1 penalty leaves few weights
 other than zero; these (2**HASH_BITS at most, so the broadcast is bounded) score all whole texts.
 
-Null and empty texts have no features and get the score of the intercept. A label is the rounded mean of the rows of
+Very long texts are scored whole. Null and empty texts have no features and get the score of the intercept. A label is the rounded mean of the rows of
 its doc_id; rows without doc_id or label teach nothing. Documents that share a doc_id teach with the least of their
 texts. Without training rows every score is 0. Repeated rows get equal scores, an empty table an empty result; other
 columns stay, but one with the name of the score is replaced.
@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import least_places
+from plumbline.llm.common import least_places, stored
 
 HASH_BITS = 20
-SAMPLE = 4_000
+SAMPLE = 8_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 8.0, 0.5
 INTERCEPT = -1
@@ -107,11 +107,15 @@ def _features(words: list[bytes], counts: list[int], weighty: np.ndarray | None)
     return np.unique(np.concatenate(grams))
 
 
-def _sets(texts: Iterator[bytes]) -> Iterator[np.ndarray]:
-    """The distinct features of each text."""
-    for n, both in features(texts):
-        for a, z in itertools.pairwise(np.searchsorted(both, np.arange(n + 1) << HASH_BITS)):
-            yield (both[a:z] & _ALL).astype(np.int32)
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(features, label, place) of rows (text, label, place), some texts at a time."""
+    for batch in batches:
+        done = 0
+        for n, both in features(t.as_py() for t in batch.column("text")):
+            ends = np.searchsorted(both, np.arange(n + 1) << HASH_BITS).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array((both & _ALL).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([sets, batch.column("label").slice(done, n), batch.column("place").slice(done, n)], ["features", "label", "place"])
+            done += n
 
 
 def fit_ftrl(examples: list[tuple[np.ndarray, int]]) -> dict[int, float]:
@@ -140,8 +144,7 @@ def fit_ftrl(examples: list[tuple[np.ndarray, int]]) -> dict[int, float]:
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     examples: list[tuple[np.ndarray, int]] = []
     for batch in batches:
-        labels = batch.column("label").to_pylist()
-        examples += zip(_sets(t.as_py() for t in batch.column("text")), labels, strict=True)
+        examples += ((x.values.to_numpy(), y) for x, y in zip(batch.column("features"), batch.column("label").to_pylist(), strict=True))
     model = fit_ftrl(examples)
     yield pa.RecordBatch.from_arrays([pa.array(model.keys(), pa.int32()), pa.array(model.values(), pa.float64())], ["feature", "weight"])
 
@@ -170,8 +173,9 @@ class Model:
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, teaches: Column | None = None) -> Model:
         """teaches: which rows of labels may be learnt from."""
         rows = labelled_sample(docs, labels, label, sample, F.lit(True) if teaches is None else teaches)
-        ordered = rows.select(F.col("text").cast("binary").alias("text"), "label", "place").repartition(1).sortWithinPartitions("place")
-        fitted = ordered.select("text", "label").mapInArrow(_fit, "feature int, weight double").collect()
+        examples = rows.select(F.col("text").cast("binary").alias("text"), "label", "place").mapInArrow(_featured, "features array<int>, label int, place long")
+        ordered = stored(examples).repartition(1).sortWithinPartitions("place", "features")
+        fitted = ordered.select("features", "label").mapInArrow(_fit, "feature int, weight double").collect()
         return cls({r.feature: r.weight for r in fitted})
 
     def score(self, df: DataFrame, text: str = "text", score: str = "score") -> DataFrame:

@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import lm, quality, queries, toxicity
@@ -46,6 +48,60 @@ def test_toxicity_on_held_out_rows(make_docs, labels_of):
     assert 0 < len(model.weights) < 2_000
 
 
+def slow_features(text):
+    """The features of a text, word by word."""
+    mask, hashed = (1 << 64) - 1, lambda part, seed=0: int.from_bytes(xxhash.xxh64_digest(part, seed), "little")
+    odd, top = [int(x) for x in toxicity._ODD], lambda h: (h & ((1 << 64) - 1)) >> (64 - toxicity.HASH_BITS)
+    words = [w.strip(toxicity._EDGES) for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split()]
+    one = [hashed(w) * odd[0] & mask for w in words]
+    out = set()
+    for i, h in enumerate(one):
+        if i + 1 < len(one):
+            pair = (h * odd[1] + one[i + 1]) & mask
+            out.add(top(pair * odd[2]))
+            if i + 2 < len(one):
+                out |= {top((h * odd[2] + one[i + 2]) * odd[3]), top((pair * odd[3] + one[i + 2]) * odd[1])}
+    for k, n in enumerate((None, *toxicity._STEMS)):
+        singles = Counter(top((hashed(w[:n], n) if n else hashed(w)) * odd[k]) for w in words)
+        out |= {f ^ m for f, c in singles.items() for least, m in toxicity._TIMES.items() if c >= least}
+    return out
+
+
+def slow_ftrl(examples):
+    """FTRL-proximal, coordinate by coordinate; the intercept has no L1 penalty."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        penalty = 0.0 if i == toxicity.INTERCEPT else toxicity.L1
+        return 0.0 if abs(z[i]) <= penalty else (math.copysign(penalty, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for features, label in examples:
+            own = {i: weight(i) for i in (*features, toxicity.INTERCEPT)}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(own.values()))))) - label
+            for i, w in own.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w
+                n[i] += g * g
+    return {i: w for i in z if (w := weight(i)) or i == toxicity.INTERCEPT}
+
+
+def test_toxicity_against_a_slow_model(make_docs, labels_of):
+    rows, labels = made(5, 120)
+    rows = [(d, f"{t} Say, \"{t[:40]}\" ({'so ' * (d % 6)})" if d % 7 else "\u00c9 a" * (d % 3)) for d, t in rows]
+    docs, truth = make_docs(rows), {d: t for d, _, t in labels}
+    batch = pa.RecordBatch.from_pydict({"text": [t.encode() for _, t in rows], "label": [0] * len(rows), "place": [d for d, _ in rows]})
+    found = {d: x for part in toxicity._featured(iter([batch])) for d, x in zip(part["place"].to_pylist(), part["features"].to_pylist(), strict=True)}
+    assert {d: set(x) for d, x in found.items()} == {d: slow_features(t) for d, t in rows} and all(len(x) == len(set(x)) for x in found.values())
+    order = {r.doc_id: r.place for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place")).collect()}
+    texts = dict(rows)
+    want = slow_ftrl([(slow_features(texts[d]), truth[d]) for d in sorted((d for d in order if d in truth), key=order.get)])
+    model = toxicity.Model.fit(docs, labels_of(labels))
+    assert model.weights == pytest.approx(want, rel=1e-6, abs=1e-9)
+    for r in model.score(docs).collect():
+        total = want[toxicity.INTERCEPT] + sum(want.get(i, 0.0) for i in slow_features(r.text))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-5)
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_toxicity(spark, sf).collect()
