@@ -8,7 +8,7 @@ from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import is_nested, is_text, quoted, type_category
@@ -20,7 +20,6 @@ from plumbline.sources.tables import Source, Tables
 from plumbline.spec import as_specs
 
 MASKED_SAMPLES = 3
-_KEPT_SAMPLE = 1000      # samples up to this size give the masked values themselves
 
 
 class PIIBlocked(RuntimeError):
@@ -32,7 +31,9 @@ class ScreenConfig:
     """``sample_size`` values per flagged column are tested; None tests all of them.
 
     ``scan_all_text`` also tests text columns whose names say nothing;
-    ``categories`` keeps the findings of some categories.
+    ``categories`` keeps the findings of some categories. Samples follow a hash of the
+    row; ``sample_key`` names, by table, columns that tell its rows apart, and then only
+    these are read and hashed.
     """
 
     enabled: bool = True
@@ -41,6 +42,7 @@ class ScreenConfig:
     categories: tuple[str, ...] = ()
     scan_all_text: bool = False
     seed: int = 42
+    sample_key: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.on_pii_detected not in ("block", "exclude", "synthetic"):
@@ -103,40 +105,49 @@ def _present(df: DataFrame, columns: Iterable[str]) -> dict[str, Column]:
     return {c: known.getField(f"c{i}") for i, c in enumerate(columns)}
 
 
-def _sampled(df: DataFrame, column: str, size: int, seed: int, present: Column) -> DataFrame:
-    """``size`` random non-NULL values.
+def _place(df: DataFrame, seed: int, key: Iterable[str] | None) -> Column:
+    """A number from 0 to 1 by a hash of the row's key, by default of all its plain columns."""
+    names = list(key) if key else [f.name for f in df.schema.fields if not is_nested(f.dataType)]
+    parts = [F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in names]
+    digits = F.substring(F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *parts)), 1, 13)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def _sampled(df: DataFrame, column: str, size: int, seed: int, present: Column, key: Iterable[str] | None = None) -> DataFrame:
+    """``size`` random non-NULL values with their rank: the first in the order of a hash of the row, then of the value,
+    so they do not depend on how the table is split, and a smaller sample is the start of a larger one.
 
     About 20 * size values (at least 1000) pass a filter first, so that thousands
     of tasks do not send size values each to the task that picks among them.
     """
     value = F.col(quoted(column)).cast("string")
     enough = F.lit(float(max(20 * size, 1000))) / present
-    return (
-        df.select(value.alias("value")).where("value IS NOT NULL").withColumn("order", F.rand(seed))
-        .where(F.col("order") < enough).orderBy("order").limit(size)
+    few = (
+        df.select(value.alias("value"), _place(df, seed, key).alias("order")).where("value IS NOT NULL")
+        .where(F.col("order") < enough).orderBy("order", "value").limit(size)
     )
+    return few.withColumn("rank", F.row_number().over(Window.orderBy("order", "value")))    # size rows
+
+
+def _shown() -> Column:
+    """The first MASKED_SAMPLES values by rank; no more are collected."""
+    first = F.when(F.col("rank") <= MASKED_SAMPLES, F.struct("rank", "value"))
+    return F.transform(F.array_sort(F.collect_list(first)), lambda x: x["value"])
 
 
 def _hits(text: Column) -> list[Column]:
     return [count_where(matches(text, p)).alias(p) for p in VALUE_PATTERNS]
 
 
-def sample_hits(df: DataFrame, table: str, columns: Iterable[str], size: int, seed: int) -> DataFrame:
+def sample_hits(df: DataFrame, table: str, columns: Iterable[str], size: int, seed: int, key: Iterable[str] | None = None) -> DataFrame:
     """Pattern hits among sampled values: table, column, sample_count, hits by pattern, samples."""
     columns = list(columns)
     present = _present(df, columns)
-    samples = [
-        _sampled(df, c, size, seed, present[c]).select(F.lit(c).alias("column"), "order", "value") for c in columns
-    ]
-    # At most ``size`` values per column.
-    drawn = F.array_sort(F.collect_list(F.struct("order", "value"))).alias("drawn")
+    samples = [_sampled(df, c, size, seed, present[c], key).withColumn("column", F.lit(c)) for c in columns]
     return (
         reduce(DataFrame.unionByName, samples).groupBy("column")
-        .agg(F.count(F.lit(1)).alias("sample_count"), drawn, *_hits(F.col("value")))
-        .select(
-            F.lit(table).alias("table"), "column", "sample_count", F.array(*VALUE_PATTERNS).alias("hits"),
-            F.transform(F.slice("drawn", 1, MASKED_SAMPLES), lambda d: d["value"]).alias("samples"),
-        )
+        .agg(F.count(F.lit(1)).alias("sample_count"), _shown().alias("samples"), *_hits(F.col("value")))
+        .select(F.lit(table).alias("table"), "column", "sample_count", F.array(*VALUE_PATTERNS).alias("hits"), "samples")
     )
 
 
@@ -163,14 +174,13 @@ def full_hits(df: DataFrame, table: str, columns: Iterable[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def masked_samples(df: DataFrame, table: str, columns: Iterable[str], seed: int) -> DataFrame:
+def masked_samples(df: DataFrame, table: str, columns: Iterable[str], seed: int, key: Iterable[str] | None = None) -> DataFrame:
     """Three values per column, still to be masked by their category."""
     columns = list(columns)
     present = _present(df, columns)
     frames = [
-        _sampled(df, c, MASKED_SAMPLES, seed, present[c]).agg(F.array_sort(F.collect_list(F.struct("order", "value"))).alias("s"))
-        .select(F.lit(table).alias("table"), F.lit(c).alias("column"),
-                F.transform("s", lambda x: x["value"]).alias("samples"))
+        _sampled(df, c, MASKED_SAMPLES, seed, present[c], key)
+        .agg(_shown().alias("samples")).select(F.lit(table).alias("table"), F.lit(c).alias("column"), "samples")
         for c in columns
     ]
     return reduce(DataFrame.unionByName, frames)
@@ -245,12 +255,12 @@ def screen_columns(
         if not chosen:
             continue
         size = config.sample_size
-        if size is not None and size <= _KEPT_SAMPLE:
-            tested.append(sample_hits(df, table, chosen, size, config.seed))
-            continue
-        hits = full_hits(df, table, chosen) if size is None else \
-            sample_hits(df, table, chosen, size, config.seed).drop("samples")
-        tested.append(hits.join(masked_samples(df, table, chosen, config.seed), ["table", "column"]))
+        key = config.sample_key.get(table)
+        if size is not None:
+            tested.append(sample_hits(df, table, chosen, size, config.seed, key))
+        else:
+            shown = masked_samples(df, table, chosen, config.seed, key)
+            tested.append(full_hits(df, table, chosen).join(shown, ["table", "column"]))
     if tested:
         # One row per tested column on the right.
         named = named.join(reduce(DataFrame.unionByName, tested), ["table", "column"], "left")

@@ -86,10 +86,24 @@ def test_values_revise_the_names(spark, people, size):
         assert rows["location"]["detected_via"] == "name_match+regex"
 
 
-def test_large_samples(spark, monkeypatch, people):
-    monkeypatch.setattr(s, "_KEPT_SAMPLE", 10)
-    row = s.screen_columns(spark, {"t": people}, ScreenConfig(sample_size=100)).where("column = 'email'").first()
-    assert (row["status"], row["sample_count"], len(row["masked_samples"])) == ("HIGH", 100, 3)
+def test_samples_do_not_depend_on_layout_or_size(spark, people):
+    shuffled = people.repartition(7).orderBy(F.desc("email")).repartition(3)
+    cut = lambda df: df.select("id", "email", "note")
+    for key, cases in (({}, ((people, 100), (shuffled, 1500))), ({"t": ("id",)}, ((shuffled, 3), (people, None)))):
+        seen = []
+        for df, size in cases:
+            found = s.screen_columns(spark, {"t": cut(df)}, ScreenConfig(sample_size=size, sample_key=key)).where("column = 'email'").first()
+            assert found["sample_count"] == min(400, size or 400) and len(found["masked_samples"]) == 3
+            seen.append(found["masked_samples"])
+        assert seen[0] == seen[1]
+
+
+def test_samples_of_hostile_tables(spark):
+    rows = [(None, "a@x.com", [1])] * 5 + [(None, None, None)] * 3 + [("", "", [])]
+    t = spark.createDataFrame(rows, "`order` string, email string, rank array<int>")
+    (row,) = s.screen_columns(spark, {"t": t}).where("column = 'email'").collect()
+    assert (row["sample_count"], row["match_count"]) == (6, 5)
+    assert s.screen_columns(spark, {"t": t.limit(0)}).where("sample_count > 0").count() == 0
 
 
 def test_equal_hits_keep_the_earlier_pattern(spark):

@@ -206,7 +206,7 @@ def screen_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _findings_sql() -> str:
+def _findings_sql(rows=lambda table, column: table) -> str:
     named = f"SELECT * FROM ({_names_sql(SCREENED)}) n"
     tested = []
     for t in SCREENED:
@@ -216,7 +216,7 @@ def _findings_sql() -> str:
             for place, (p, (_, _, category, pii_type)) in enumerate(VALUE_PATTERNS.items()):
                 tested.append(
                     f"SELECT '{t}' AS table_name, '{c}' AS column_name, {place} AS place, {_quote(category)} AS cat,"
-                    f" {_quote(pii_type)} AS typ, count({c}) AS n, {_hit_sql(p, c)} AS hits FROM {t}"
+                    f" {_quote(pii_type)} AS typ, count({c}) AS n, {_hit_sql(p, c)} AS hits FROM {rows(t, c)}"
                 )
     best = (
         "SELECT *, hits::DOUBLE / n AS share FROM (SELECT *, row_number() OVER (PARTITION BY table_name, column_name"
@@ -294,6 +294,25 @@ def screen_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Columns that tell the rows of a screened table apart.
+SAMPLE_KEYS = {t: (_kinds(t)[0][0],) for t in SCREENED}
+
+
+def screen_sampled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings from 100 values per flagged column, drawn by a hash of the key."""
+    found = screening.screen_columns(spark, _screened(spark, sf_dir), screening.ScreenConfig(sample_key=SAMPLE_KEYS))
+    return found.select(
+        F.col("table").alias("table_name"), F.col("column").alias("column_name"), "status", "category", "pii_type",
+        F.round("confidence", 8).alias("confidence"), "detected_via", "sample_count", "match_count",
+        F.size("masked_samples").alias("n_masked"),
+    )
+
+
+def _sample_sql(table: str, column: str) -> str:
+    place = f"substr(md5(concat_ws(chr(31), '42', coalesce(CAST({SAMPLE_KEYS[table][0]} AS VARCHAR), ''))), 1, 13)"
+    return f"(SELECT {column} FROM {table} WHERE {column} IS NOT NULL ORDER BY {place}, CAST({column} AS VARCHAR) LIMIT 100) s"
+
+
 def screen_extra_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Date rule and card test over the orders and the dirty customers."""
     tables = frames(spark, sf_dir)
@@ -526,6 +545,7 @@ def queries() -> dict[str, Query]:
         "screen_excluded": screen_excluded,
         "screen_categories": screen_categories,
         "screen_sampled": screen_sampled,
+        "screen_sampled_findings": screen_sampled_findings,
         "screen_extra_rules": screen_extra_rules,
         "mask_values": mask_values,
         "mask_documents": mask_documents,
@@ -545,6 +565,7 @@ def oracle_sql() -> dict[str, str]:
         "screen_names": with_views(_names_sql(COLUMNS)),
         "screen_values": _values_sql(),
         "screen_findings": with_views(_findings_sql()),
+        "screen_sampled_findings": with_views(_findings_sql(_sample_sql)),
         "screen_manifest": with_views(_manifest_sql()),
         "screen_gate": with_views(_gate_sql()),
         "screen_excluded": with_views(
