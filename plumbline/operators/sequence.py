@@ -3,8 +3,9 @@
 Comparing each row with the one before it needs sorted rows.  One entity may
 hold a third of them, or there may be no entity at all, and many rows may share
 one position.  Rows of one position are therefore combined first, and the
-positions are cut into buckets of about equal size.  Positions are compared
-inside a bucket of an entity, and the buckets' ends are compared afterwards.
+positions of an entity with many rows are cut into buckets of about equal size.
+Positions are compared inside a bucket of an entity, and the buckets' ends are
+compared afterwards.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from plumbline.plans.measure import Measure, ScanContext, long_rows
 from plumbline.spec import CheckSpec, SpecError
 
 ORDER_BUCKETS = 4096             # at most; a power of two
-ROWS_PER_BUCKET = 20_000_000
+ROWS_PER_BUCKET = 250_000        # sorted in one task, at about 180 bytes each
 _SAMPLED_POSITIONS = 10_000_000
 
 
@@ -46,7 +47,7 @@ def _bounds(positions: DataFrame, rows: Column) -> Column:
 
 
 def _place(df: DataFrame, bounds: Column, rows: Column, rows_per_bucket: int) -> DataFrame:
-    """Add the bucket of each position: as few buckets as the row count needs."""
+    """Add the bucket of each position: as few buckets as the row count needs, and one for an entity that is not large."""
     out = df.withColumn("bounds", bounds).withColumn("place", F.lit(0))
     jump = ORDER_BUCKETS // 2
     while jump:  # binary search for the number of bounds <= pos_number
@@ -55,16 +56,13 @@ def _place(df: DataFrame, bounds: Column, rows: Column, rows_per_bucket: int) ->
         jump //= 2
     joined = F.greatest(F.lit(1.0), F.floor(F.lit(float(ORDER_BUCKETS) * rows_per_bucket) / rows))
     # Rows without a position come first, in a bucket of their own.
-    bucket = F.when(F.col("pos_number").isNull(), F.lit(-1)).otherwise(F.floor(F.col("place") / joined).cast("int"))
+    cut = F.when(F.col("pos_number").isNull(), F.lit(-1)).otherwise(F.floor(F.col("place") / joined).cast("int"))
+    bucket = F.when(F.col("large"), cut).otherwise(F.lit(0))
     return out.withColumn("bucket", bucket).drop("bounds", "place")
 
 
-def backward_steps(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Count rows whose ts lies before that of the row before them.
-
-    ``df`` has the columns entity, ts and pos.  Rows are ordered by pos and then
-    by ts.  Gives one row with n and backward.
-    """
+def positions(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(entity, pos, n, first_ts, last_ts, pos_number, large, bucket): the rows of a position combined, and its bucket."""
     number = _order_number(F.col("pos"), df.schema["pos"].dataType).alias("pos_number")
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar().cast("double")
     bounds = _bounds(df.select(number), rows)
@@ -75,9 +73,22 @@ def backward_steps(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> Dat
         F.when(F.count("ts") == F.count(F.lit(1)), F.min("ts")).alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
+    # Few entities have more rows than a bucket, no more than there are buckets to fill.
+    large = df.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_bucket)
+    large = F.broadcast(large.select(F.col("entity").alias("large_entity"), F.lit(True).alias("large")))
+    sized = per_position.join(large, F.col("entity").eqNullSafe(F.col("large_entity")), "left").drop("large_entity")
+    return _place(sized.select("*", number), bounds, rows, rows_per_bucket)
+
+
+def backward_steps(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Count rows whose ts lies before that of the row before them.
+
+    ``df`` has the columns entity, ts and pos.  Rows are ordered by pos and then
+    by ts.  Gives one row with n and backward.
+    """
     inside = Window.partitionBy("entity", "bucket").orderBy("pos")
     per_bucket = (
-        _place(per_position.select("*", number), bounds, rows, rows_per_bucket)
+        positions(df, rows_per_bucket)
         .withColumn("before", F.lag("last_ts").over(inside))
         .groupBy("entity", "bucket")
         .agg(

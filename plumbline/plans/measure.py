@@ -32,7 +32,7 @@ class ScanContext:
     spark: SparkSession
     tables: Tables
     as_of: datetime
-    rows_per_bucket: int = 20_000_000     # of the sequence check
+    rows_per_bucket: int = 250_000     # of the sequence check
     _types: dict[tuple[str, str], T.DataType] = field(default_factory=dict)
 
     def frame(self, table: str) -> DataFrame:

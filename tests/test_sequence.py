@@ -38,6 +38,18 @@ def test_matches_one_window(spark, rows, monkeypatch, rows_per_bucket, with_enti
     assert want > 0 and got == pytest.approx(want)
 
 
+def test_buckets_are_small_enough_to_sort(spark):
+    """One entity with most rows is cut; small entities, and a missing one, stay whole."""
+    df = spark.range(700_000).selectExpr("CASE WHEN id % 10 > 0 THEN -1L WHEN id % 20 = 0 THEN NULL ELSE id % 97 END AS entity", "id AS ts", "id AS pos")
+    found = sequence.positions(df).groupBy("entity", "bucket").count().collect()
+    assert sequence.ROWS_PER_BUCKET <= 1_000_000 and max(r["count"] for r in found) <= 1.5 * sequence.ROWS_PER_BUCKET
+    assert len([r for r in found if r.entity == -1]) >= 3
+    others = [r.entity for r in found if r.entity != -1]
+    assert len(others) == len(set(others)) > 50 and None in others
+    got = sequence.backward_steps(df.withColumn("ts", -df.ts)).first()
+    assert (got.n, got.backward) == (700_000, 700_000 - len(set(others)) - 1)
+
+
 def test_order_by_time(spark):
     t = spark.sql(
         "SELECT timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS arrived,"
