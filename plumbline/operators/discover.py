@@ -7,7 +7,8 @@ holds it, and the sets of columns that occur are counted.  One shuffle of
 
 Keys: sets of columns without NULLs in which no two rows agree, searched level by level.
 Sketches of the distinct counts, many in one pass, leave out what cannot be
-unique, and what remains is verified exactly, all sets of a level in one grouping.
+unique.  Repeats among the rows of one key in 64 refute most of the rest, all sets of a level in one grouping,
+and what remains is verified exactly over all rows, one set at a time.
 
 Values are compared by two 64-bit hashes.
 """
@@ -31,6 +32,8 @@ _WORD = 64
 _ERROR, _ERRORS = 0.02, 6
 #: Sketches a pass.
 _SKETCHES = 40
+#: Repeats are looked for in one of so many slices of the keys before they are in all.
+_SLICES = 64
 
 
 def _comparable_kind(data_type: T.DataType) -> str | None:
@@ -148,13 +151,26 @@ def unique_sets(df: DataFrame, columns: Sequence[str] | None = None, most: int =
             found = df.agg(*[F.approx_count_distinct(digest(g), _ERROR) for g in part]).first()
             estimates.update(zip(part, found))
 
-    def verified(groups: Sequence[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    def unrefuted(groups: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+        """The sets without repeats among the rows of some keys and among some rows; the latter meet any frequent key."""
         if not groups:
-            return set()
+            return []
         cells = F.array(*[F.struct(F.lit(i).alias("g"), *_digest(*[F.col(quoted(n)) for n in g])) for i, g in enumerate(groups)])
-        counts = df.select(F.explode(cells).alias("cell")).groupBy("cell.g", "cell.h0", "cell.h1").agg(F.count(F.lit(1)).alias("n"))
+        some = df.select(F.explode(cells).alias("cell")).select("cell.*").where((F.pmod("h1", F.lit(_SLICES)) == 0) | (F.rand(7) < 1 / _SLICES))
+        counts = some.groupBy("g", "h0", "h1").agg(F.count(F.lit(1)).alias("n"))
         repeated = {r[0] for r in counts.where("n > 1").select("g").distinct().collect()}
-        return {g for i, g in enumerate(groups) if i not in repeated}
+        return [g for i, g in enumerate(groups) if i not in repeated]
+
+    def verified(group: tuple[str, ...]) -> bool:
+        """Whether no two of all rows agree.  One hash of a row is shuffled, both only for rows that share one."""
+        h0, h1 = _digest(*[F.col(quoted(n)) for n in group])
+        # Hardly a value repeats, so there is nothing to combine in the tasks first.
+        counts = df.select(h0).repartition("h0").groupBy("h0").agg(F.count(F.lit(1)).alias("n"))
+        shared = kept(counts.where("n > 1").select("h0"))
+        if shared.isEmpty():
+            return True
+        again = df.select(h0, h1).join(shared, "h0", "left_semi").groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n"))
+        return again.where("n > 1").isEmpty()
 
     keys: list[tuple[str, ...]] = []
     for size in range(1, most + 1):
@@ -162,7 +178,7 @@ def unique_sets(df: DataFrame, columns: Sequence[str] | None = None, most: int =
         # a set cannot have more different rows than the product of its columns' values
         groups = [g for g in groups if size == 1 or math.prod(estimates[(n,)] * (1 + _ERRORS * _ERROR) + 1 for n in g) >= rows]
         sketch(groups)
-        keys += sorted(verified([g for g in groups if estimates[g] >= lower]))
+        keys += sorted(g for g in unrefuted([g for g in groups if estimates[g] >= lower]) if verified(g))
         if keys and not all_levels:
             break
     return keys
