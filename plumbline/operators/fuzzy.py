@@ -12,6 +12,9 @@ is left of them after up to ``edits`` deletions: values within that distance
 have one such rest in common, and few values share a rest.  No pair is lost, no bucket
 is cut, and what meets is verified with ``levenshtein``.
 
+All joins are by sort and merge: their tables grow with the values, and a table that is small as
+Parquet may be large when the driver unpacks it for a broadcast.
+
 Groups are the connected components of the pairs, found with alternating rounds
 of joins (each node to the least neighbour, smaller and larger neighbours in turn).
 """
@@ -79,7 +82,7 @@ def _meetings(entries: DataFrame) -> DataFrame:
     x = entries.where("indexed").select("key", F.col("value").alias("x"))
     y = entries.where("NOT indexed").select("key", F.col("value").alias("y"), "shorter")
     once = (F.col("shorter") > 0) | (F.col("x") < F.col("y"))
-    return x.join(y, "key").where(once & (F.col("x") != F.col("y"))).select("x", "y")
+    return x.join(y.hint("merge"), "key").where(once & (F.col("x") != F.col("y"))).select("x", "y")
 
 
 def fuzzy_pairs(values: DataFrame, edits: int = 1) -> DataFrame:
@@ -89,9 +92,9 @@ def fuzzy_pairs(values: DataFrame, edits: int = 1) -> DataFrame:
     entries = kept(_entries(values.select("value").where("value IS NOT NULL").distinct(), edits))
     counts = entries.groupBy("key").agg(F.count_if("indexed").alias("x"), F.count_if(~F.col("indexed")).alias("y"))
     crowded = kept(counts.where(F.col("x") * F.col("y") > MEETINGS).select("key"))
-    met = _meetings(entries.join(crowded, "key", "left_anti"))
+    met = _meetings(entries.join(crowded.hint("merge"), "key", "left_anti"))
     if not crowded.isEmpty():
-        met = met.union(_meetings(_rests(entries.join(crowded, "key", "left_semi"), edits)))
+        met = met.union(_meetings(_rests(entries.join(crowded.hint("merge"), "key", "left_semi"), edits)))
     close = met.distinct().withColumn("distance", F.levenshtein("x", "y", edits)).where("distance > 0")
     return close.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "distance")
 
@@ -100,10 +103,10 @@ def _rounds(edges: DataFrame) -> DataFrame:
     """One round over edges (a, b), a > b: larger neighbours to the least neighbour, then smaller ones."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    large = both.where(F.col("b") > F.col("a")).join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     large = kept(large)
     lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(lowest, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    small = large.join(lowest.hint("merge"), "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return kept(small.union(lowest.select("a", F.col("m").alias("b"))).distinct())
 
 
@@ -133,5 +136,5 @@ def fuzzy_groups(df: DataFrame, columns: Sequence[Column], edits: int = 1) -> Da
     values = kept(df.select(normalised(columns).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("rows")))
     pairs = kept(fuzzy_pairs(values, edits))
     groups = connected(pairs.select(F.col("left").alias("a"), F.col("right").alias("b")))
-    named = values.join(groups, values.value == groups.node, "left").select("value", "rows", F.coalesce("group", "value").alias("group"), F.col("node").isNotNull().alias("linked"))
+    named = values.join(groups.hint("merge"), values.value == groups.node, "left").select("value", "rows", F.coalesce("group", "value").alias("group"), F.col("node").isNotNull().alias("linked"))
     return named.where(F.col("linked") | (F.col("rows") > 1)).select("value", "rows", "group")

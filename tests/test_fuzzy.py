@@ -67,6 +67,17 @@ def test_groups_and_the_check(spark):
     assert ("JONES\x1fX", 1) in tuples and ("\x1e\x1fX", 2) in tuples and ("MILLER\x1fX", 1) not in tuples
 
 
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Not even where the tables are small as files."""
+    plans, kept = [], fuzzy.kept
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(fuzzy, "kept", lambda df: plans.append(plan_of(df)) or kept(df))
+    monkeypatch.setattr(fuzzy, "MEETINGS", 4)
+    df = spark.createDataFrame([(v,) for v in values_of(random.Random(1), 40)], "value string")
+    plans.append(plan_of(fuzzy.fuzzy_groups(df, [F.col("value")], 1)))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_long_chains_and_nothing(spark):
     chain = spark.range(200).selectExpr("format_string('%04d', id) AS a", "format_string('%04d', id + 1) AS b")
     assert {r.group for r in fuzzy.connected(chain).collect()} == {"0000"} and fuzzy.connected(chain).count() == 201
