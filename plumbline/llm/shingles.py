@@ -9,6 +9,8 @@ order changes the work, not the result. Sets x and y of a Jaccard similarity of
 not the larger one; these lead in x. So each set enters the former for k = 1 + |x| // PART, and pairs that share
 1 + min(|x|, |y|) // PART shingles that lead in the smaller set and pass the length and positional filters are verified on
 the sets. Form letters, whose common shingles lead in none of them, form no pairs.
+SimHash comes first: nodes of equal SimHash fingerprints, and of fingerprints that `simhash.links` finds near, are verified on
+the sets, and those that pass start the components. Fingerprints alone miss pairs of that similarity, so the join adds what they miss.
 Pairs within one component need no look. Lists of a shingle with more than CROWD nodes are first joined up by stars:
 each node with the least of its share of the list, then these with the least of the list. After that all pairs of a list
 whose ends are in different components are formed. No list is cut and no pair is lost.
@@ -28,7 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm import simhash
+from plumbline.llm.common import stored, temporary
 from plumbline.llm.graph import components
 
 SHINGLE = 5
@@ -88,7 +91,7 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def prefixes(texts: DataFrame, levels: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """(id, dh, node, size, prefix) for each row of texts (id, dh, text as binary)."""
+    """(id, dh, node, size, prefix, fp) for each row of texts (id, dh, text as binary)."""
     shared, kind = texts.sparkSession.sparkContext.broadcast(levels), texts.schema["id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +106,9 @@ def prefixes(texts: DataFrame, levels: np.ndarray, shingle: int = SHINGLE) -> Da
                 parts.append(hashes[order[: n + 1 + (-4 * n) // 5 + n // PART]].view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dh"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["id", "dh", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dh"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists, simhash.fingerprints(batch.column("text"))], ["id", "dh", "node", "size", "prefix", "fp"])
 
-    return texts.mapInArrow(found, f"id {kind}, dh long, node long, size int, prefix array<long>")
+    return texts.mapInArrow(found, f"id {kind}, dh long, node long, size int, prefix array<long>, fp long")
 
 
 def _sets(texts: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -121,6 +124,16 @@ def _sets(texts: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: int)
     return read.select("text").mapInArrow(found, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
+def _fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or linked: the least node of each fingerprint stands for it."""
+    own = stored(prints.groupBy("node").agg(F.min("fp").alias("fp")))
+    least = stored(own.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = own.join(least, "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    x, y = (least.select(F.col("fp").alias(s), F.col("least").alias(f"{s}_node")) for s in "ab")
+    near = simhash.links(least.select("fp")).distinct().join(x, "a").join(y, "b")
+    return equal.union(near.select(F.least("a_node", "b_node"), F.greatest("a_node", "b_node"))).distinct()
+
+
 def _passing(a: str, b: str) -> Column:
     """Length and positional filter of two entries of a shingle."""
     n, m, i, j = F.col(f"{a}.size"), F.col(f"{b}.size"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
@@ -144,10 +157,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     prints = stored(prefixes(texts, shingle_levels(texts, shingle), shingle))
     firsts = stored(prints.groupBy("node").agg(F.min(F.struct("id", "dh")).alias("who")))
     nodes = prints.join(firsts, (prints.node == firsts.node) & F.struct("id", "dh").eqNullSafe(firsts.who), "left_semi").dropDuplicates(["node"])
-    spread = stored(nodes.select("node", "size", F.posexplode("prefix").alias("pos", "word")))
     leads = 9 * (F.col("size") - F.col("pos") + F.floor(F.col("size") / PART)) >= 8 * F.col("size")
-    lists = spread.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max(leads).alias("led")).filter("n > 1 AND led").drop("led")
-    entries = stored(spread.join(lists, "word"))
+    with temporary(docs.sparkSession):  # the entries that meet none go at once
+        spread = stored(nodes.select("node", "size", F.posexplode("prefix").alias("pos", "word")))
+        lists = spread.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max(leads).alias("led")).filter("n > 1 AND led").drop("led")
+        entries = stored(spread.join(lists, "word"), outer=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs)
@@ -158,16 +172,17 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
         return stored(both.filter(9 * shared >= 4 * (F.size("a_hashes") + F.size("b_hashes"))).select("a", "b"))
 
-    found, labels = None, None
+    near = _fingerprint_pairs(prints)
     crowded = entries.filter(F.col("n") > CROWD).withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)))
-    if not crowded.isEmpty():
-        found = verified(_stars(crowded, ["word", "share"]))
-        labels = components(found)
+    some = not crowded.isEmpty()
+    found = verified(near.union(_stars(crowded, ["word", "share"])).distinct() if some else near)
+    labels = components(found)
+    if some:
         labelled = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         heads = labelled.groupBy("word", "label").agg(F.min(F.struct("node", "size", "pos")).alias("e")).select("word", "e.*")
         found = found.union(verified(_stars(stored(heads), ["word"]))).distinct()
         labels = components(found)
-    marked = entries.withColumn("label", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = stored(marked.select("word", "node", "size", "pos", "label"))
     x, y = marked.filter(leads).alias("x"), marked.alias("y")
     smaller = F.struct("x.size", "x.node") < F.struct("y.size", "y.node")
@@ -175,5 +190,5 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     pairs = x.join(y, meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("least"))
     pairs = pairs.groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 1 + F.floor(F.col("least") / PART)).select("a", "b")
     more = verified(pairs)
-    labels = components(more if found is None else found.union(more).distinct())
+    labels = components(found.union(more).distinct())
     return prints.select("id", "dh", "node").join(labels, "node", "left").select("id", "dh", F.coalesce("label", "node").alias("group"))

@@ -71,7 +71,8 @@ def majority_bits(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(texts: pa.Array) -> pa.Array:
+def fingerprints(texts: pa.Array) -> pa.Array:
+    """The fingerprints of texts (binary) as signed numbers."""
     found, parts, ends, size = [], [], [], 0
 
     def flush() -> None:
@@ -92,7 +93,7 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 
 def fingerprint(text: Column) -> Column:
     """The 64-bit fingerprint of a text as a signed number."""
-    return F.arrow_udf(_fingerprints, "long")(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.arrow_udf(fingerprints, "long")(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def as_hex(value: Column) -> Column:

@@ -1,3 +1,4 @@
+import contextlib
 import random
 
 import pytest
@@ -65,3 +66,17 @@ def test_form_letters_form_no_pairs(make_docs, sf, spark, monkeypatch):
     rows = [(k, " ".join([*words[:13], f"name{k}", *words[14:]])) for k in range(300)]
     rows += [(300, " ".join(words)), (301, " ".join([*words, "end"]))]
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), sf).collect()) == list(range(301))
+
+
+def test_fingerprints_come_first(make_docs, sf, spark, monkeypatch):
+    """Near copies of long texts are linked by their SimHash fingerprints; what the sets do not confirm is left alone."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(2000)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "end"])), (2, "other words here"), (3, "x y"), (4, " ".join(["start", *base]))]
+    seen, pairs = [], shingles._fingerprint_pairs
+    monkeypatch.setattr(shingles, "_fingerprint_pairs", lambda prints: seen.append(found := pairs(prints)) or found)
+    kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), sf)
+    monkeypatch.setattr(corpus_pipeline, "temporary", lambda spark: contextlib.nullcontext())
+    again = corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), sf)
+    assert len(seen) == 2 and seen[1].count() >= 1
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in again.collect()) == [0, 2, 3]
