@@ -18,10 +18,10 @@ meet: lines of one template, whose common word leads in none of them, are never
 entries with more than LONG others to meet, are joined on parts of the parity bits: if at most f of 128 bits differ, one of f + 1 parts is equal in both. Where f is
 over 128 / SHORTEST_PART the parts say too little, and blocks of all pairs of the two splits are compared.
 
-It is enough to find one earlier match, so the first round verifies for each set only the partner with the fewest
-flips, found among its LAGS predecessors in a word's list or, if none passes, in the whole list. Sets whose partner
-fails are verified against all that pass, in a second round over the lists of their words only. No pairs within a large group of near copies are formed
-for members whose first partner holds, and no match is lost.
+It is enough to find one earlier match. In a word's list a set meets its LAGS predecessors, and the whole list unless half of
+them pass; the KEPT partners with the fewest flips are verified. Where there may be more, the word is noted, and sets whose partners all
+fail are verified against all that pass, in a second round over the lists of these words only. No pairs within a large group of near
+copies are formed for members whose first partners hold, and no match is lost.
 
 Words are compared by 64-bit hashes. The only broadcasts are the table of word counts (2**COUNT_BITS numbers) and a
 bitmaps of 2**BITMAP_BITS bits that spare most texts and lines the verification; false positives only cost rows.
@@ -44,6 +44,8 @@ from plumbline.llm.common import stored, temporary
 from plumbline.llm.line_tokens import COUNT_BITS, count_words, levels_of, lines_of
 
 LAGS = 8
+#: Partners of an entry that are verified at once.
+KEPT = 4
 #: Entries with more others to meet are compared split by split.
 LONG = 4096
 #: Splits with more pairs are joined on parts of the parity bits, of this many bits at least.
@@ -151,6 +153,7 @@ class _List:
     def __init__(self, columns: list[np.ndarray]) -> None:
         self.columns = columns
         self.word, self.doc, self.odd1, self.odd2, self.size, self.pos, self.open = columns
+        self.more = np.zeros(len(self.word), bool)  # entries with earlier partners that pairs(False) may not have named
 
     def flips(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Differing parity bits of pairs of entries that pass all filters; 255 for the others. Jaccard of at least 0.8
@@ -198,8 +201,21 @@ class _List:
                 if leads and 5 * n >= 4 * m and 5 * m >= 4 * n and n + m >= 9:
                     yield from self._met(of_x, of_y, (n + m) // 9)
 
+    def _fewest(self, x: np.ndarray, y: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of each y with the fewest flips, KEPT at most with different parities of x; notes y that have more."""
+        at = np.lexsort((self.odd2[x], self.odd1[x], flips, y))
+        x, y, flips = x[at], y[at], flips[at]
+        new = np.ones(len(y), bool)
+        new[1:] = (y[1:] != y[:-1]) | (self.odd1[x[1:]] != self.odd1[x[:-1]]) | (self.odd2[x[1:]] != self.odd2[x[:-1]])
+        x, y, flips = x[new], y[new], flips[new]
+        starts = np.flatnonzero(np.r_[True, y[1:] != y[:-1]][: len(y)])
+        rank = np.arange(len(y)) - np.repeat(starts, np.diff(np.r_[starts, len(y)]))
+        self.more[y[rank >= KEPT]] = True
+        return x[rank < KEPT], y[rank < KEPT], flips[rank < KEPT]
+
     def pairs(self, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(x, y, flips) of places: for each y the best earlier x, or with every all that pass for open y."""
+        """(x, y, flips) of places: for each y the best earlier x, noting y that may have others; or with every all that
+        pass for open y."""
         n = len(self.word)
         starts = np.flatnonzero(np.r_[True, self.word[1:] != self.word[:-1]])
         sizes = np.diff(np.r_[starts, n])
@@ -207,28 +223,40 @@ class _List:
         same = np.flatnonzero(np.r_[True, (self.word[1:] != self.word[:-1]) | (self.doc[1:] != self.doc[:-1])])
         last = np.repeat(np.r_[same[1:], n], np.diff(np.r_[same, n]))  # the end of the entries of y's word and document
         todo = np.flatnonzero(self.open & (np.repeat(sizes, sizes) > 1))
-        best, near = np.full(n, -1), np.full(n, 255)
         if not every:
-            for lag in range(1, LAGS + 1):
-                y = todo[todo - lag >= first[todo]]
-                flips = self.flips(y - lag, y)
-                y, flips = y[(better := flips < near[y])], flips[better]
-                best[y], near[y] = y - lag, flips
-            todo = todo[(best[todo] < 0) & ((todo - first[todo] > LAGS) | (last[todo] - todo > 1))]
+            rest = []
+            for part in np.split(todo, range(_MATRIX, len(todo), _MATRIX)):
+                near, passed = [], np.zeros(n, np.int8)
+                for lag in range(1, LAGS + 1):
+                    y = part[part - lag >= first[part]]
+                    flips = self.flips(y - lag, y)
+                    y, flips = y[(good := flips < 255)], flips[good]
+                    passed[y] += 1
+                    near.append((y - lag, y, flips))
+                longer = (part - first[part] > LAGS) | (last[part] - part > 1)
+                crowded = passed[part] >= max(1, LAGS // 2)
+                self.more[part[longer & crowded]] = True
+                rest.append(part[longer & ~crowded])
+                passed[rest[-1]] = 0  # they meet the whole list
+                x, y, flips = map(np.concatenate, zip(*near, strict=True))
+                yield self._fewest(*(column[passed[y] > 0] for column in (x, y, flips)))
+            todo = np.concatenate(rest)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, most = 0, _MATRIX
         for x, y in self._whole(todo, first, last):
             flips = self.flips(x, y)
             at = np.flatnonzero((flips < 255) & (x < last[y]))  # later lines of y's own document are in it
-            x, y, flips = x[at], y[at], flips[at]
             if every:
-                yield x, y, flips
+                yield x[at], y[at], flips[at]
                 continue
-            at = np.lexsort((flips, y))
-            at = at[np.r_[True, y[at][1:] != y[at][:-1]][: len(at)]]
-            at = at[flips[at] < near[y[at]]]
-            best[y[at]], near[y[at]] = x[at], flips[at]
-        if not every:
-            y = np.flatnonzero(best >= 0)
-            yield best[y], y, near[y]
+            held.append((x[at], y[at], flips[at]))
+            size += len(at)
+            if size > most:
+                held = [self._fewest(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                most = 2 * size + _MATRIX
+        if held:
+            yield self._fewest(*map(np.concatenate, zip(*held, strict=True)))
 
     def _whole(self, todo: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(x, y) from the whole lists of entries todo: x of the sizes that can pass, and leading if it is smaller."""
@@ -256,43 +284,47 @@ _BOTH = ("odd1", "odd2")
 
 
 def _entries(lines: DataFrame, failed: DataFrame | None) -> DataFrame:
-    """(word, doc, odd1, odd2, size, pos, open): an entry per prefix word of a line; with failed, of those words only that
-    a failed set has too, and few others, and open only for these sets."""
+    """(word, doc, odd1, odd2, size, pos, open): an entry per prefix word of a line; with failed (key, word), of these words
+    and few others only, and open only for these sets."""
     doc = F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63))).alias("doc")
     indexed = lines.filter(F.size("prefix") > 0)
     if failed is None:
         return indexed.select(doc, *_BOTH, "size", F.posexplode("prefix").alias("pos", "word"), F.lit(True).alias("open"))
-    context, open_sets = lines.sparkSession.sparkContext, _bitmap(failed.select(_number_of(F.col("key")).alias("number")))
     numbered = indexed.select(doc, *_BOTH, F.col("size").cast("long").alias("size"), _number_of(F.col("key")).alias("number"), "prefix")
+    # The low bits of a word are bits of its hash.
+    shared = lines.sparkSession.sparkContext.broadcast((_bitmap(failed.select(_number_of(F.col("key")).alias("number"))), _bitmap(failed.select("word"))))
 
-    def chosen(batch: pa.RecordBatch, sets: np.ndarray, words: np.ndarray | None) -> pa.RecordBatch:
+    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets, words = shared.value
         column = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
         prefix, sizes = batch.column(5), np.diff(batch.column(5).offsets.to_numpy())
         word, of = prefix.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), sizes)
         pos, is_open = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes), _held(sets, column(4))
-        take = is_open[of] if words is None else _held(words, word)  # the low bits of a word are bits of its hash
+        take = _held(words, word)
         at = of[take]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (word[take], *(column(k)[at] for k in range(4)), pos[take], is_open[at])], names)
 
     names = ["word", "doc", *_BOTH, "size", "pos", "open"]
-    kind = "word long, doc long, odd1 long, odd2 long, size long, pos long, open boolean"
-    first = context.broadcast((open_sets, None))
-    open_words = numbered.mapInArrow(lambda batches: (chosen(b, *first.value) for b in batches), kind).select("word").distinct()
-    second = context.broadcast((open_sets, _bitmap(open_words)))
-    return numbered.mapInArrow(lambda batches: (chosen(b, *second.value) for b in batches), kind)
+    return numbered.mapInArrow(lambda batches: map(chosen, batches), "word long, doc long, odd1 long, odd2 long, size long, pos long, open boolean")
 
 
 def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Pairs (x1, x2, y1, y2, flips) of different parities of sets that pass the filters, x not in a later document than
-    y: for each y and word the best partner or all; with failed (odd1, odd2) all, and for these y only."""
+    """Pairs (x1, x2, y1, y2, more) of different parities of sets that pass the filters, x not in a later document than
+    y: for each y and word the best partners, and in more the word if there may be others; with failed (key, word) all for these y and words."""
     entries = _entries(lines, failed)
-    together = entries.select("word", "doc", *_BOTH, "size", "pos", "open").repartition("word").sortWithinPartitions("word", "doc")
+    # Rows of five numbers, sorted by one of them here and by document in the tasks, where the entries of a word are together.
+    packed = F.expr("shiftleft(cast(size AS long), 32) | shiftleft(cast(pos AS long), 1) | cast(open AS long)")
+    together = entries.select("word", "doc", *_BOTH, packed.alias("packed")).repartition("word").sortWithinPartitions("word")
     every = failed is not None
 
     def rows(columns: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        found = _List([np.concatenate(parts) for parts in zip(*columns, strict=True)])
-        for x, y, flips in found.pairs(every):
-            yield pa.RecordBatch.from_arrays([*(pa.array(odd[at]) for at in (x, y) for odd in (found.odd1, found.odd2)), pa.array(flips)], ["x1", "x2", "y1", "y2", "flips"])
+        word, doc, odd1, odd2, packed = (np.concatenate(parts) for parts in zip(*columns, strict=True))
+        at = np.lexsort((doc, word))
+        packed = packed[at]
+        found = _List([word[at], doc[at], odd1[at], odd2[at], packed >> 32, (packed & 0xFFFFFFFF) >> 1, (packed & 1).astype(bool)])
+        for x, y, _ in found.pairs(every):
+            more = pa.array(found.word[y], mask=~found.more[y])
+            yield pa.RecordBatch.from_arrays([*(pa.array(odd[side]) for side in (x, y) for odd in (found.odd1, found.odd2)), more], ["x1", "x2", "y1", "y2", "more"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -300,7 +332,7 @@ def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy(zero_copy_only=False).astype(bool if k == 6 else np.int64) for k, c in enumerate(batch.columns)]
+            columns = [c.to_numpy() for c in batch.columns]
             at = int(np.searchsorted(columns[0], columns[0][-1]))  # the last word may go on
             if size >= _TOGETHER and (at or columns[0][0] != held[-1][0][-1]):
                 yield from rows([*held, [c[:at] for c in columns]])
@@ -310,7 +342,7 @@ def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
         if held:
             yield from rows(held)
 
-    return together.mapInArrow(compared, "x1 long, x2 long, y1 long, y2 long, flips long")
+    return together.mapInArrow(compared, "x1 long, x2 long, y1 long, y2 long, more long")
 
 
 def _bitmap(numbers: DataFrame) -> np.ndarray:
@@ -372,24 +404,24 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     lines = stored(line_sets(texts, levels))
     place = F.struct("doc", "dh", "line")
     firsts = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in _BOTH)))
-    best = F.min_by(F.struct("x1", "x2"), F.struct("flips", "x1", "x2")).alias("x")
     # Sets that share all parity bits meet here; most parities stand for one set.
     shared = firsts.groupBy(*_BOTH).agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
     twins = shared.select(*(F.col(f"odd{k}").alias(f"{s}{k}") for s in "xy" for k in (1, 2)))
-    pairs = stored(candidates(lines).groupBy("y1", "y2").agg(best).select("x.x1", "x.x2", "y1", "y2").union(twins))
-    flagged = None
-    for last in (False, True):
+
+    def matched(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("x1").alias("odd1"), F.col("x2").alias("odd2")).union(pairs.select("y1", "y2")).distinct()
-        now = stored(_verified(pairs, stored(_sets(texts, levels, stored(firsts.join(ids, [*_BOTH]).select(*_BOTH, "key", "first"))))))
-        flagged = now if flagged is None else flagged.union(now)
-        if last:
-            break
-        # A pair of parities can stand for several sets; those of them that found no match stay open.
-        tried = firsts.join(pairs.select(F.col("y1").alias("odd1"), F.col("y2").alias("odd2")), [*_BOTH], "left_semi")
-        failed = stored(tried.join(now.select("key"), "key", "left_anti").select("key"))
-        pairs = stored(candidates(lines, failed).select("x1", "x2", "y1", "y2").distinct().join(pairs, ["x1", "x2", "y1", "y2"], "left_anti"))
-        if pairs.isEmpty():
-            break
+        return stored(_verified(pairs, stored(_sets(texts, levels, stored(firsts.join(ids, [*_BOTH]).select(*_BOTH, "key", "first"))))))
+
+    both = ["x1", "x2", "y1", "y2"]
+    met = stored(candidates(lines))
+    pairs = stored(met.select(*both).distinct().union(twins))
+    flagged = matched(pairs)
+    # A pair of parities can stand for several sets; those of them that found no match stay open.
+    more = met.filter("more IS NOT NULL").select(F.col("y1").alias("odd1"), F.col("y2").alias("odd2"), F.col("more").alias("word")).distinct()
+    failed = stored(firsts.join(more, [*_BOTH]).join(flagged.select("key"), "key", "left_anti").select("key", "word"))
+    if not failed.isEmpty():
+        others = stored(candidates(lines, failed).select(*both).distinct().join(pairs, both, "left_anti"))
+        flagged = flagged if others.isEmpty() else flagged.union(matched(others))
     marked = firsts.join(flagged.select("key", F.lit(True).alias("near")).distinct(), "key", "left").filter("n > 1 OR near")
     marked = stored(marked.select("key", "first", F.coalesce("near", F.lit(False)).alias("near")))
     gone = lines.select("key", "doc", "dh", "line").join(marked, "key").filter(F.col("near") | ~place.eqNullSafe(F.col("first")))

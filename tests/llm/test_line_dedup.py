@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,3 +160,39 @@ def test_long_lists_of_many_batches(make_docs):
     rng = random.Random(5)
     rows = [(k, f"user{k} posted this on monday\nreport total sum " + " ".join(str(rng.randrange(40)) for _ in range(9))) for k in range(700)]
     check(make_docs(rows))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_first_round_names_all_partners_or_says_that_there_are_more(monkeypatch, seed):
+    """Only entries of crowded lists are met again if their partners fail."""
+    monkeypatch.setattr(line_dedup, "_MATRIX", 70)
+    rng = random.Random(seed)
+    templates = [rng.sample(range(60 * t, 60 * t + 50), rng.randint(20, 45)) for t in range(30)]
+    sets = []
+    for _ in range(200):
+        words = list(rng.choice(templates))
+        for _ in range(rng.randint(0, len(words) // 6)):
+            words[rng.randrange(len(words))] = rng.randrange(2000)
+        sets.append(frozenset(words))
+    sets = list(dict.fromkeys(sets))
+    found, _ = entries_of(sets, seed)
+    odd = list(zip(found.odd1.tolist(), found.odd2.tolist(), strict=True))
+    pairs = lambda every: {(odd[x], y) for xs, ys, _ in found.pairs(every) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)}
+    named, full = pairs(False), pairs(True)
+    assert named <= full and max(Counter(y for _, y in named).values()) == line_dedup.KEPT
+    assert {(x, y) for x, y in full if not found.more[y]} <= named
+    partners = Counter(y for _, y in full)
+    assert sum(1 < partners[y] <= line_dedup.KEPT and not found.more[y] for y in partners) > 30
+    assert any(found.more) and not any(found.more[y] for y in range(len(odd)) if not partners[y])
+
+
+def test_sets_whose_best_partner_fails_are_not_read_again(make_docs, monkeypatch):
+    """Lines that share 53 of 60 words just fail; some of their parities pass. All partners are verified in the first round."""
+    own = [[f"v{k}x{j}" for j in range(7)] for k in range(5)]
+    near = [" ".join([f"w{j}" for j in range(53)] + words) for words in own]
+    often = "\n".join(word for words in own for word in words for _ in range(30))  # the shared words are rarer
+    rows = [*enumerate(near), (9, near[1].replace("v1x1", "other")), (10, often)]
+    rounds = []
+    monkeypatch.setattr(line_dedup, "candidates", lambda lines, failed=None, was=line_dedup.candidates: rounds.append(failed) or was(lines, failed))
+    check(make_docs(rows))
+    assert rounds == [None]
