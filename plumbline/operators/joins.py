@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
@@ -108,6 +109,18 @@ def join_coverage_ratio(spec: CheckSpec, ctx: ScanContext) -> Measure:
 # Counts whose products are summed: doubles would lose single pairs beyond 2**53.
 _COUNT = "decimal(18,0)"
 
+# A task holds its cells in a hash table.  With fewer shuffle partitions than this, keys are counted in slices.
+CELL_PARTITIONS = 48
+
+# xxhash64 of one value of these types is one-to-one, and a number takes less room than its text.
+_ONE_TO_ONE = (
+    T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType,
+)
+
+
+def _slices(ctx: ScanContext) -> int:
+    return -(-CELL_PARTITIONS // max(1, int(ctx.spark.conf.get("spark.sql.shuffle.partitions"))))
+
 
 def agreement_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
     """Share of joined pairs whose values differ, without forming the pairs.
@@ -118,42 +131,56 @@ def agreement_pass(ctx: ScanContext, key: tuple, measures) -> DataFrame:
     of columns of two tables under one key share the pass: a row gives a cell per pair.
     """
     left, right, join_key = key
-    l_key, r_key = _comparable(
-        ctx.col(left, join_key), ctx.type_of(left, join_key),
-        ctx.col(right, join_key), ctx.type_of(right, join_key),
-    )
+    l_type, r_type = ctx.type_of(left, join_key), ctx.type_of(right, join_key)
+    l_key, r_key = _comparable(ctx.col(left, join_key), l_type, ctx.col(right, join_key), r_type)
     columns = list(dict.fromkeys(m.payload for m in measures))
+    types = [(ctx.type_of(left, lc), ctx.type_of(right, rc)) for lc, rc in columns]
     values = [
-        _comparable(ctx.col(left, lc), ctx.type_of(left, lc), ctx.col(right, rc), ctx.type_of(right, rc))
-        for lc, rc in columns
+        _comparable(ctx.col(left, lc), l, ctx.col(right, rc), r) for (lc, rc), (l, r) in zip(columns, types)
     ]
+    # Both values of a pair have one type, so equal values have equal text.
+    plain = _number if all(l == r and isinstance(l, _ONE_TO_ONE) for l, r in types) else _plain_text
+    several, slices = len(values) > 1, _slices(ctx)
+    per = ["key", "pair"] if several else ["key"]
 
     def side(table: str, k: Column, of_side: int) -> DataFrame:
-        # Both values of a pair have one type, so equal values have equal text.
-        cells = [F.struct(F.lit(i).alias("pair"), _plain_text(v[of_side]).alias("value")) for i, v in enumerate(values)]
+        cells = [F.struct(F.lit(i).alias("pair"), plain(v[of_side]).alias("value")) for i, v in enumerate(values)]
+        cell = [F.inline(F.array(*cells))] if several else [plain(values[0][of_side]).alias("value")]
         return ctx.frame(table).select(
-            k.alias("key"), F.lit(1 - of_side).alias("on_left"), F.lit(of_side).alias("on_right"), F.inline(F.array(*cells)),
+            k.alias("key"), F.lit(1 - of_side).alias("on_left"), F.lit(of_side).alias("on_right"), *cell,
         ).where(F.col("key").isNotNull())
 
-    per_value = (
-        side(left, l_key, 0).unionByName(side(right, r_key, 1))
-        .groupBy("key", "pair", "value")
-        .agg(F.sum("on_left").cast(_COUNT).alias("l"), F.sum("on_right").cast(_COUNT).alias("r"))
-    )
     present = F.col("value").isNotNull()
-    per_key = per_value.groupBy("key", "pair").agg(
-        (F.sum("l") * F.sum("r")).alias("joined"),
-        (_sum_if(present, F.col("l")) * _sum_if(present, F.col("r"))
-         - _sum_if(present, F.col("l") * F.col("r"))).alias("differing"),
-    )
-    of = lambda name, i: F.sum(F.when(F.col("pair") == i, F.col(name)))
-    wide = per_key.agg(*[
-        share(of("differing", columns.index(m.payload)), of("joined", columns.index(m.payload))).alias(f"m{m.seq}")
-        for m in measures
+    of = lambda name, i: F.sum(F.when(F.col("pair") == i, F.col(name)) if several else F.col(name))
+
+    # Under each other the keys have one type, so equal keys are in one slice.
+    both = side(left, l_key, 0).unionByName(side(right, r_key, 1))
+
+    def counted(number: int) -> DataFrame:
+        rows = both if slices == 1 else both.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == number)
+        per_value = (
+            rows.groupBy(*per, "value")
+            .agg(F.sum("on_left").cast(_COUNT).alias("l"), F.sum("on_right").cast(_COUNT).alias("r"))
+        )
+        per_key = per_value.groupBy(*per).agg(
+            (F.sum("l") * F.sum("r")).alias("joined"),
+            (_sum_if(present, F.col("l")) * _sum_if(present, F.col("r"))
+             - _sum_if(present, F.col("l") * F.col("r"))).alias("differing"),
+        )
+        return per_key.agg(*[of(name, i).alias(f"{name}{i}") for i in range(len(columns)) for name in ("differing", "joined")])
+
+    wide = reduce(DataFrame.unionByName, map(counted, range(slices))).agg(*[
+        share(F.sum(f"differing{i}"), F.sum(f"joined{i}")).alias(f"m{m.seq}")
+        for m in measures for i in [columns.index(m.payload)]
     ])
     return long_rows(wide, [m.seq for m in measures])
 
 
+def _number(value: Column) -> Column:
+    """A number that stands for the value: -0.0 and 0.0 are one, and so are all NaN."""
+    return F.when(value.isNotNull(), F.xxhash64(value))
+
+
 def _plain_text(value: Column) -> Column:
     text = value.cast("string")
     return F.when(text == "-0.0", F.lit("0.0")).otherwise(text)

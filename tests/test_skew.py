@@ -70,3 +70,26 @@ def test_keys_of_different_types(spark):
     specs = [CheckSpec(18, table="days", column=c, parent_table="times", parent_column=c) for c in ("d", "t", "i", "c")]
     got = scan(spark, specs, tables).checks.orderBy("seq").collect()
     assert [(r["metric_value"], r["error"]) for r in got] == [(0.75, None), (0.0, None), (0.0, None), (0.0, None)]
+
+
+def test_cells_are_counted_in_slices(spark):
+    """Few shuffle partitions: keys are dealt to more tasks, and numbers are not kept as text."""
+    odd = "nullif(id % 7, 3)", "CASE id % 5 WHEN 0 THEN -0.0D WHEN 1 THEN 0.0D WHEN 2 THEN double('nan') ELSE id % 9 + 0.5D END"
+    left = spark.range(300).selectExpr(f"{odd[0]} AS i", f"{odd[1]} AS k", f"{odd[1]} AS v", "cast(id % 4 AS string) AS t")
+    right = spark.range(100).selectExpr(f"{odd[0]} AS i", f"-({odd[1]}) AS k", f"-({odd[1]}) AS v", "cast(id % 3 AS string) AS t")
+    left.createOrReplaceTempView("odd_left")
+    right.createOrReplaceTempView("odd_right")
+    pairs = [("i", "v"), ("k", "v"), ("k", "t"), ("k", "i"), ("i", "t")]
+    specs = [CheckSpec(14, source_table="l", reference_table="r", column=v, extra={"join_key": k}) for k, v in pairs]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        one = scan(spark, specs[:1], {"l": left, "r": right}).plan.passes[0][0]
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("xxhash64(v") == 2 * plan.count("sum(on_left") == 8 and "as string" not in plan
+        got = scan(spark, specs, {"l": left, "r": right}).checks.orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for row, (k, v) in zip(got, pairs):
+        want = spark.sql(f"SELECT count_if(l.{v} <> r.{v}) / count(*) FROM odd_left l JOIN odd_right r ON l.{k} = r.{k}").first()[0]
+        assert row["metric_value"] == pytest.approx(float(want), rel=1e-12), (k, v)
