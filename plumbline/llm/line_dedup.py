@@ -54,8 +54,13 @@ SHORTEST_PART = 12
 #: Pairs that are compared at once, and entries that are.
 _MATRIX = 1 << 21
 _TOGETHER = 1 << 16
+#: Rows of a task's word counts.
+_COUNT_PARTS = 256
 #: Sets that a task remembers to have met.
 _MET = 1 << 20
+#: Words are dealt to this many parts, a power of two, and so many entries of a part at most are one row.
+PARTS = 1 << 12
+BLOCK = 1 << 10
 BITMAP_BITS = 24
 #: Sets with fewer words match none but equal sets.
 LEAST = 4
@@ -69,25 +74,42 @@ def word_levels(texts: DataFrame) -> np.ndarray:
     """Rarity by the leading bits of a word's hash, from counts over all texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        counts = np.zeros((_COUNT_PARTS, (1 << COUNT_BITS) // _COUNT_PARTS), np.int64)
         for batch in batches:
-            count_words(_texts(batch), counts)
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], ["bucket", "n"])
+            count_words(_texts(batch), counts.reshape(-1))
+        yield rows(dict(enumerate(counts)))
 
-    summed = texts.select("text").mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    counts[summed["bucket"].to_numpy()] = summed["n"].to_numpy()
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
+        yield rows(sums)
+
+    def rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([c.tobytes() for c in parts.values()], pa.binary())], ["part", "counts"])
+
+    # Many counts are one row, so that summing up the tasks' counts costs few rows.
+    kind = "part int, counts binary"
+    summed = texts.select("text").mapInArrow(counted, kind).repartition("part").mapInArrow(added, kind).toArrow()
+    counts = np.zeros((_COUNT_PARTS, (1 << COUNT_BITS) // _COUNT_PARTS), np.int64)
+    for part, held in zip(summed["part"].to_pylist(), summed["counts"].to_pylist(), strict=True):
+        counts[part] = np.frombuffer(held, np.int64)
+    counts = counts.reshape(-1)
     return levels_of(counts)
 
 
-def _keys(lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per line: a 128-bit digest of its set, and 128 parity bits in two numbers."""
+def _keys(lines) -> np.ndarray:
+    """Per line: a 128-bit digest of its set."""
     data, at, size = lines.hashes.tobytes(), lines.start, lines.size
-    digests = b"".join(xxhash.xxh3_128_digest(data[8 * a : 8 * (a + n)]) for a, n in zip(at.tolist(), size.tolist(), strict=True))
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[8 * a : 8 * (a + n)]) for a, n in zip(at.tolist(), size.tolist(), strict=True)), "S16")
+
+
+def _parities(lines) -> tuple[np.ndarray, ...]:
+    """Per line: 128 parity bits of its set in two numbers."""
+    at = lines.start
     bit, low = np.uint64(1) << (lines.hashes & np.uint64(63)), (lines.hashes >> np.uint64(6)) & np.uint64(1) > 0
-    odd = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), at).view(np.int64) for side in (low, ~low))
-    return np.frombuffer(digests, "S16"), *odd
+    return tuple(np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), at).view(np.int64) for side in (low, ~low))
 
 
 def _binary(keys: np.ndarray) -> pa.Array:
@@ -99,9 +121,15 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
+def _words(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Numbers as binary values, sizes[k] of them in value k."""
+    ends = 8 * np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
 def line_sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     """(doc, dh, line, key, odd1, odd2, size, prefix) for each line with words; texts has doc, dh and text (binary).
-    The prefix is empty where the task has met the set before, in no later document."""
+    The prefix, eight bytes a word, is empty where the task has met the set before, in no later document."""
     shared, kind = texts.sparkSession.sparkContext.broadcast(levels), texts.schema["doc"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +137,7 @@ def line_sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
         for batch in batches:
             docs = batch.column("doc").cast(pa.int64()).fill_null(-(1 << 63)).to_pylist()
             for lines in lines_of(_texts(batch), shared.value):
-                keys, odd1, odd2 = _keys(lines)
+                keys, (odd1, odd2) = _keys(lines), _parities(lines)
                 size, new = lines.size, np.zeros(len(keys), bool)
                 if len(met) > _MET:
                     met.clear()
@@ -121,10 +149,10 @@ def line_sets(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                 at = pa.array(lines.text)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").take(at), batch.column("dh").take(at), pa.array(lines.line.astype(np.int32)), _binary(keys), pa.array(odd1), pa.array(odd2),
-                     pa.array(size.astype(np.int32)), _lists(lines.order[inside], reach)],
+                     pa.array(size.astype(np.int32)), _words(lines.order[inside], reach)],
                     ["doc", "dh", "line", "key", "odd1", "odd2", "size", "prefix"])
 
-    return texts.mapInArrow(found, f"doc {kind}, dh long, line int, key binary, odd1 long, odd2 long, size int, prefix array<long>")
+    return texts.mapInArrow(found, f"doc {kind}, dh long, line int, key binary, odd1 long, odd2 long, size int, prefix binary")
 
 
 def _part(odd1: np.ndarray, odd2: np.ndarray, begin: int, end: int) -> np.ndarray:
@@ -153,17 +181,18 @@ class _List:
     def __init__(self, columns: list[np.ndarray]) -> None:
         self.columns = columns
         self.word, self.doc, self.odd1, self.odd2, self.size, self.pos, self.open = columns
+        self.size, self.pos = self.size.astype(np.int32), self.pos.astype(np.int32)
         self.more = np.zeros(len(self.word), bool)  # entries with earlier partners that pairs(False) may not have named
 
     def flips(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Differing parity bits of pairs of entries that pass all filters; 255 for the others. Jaccard of at least 0.8
         is an overlap of at least 4/9 of both sizes, and different sets of one size do not overlap wholly. Entries of
         one document pass in either order."""
-        out, n, m = np.full(len(x), 255), self.size[x], self.size[y]
+        out, n, m = np.full(len(x), 255, np.uint8), self.size[x], self.size[y]
         both, rest = n + m, np.minimum(n - self.pos[x], m - self.pos[y])
         kept = np.flatnonzero(9 * (rest - (rest == np.maximum(n, m))) >= 4 * both)  # most pairs end here
         x, y, both = x[kept], y[kept], both[kept]
-        flips = sum(np.bitwise_count((odd[x] ^ odd[y]).view(np.uint64)).astype(np.int64) for odd in (self.odd1, self.odd2))
+        flips = sum(np.bitwise_count((odd[x] ^ odd[y]).view(np.uint64)).astype(np.int32) for odd in (self.odd1, self.odd2))
         good = (both >= 9 * flips) & (flips > 0)
         out[kept[good]] = flips[good]
         return out
@@ -284,41 +313,73 @@ _BOTH = ("odd1", "odd2")
 
 
 def _entries(lines: DataFrame, failed: DataFrame | None) -> DataFrame:
-    """(word, doc, odd1, odd2, size, pos, open): an entry per prefix word of a line; with failed (key, word), of these words
-    and few others only, and open only for these sets."""
+    """(part, entries): words are dealt to parts, and many entries of a part are one row, see _dealt. An entry is word, doc, odd1, odd2, and size, pos
+    and open in one number; there is one per prefix word of a line. With failed (key, word), of these words and few others only, and open only for
+    these sets."""
     doc = F.coalesce(F.col("doc").cast("long"), F.lit(-(1 << 63))).alias("doc")
-    indexed = lines.filter(F.size("prefix") > 0)
-    if failed is None:
-        return indexed.select(doc, *_BOTH, "size", F.posexplode("prefix").alias("pos", "word"), F.lit(True).alias("open"))
-    numbered = indexed.select(doc, *_BOTH, F.col("size").cast("long").alias("size"), _number_of(F.col("key")).alias("number"), "prefix")
-    # The low bits of a word are bits of its hash.
-    shared = lines.sparkSession.sparkContext.broadcast((_bitmap(failed.select(_number_of(F.col("key")).alias("number"))), _bitmap(failed.select("word"))))
-
-    def chosen(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets, words = shared.value
-        column = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
-        prefix, sizes = batch.column(5), np.diff(batch.column(5).offsets.to_numpy())
-        word, of = prefix.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), sizes)
-        pos, is_open = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes), _held(sets, column(4))
-        take = _held(words, word)
-        at = of[take]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (word[take], *(column(k)[at] for k in range(4)), pos[take], is_open[at])], names)
-
-    names = ["word", "doc", *_BOTH, "size", "pos", "open"]
-    return numbered.mapInArrow(lambda batches: map(chosen, batches), "word long, doc long, odd1 long, odd2 long, size long, pos long, open boolean")
+    indexed = lines.filter(F.length("prefix") > 0).select(doc, *_BOTH, F.col("size").cast("long").alias("size"), "key", "prefix")
+    shared = None
+    if failed is not None:
+        shared = lines.sparkSession.sparkContext.broadcast((_bitmap(failed.select(_number_of(F.col("key")).alias("number"))), _bitmap(failed.select("word"))))
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        doc, odd1, odd2, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        ends, word = _content(batch.column("prefix"))
+        reach = np.diff(ends) // 8
+        line, place = np.repeat(np.arange(len(reach)), reach), np.arange(len(word)) - np.repeat(ends[:-1] // 8, reach)
+        is_open = np.ones(len(reach), np.int64)
+        if shared is not None:
+            sets, words = shared.value
+            is_open = _held(sets, _numbers(_content(batch.column("key"))[1])).astype(np.int64)
+            take = np.flatnonzero(_held(words, word))  # the low bits of a word are bits of its hash
+            word, line, place = word[take], line[take], place[take]
+        return np.stack([word, doc[line], odd1[line], odd2[line], size[line] << 32 | place << 1 | is_open[line]])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                held.append(of(batch.slice(at, 1000)))
+                if sum(part.shape[1] for part in held) >= _TOGETHER << 3:
+                    yield _dealt(np.concatenate(held, axis=1))
+                    held = []
+        if held:
+            yield _dealt(np.concatenate(held, axis=1))
+
+    return indexed.mapInArrow(dealt, "part int, entries binary")
+
+
+def _content(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Binary values of whole numbers: where they end, from 0, and the numbers of all."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    content = values.buffers()[2]
+    return ends - ends[0], np.frombuffer(content[ends[0] : ends[-1]] if content else b"", np.int64)
+
+
+def _dealt(entries: np.ndarray) -> pa.RecordBatch:
+    """Entries (five rows of numbers) by parts, which are bits of their words, BLOCK at most in a row: column after column."""
+    part = (entries[0] & (PARTS - 1)).astype(np.uint16)
+    entries, counts = entries[:, np.argsort(part, kind="stable")], np.bincount(part, minlength=PARTS)
+    pieces = -(-counts // BLOCK)
+    of = np.repeat(np.arange(PARTS), pieces)
+    start = (np.cumsum(counts) - counts)[of] + BLOCK * (np.arange(len(of)) - (np.cumsum(pieces) - pieces)[of])
+    size = np.diff(np.r_[start, entries.shape[1]])
+    place, step = np.arange(entries.shape[1]) + np.repeat(4 * start, size), np.repeat(size, size)
+    out = np.empty(entries.size, np.int64)
+    for k, column in enumerate(entries):
+        out[place + k * step] = column
+    ends = pa.py_buffer(np.r_[40 * start, out.nbytes].astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(of), [None, ends, pa.py_buffer(out)])], ["part", "entries"])
 
 
 def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Pairs (x1, x2, y1, y2, more) of different parities of sets that pass the filters, x not in a later document than
     y: for each y and word the best partners, and in more the word if there may be others; with failed (key, word) all for these y and words."""
-    entries = _entries(lines, failed)
-    # Rows of five numbers, sorted by one of them here and by document in the tasks, where the entries of a word are together.
-    packed = F.expr("shiftleft(cast(size AS long), 32) | shiftleft(cast(pos AS long), 1) | cast(open AS long)")
-    together = entries.select("word", "doc", *_BOTH, packed.alias("packed")).repartition("word").sortWithinPartitions("word")
+    together = _entries(lines, failed).repartition("part").sortWithinPartitions("part")
     every = failed is not None
 
-    def rows(columns: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        word, doc, odd1, odd2, packed = (np.concatenate(parts) for parts in zip(*columns, strict=True))
+    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        word, doc, odd1, odd2, packed = np.concatenate(held, axis=1)
         at = np.lexsort((doc, word))
         packed = packed[at]
         found = _List([word[at], doc[at], odd1[at], odd2[at], packed >> 32, (packed & 0xFFFFFFFF) >> 1, (packed & 1).astype(bool)])
@@ -327,18 +388,16 @@ def candidates(lines: DataFrame, failed: DataFrame | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(odd[side]) for side in (x, y) for odd in (found.odd1, found.odd2)), more], ["x1", "x2", "y1", "y2", "more"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
+        held: list[np.ndarray] = []
+        size, last = 0, -1
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy() for c in batch.columns]
-            at = int(np.searchsorted(columns[0], columns[0][-1]))  # the last word may go on
-            if size >= _TOGETHER and (at or columns[0][0] != held[-1][0][-1]):
-                yield from rows([*held, [c[:at] for c in columns]])
-                held, size, columns = [], 0, [c[at:] for c in columns]
-            held.append(columns)
-            size += len(columns[0])
+            for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries"), strict=True):
+                if part != last and size >= _TOGETHER:
+                    yield from rows(held)
+                    held, size = [], 0
+                last = part
+                held.append(np.frombuffer(entries.as_py(), np.int64).reshape(5, -1))
+                size += held[-1].shape[1]
         if held:
             yield from rows(held)
 
@@ -364,6 +423,11 @@ def _number_of(key: Column) -> Column:
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
 
 
+def _numbers(keys: bytes) -> np.ndarray:
+    """The same of many digests."""
+    return np.frombuffer(keys, ">i8")[::2].astype(np.int64)
+
+
 def _sets(texts: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
     """(odd1, odd2, key, first, words) of wanted sets (odd1, odd2, key, first); their words are read again where they
     first occur."""
@@ -375,8 +439,8 @@ def _sets(texts: DataFrame, levels: np.ndarray, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(_held(texts_held, batch.column("dh").to_numpy())))
             for lines in lines_of(_texts(batch), levels):
-                keys, *_ = _keys(lines)
-                take = _held(sets_held, np.frombuffer(keys.tobytes(), ">i8")[::2].astype(np.int64))
+                keys = _keys(lines)
+                take = _held(sets_held, _numbers(keys.tobytes()))
                 at = pa.array(lines.text[take])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").take(at), batch.column("dh").take(at), pa.array(lines.line[take].astype(np.int32)), _binary(keys[take]),

@@ -196,3 +196,30 @@ def test_sets_whose_best_partner_fails_are_not_read_again(make_docs, monkeypatch
     monkeypatch.setattr(line_dedup, "candidates", lambda lines, failed=None, was=line_dedup.candidates: rounds.append(failed) or was(lines, failed))
     check(make_docs(rows))
     assert rounds == [None]
+
+
+def test_words_in_numpy_against_split():
+    """Words, their lines and equal hashes for equal words alone, without a Python object for each word."""
+    rng = random.Random(3)
+    alphabet = [bytes([b]) for b in b"aBc \t\n\r\x0b\x0c\x00\x0e\x1c"] + ["é".encode(), b"x" * 20, b"y" * 70]
+    for _ in range(200):
+        texts = [b"".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 60, 400]))) for _ in range(rng.randint(1, 9))]
+        words = line_tokens.words_of([*texts, b"abcdef", b"abcdef\x00\x0e", b"abcdef\x00"])
+        lines = [(k, n, line.lower().split()) for k, text in enumerate([*texts, b"abcdef", b"abcdef\x00\x0e", b"abcdef\x00"]) for n, line in enumerate(text.split(b"\n"))]
+        assert list(zip(words.text.tolist(), words.line.tolist(), words.sizes.tolist())) == [(k, n, len(own)) for k, n, own in lines if own]
+        flat = [w for *_, own in lines for w in own]
+        assert len(flat) == len(words.hashes) and len(set(zip(flat, words.hashes.tolist()))) == len(set(flat)) == len(set(words.hashes.tolist()))
+
+
+def test_entries_are_dealt_in_few_rows():
+    rng = np.random.default_rng(4)
+    entries = rng.integers(-(1 << 63), 1 << 63, (5, 20_000))
+    entries[0, :5_000] = 77  # a word in many sets
+    batch = line_dedup._dealt(entries)
+    assert batch.num_rows <= line_dedup.PARTS + 5
+    got = []
+    for part, held in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+        own = np.frombuffer(held, np.int64).reshape(5, -1)
+        assert own.shape[1] <= line_dedup.BLOCK and set((own[0] & (line_dedup.PARTS - 1)).tolist()) == {part}
+        got += map(tuple, own.T.tolist())
+    assert sorted(got) == sorted(map(tuple, entries.T.tolist()))
