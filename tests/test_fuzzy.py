@@ -85,3 +85,67 @@ def test_long_chains_and_nothing(spark):
     assert fuzzy.fuzzy_groups(empty, [F.col("name")], 2).count() == 0
     with pytest.raises(ValueError):
         fuzzy.fuzzy_pairs(empty.toDF("value"), 0)
+
+
+def slow_groups(nodes, links):
+    over = {n: n for n in nodes}
+    top = lambda n: n if over[n] == n else top(over[n])
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        over[b] = a
+    return {n: top(n) for n in nodes}
+
+
+def long_values(rng, n):
+    """Values of 25 to 45 characters in a few families, with some of the characters that the operator uses itself."""
+    roots = ["".join(rng.choice("ab/é\x1c\x1d") for _ in range(rng.randint(25, 45))) for _ in range(3)]
+    out = []
+    for _ in range(n):
+        word = list(rng.choice(roots))
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randint(0, len(word))
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "\x1c", "\x1d"])
+        out.append("".join(word))
+    return out
+
+
+@pytest.mark.parametrize("edits,meetings,few,made", [(1, 4, 5, values_of), (2, 4, 5, values_of), (3, 4, 1 << 18, values_of), (2, 1 << 14, 5, values_of), (1, 2, 5, long_values), (2, 2, 1 << 18, long_values)])
+def test_links_hold_together_what_all_pairs_do(spark, monkeypatch, edits, meetings, few, made):
+    """Crowded keys are cut and spelled; links are within the edits, and groups are those of all pairs."""
+    monkeypatch.setattr(fuzzy, "MEETINGS", meetings)
+    monkeypatch.setattr(fuzzy, "FEW", few)
+    values = sorted(set(made(random.Random(edits + 7), 110)))
+    pairs = slow_pairs(values, edits)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id bigint, value string")
+    links = {tuple(sorted((values[r.a], values[r.b]))) for r in fuzzy._links(df, edits).collect()}
+    assert links <= set(pairs)
+    assert slow_groups(values, links) == slow_groups(values, pairs)
+    monkeypatch.setattr(fuzzy, "normalised", lambda parts: parts[0])
+    got = {r.value: r.group for r in fuzzy.fuzzy_groups(df, [F.col("value")], edits).collect()}
+    assert got == {v: g for v, g in slow_groups(values, pairs).items() if any(v in p for p in pairs)}
+
+
+def test_groups_do_not_write_all_pairs(spark, monkeypatch):
+    """3,600 values with 118 neighbours each: what is written grows with the values, not with their 212,400 pairs."""
+    rows, kept = [], fuzzy.kept
+
+    def counted(df):
+        rows.append((out := kept(df)).count())
+        return out
+
+    monkeypatch.setattr(fuzzy, "kept", counted)
+    letters = [chr(0x4E00 + i) for i in range(60)]
+    df = spark.createDataFrame([(f"CUSTOMER#{a}{b}",) for a in letters for b in letters], "value string")
+    got = fuzzy.fuzzy_groups(df, [F.col("value")], 1).agg(F.count_distinct("group"), F.min("group"), F.count("value")).first()
+    assert tuple(got) == (1, f"CUSTOMER#{letters[0]}{letters[0]}", 3600) and max(rows) < 5 * 3600
+
+
+def test_components_of_many_links(spark, monkeypatch):
+    """Rounds of joins before the last links are left to one task."""
+    monkeypatch.setattr(fuzzy, "FEW", 20)
+    rng = random.Random(5)
+    links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + (i * 7) % 90) for i in range(90)]
+    got = {r.node: r.group for r in fuzzy.connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == slow_groups({n for a, b in links if a != b for n in (a, b)}, [(a, b) for a, b in links if a != b])
+    chain = spark.range(200).selectExpr("format_string('%04d', id) AS a", "format_string('%04d', id + 1) AS b")
+    assert {(r.group, r.n) for r in fuzzy.connected(chain).groupBy("group").agg(F.count("node").alias("n")).collect()} == {("0000", 201)}
